@@ -1,0 +1,2 @@
+"""Intentionally empty: every source of this engine is a finite file read, so
+there is no stream, watermark or state-store operator to offer."""
