@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def format_time(seconds: Column) -> Column:
@@ -35,12 +35,12 @@ def _short(value: float) -> str:
 
 # C-style %.4g rounds on the binary value of the double. The JVM formatter rounds
 # on its shortest decimal form and so differs on ties, hence the Arrow batches.
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _short_udf(values: pd.Series) -> pd.Series:
     return values.astype("float64").map(_short)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _short_list_udf(values: pd.Series) -> pd.Series:
     def render(items):
         if items is None:

@@ -146,13 +146,15 @@ def _nearest_in_cells(visitors: DataFrame, members: DataFrame, n_visitors: dict,
     # One row per cell, at most MAX_PIVOTS of them.
     parts = F.broadcast(spark.createDataFrame(plan, "cell bigint, visitor_parts bigint, member_parts bigint"))
 
+    keys = ("cell", "visitor_parts", "member_parts")   # bigint on both sides
+
     def blocked(df: DataFrame, own: str, other: str) -> DataFrame:
         own_part = F.pmod(F.xxhash64("id"), F.col(own))
         placed = df.join(parts, "cell").withColumn(own, own_part)
         spread = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
-        return spread.select("cell", "visitor_parts", "member_parts", "id", "vec")
+        # Fresh aliases: both sides may stem from the same table.
+        return spread.select([F.col(c).alias(c) for c in (*keys, "id", "vec")])
 
-    keys = ("cell", "visitor_parts", "member_parts")   # bigint on both sides
     left = blocked(visitors, "visitor_parts", "member_parts").groupBy(*keys)
     right = blocked(members, "member_parts", "visitor_parts").groupBy(*keys)
 
