@@ -199,13 +199,18 @@ def balanced_weights(counts: DataFrame, key: str) -> DataFrame:
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {"accuracy": accuracy, "macro_f1": macro_f1}
 
 
-def score_all(cells: DataFrame, metrics: dict[str, Callable] | Callable, digits: int = 4) -> dict[str, float]:
-    """Run every metric on the cells and bring the rounded values to the driver. A
-    bare function counts as ``{"metric": function}``."""
-    if callable(metrics):
-        metrics = {"metric": metrics}
-    parts = [
-        fn(cells).select(F.lit(name).alias("name"), F.round(F.col(fn(cells).columns[0]), digits).alias("value"))
-        for name, fn in metrics.items()
-    ]
-    return {row["name"]: row["value"] for row in reduce(DataFrame.unionByName, parts).collect()}
+def score_all(wanted: dict[str, tuple[DataFrame, dict[str, Callable] | Callable]], digits: int = 4) -> dict[str, dict[str, float]]:
+    """Run metrics on several tables of cells in one job and bring the rounded values
+    to the driver, by table and metric. A bare function counts as
+    ``{"metric": function}``."""
+    parts, out = [], {}
+    for table, (cells, metrics) in wanted.items():
+        out[table] = {}
+        for name, fn in (metrics if isinstance(metrics, dict) else {"metric": metrics}).items():
+            value = fn(cells)
+            parts.append(value.select(
+                F.lit(table).alias("table"), F.lit(name).alias("name"), F.round(F.col(value.columns[0]), digits).alias("value")
+            ))
+    for row in reduce(DataFrame.unionByName, parts).collect():
+        out[row["table"]][row["name"]] = row["value"]
+    return out

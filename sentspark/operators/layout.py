@@ -1,11 +1,11 @@
 """2-D layouts of vectors: PCA, and two graph layouts fitted by full-batch descent.
 
-A step of the descent is one job. The pairs are stored partitioned by their first
-end; a step joins the position of that end to them in place, sends it to the
-second end (the one shuffle of pair size) and sums the forces where they arrive.
-Positions are never collected or broadcast by hand. Rows that take part in a
-large share of all pairs are split by salt, and each step ends in a reliable
-checkpoint.
+A step of the descent is one job. Pairs and positions are kept partitioned alike,
+the pairs by their first end: a step joins the position of that end in place,
+sends it to the second end, the one shuffle of the step, and sums the forces
+where they arrive. Positions are never collected or broadcast by hand. Rows that
+take part in a large share of all pairs are split by salt, and each step ends in a
+reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sentspark.operators.embedding import pca_layout
 from sentspark.operators.graphs import EXTRA_NEIGHBOURS, index_rows, pacmap_pairs, umap_graph
 from sentspark.operators.neighbours import knn_graph
-from sentspark.operators.skew import hot_keys
-from sentspark.session import cut_lineage
+from sentspark.operators.skew import HOT_SHARE, hot_keys
+from sentspark.session import cut_lineage, static_plans
 
 # The curve parameters for a minimum distance of 0.1, the clip and
 # the repulsion count of the membership layout; the phase lengths (shares of 450
@@ -31,57 +31,72 @@ NEAR_C, MID_C, FAR_C = 10.0, 10000.0, 1.0
 ADAM_RATE, BETA_1, BETA_2, ADAM_EPS = 1.0, 0.9, 0.999, 1e-7
 
 
-def _prepare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (i, j, ...) with salts for both ends, partitioned by the first end, and
-    the table of hot rows (idx, splits), at most a thousand."""
-    ends = pairs.select(F.explode(F.array("i", "j")).alias("idx"))
-    hot = cut_lineage(hot_keys(ends, "idx"))
-    salted = pairs
-    for end, other in (("i", "j"), ("j", "i")):
-        splits = F.broadcast(hot.select(F.col("idx").alias(end), "splits"))
-        salt = F.pmod(F.xxhash64(other), F.coalesce("splits", F.lit(1))).cast("int")
-        salted = salted.join(splits, end, "left").withColumn(f"salt_{end}", salt).drop("splits")
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(salted.repartition(partitions, "i", "salt_i")), hot
-
-
-def _forces(pairs: DataFrame, state: DataFrame, pull: Callable[[Column], Column], extra: DataFrame | None = None,
-            clip: float | None = None) -> DataFrame:
-    """(idx, f0, f1): for every row the sum of pull(d2) * (own - other) over its pairs."""
-    spread = F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
-    placed = state.select("idx", "y0", "y1", spread.alias("salt"))
-
-    def at(end: str, tag: str) -> DataFrame:
-        return placed.select(F.col("idx").alias(end), F.col("salt").alias(f"salt_{end}"), F.col("y0").alias(f"{tag}0"), F.col("y1").alias(f"{tag}1"))
-
-    pairs = pairs if extra is None else pairs.unionByName(extra)
-    moved = pairs.join(at("i", "a"), ["i", "salt_i"]).join(at("j", "b"), ["j", "salt_j"])
-    d0, d1 = F.col("b0") - F.col("a0"), F.col("b1") - F.col("a1")
-    factor = pull(d0 * d0 + d1 * d1)
-
-    def bounded(x: Column) -> Column:
-        return x if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), x))
-
-    summed = moved.groupBy("j", "salt_j").agg(F.sum(bounded(factor * d0)).alias("f0"), F.sum(bounded(factor * d1)).alias("f1"))
-    return summed.groupBy(F.col("j").alias("idx")).agg(F.sum("f0").alias("f0"), F.sum("f1").alias("f1"))
-
-
-def _start(indexed: DataFrame, hot: DataFrame, scale: float) -> DataFrame:
-    placed = pca_layout(indexed, "vec", 2, scale)
-    zero = F.lit(0.0)
-    return cut_lineage(
-        placed.join(F.broadcast(hot), "idx", "left").select(
+class _Pairs:
+    """Pairs (i, j, ...) partitioned by the first end. If some rows take part in more
+    than a thousandth of all pair ends, ``hot`` holds them (at most a thousand) and
+    both ends carry a salt; otherwise there are no salts."""
+
+    def __init__(self, pairs: DataFrame):
+        ends = pairs.select(F.explode(F.array("i", "j")).alias("idx"))
+        # A row of average degree is far below the limit only if there are many rows.
+        self.hot = cut_lineage(hot_keys(ends, "idx").where("splits > 1"))
+        self.salted = bool(self.hot.take(1)) and HOT_SHARE * 10 < pairs.agg(F.count_distinct("i")).first()[0]
+        for end, other in (("i", "j"), ("j", "i")) if self.salted else ():
+            splits = F.broadcast(self.hot.select(F.col("idx").alias(end), "splits"))
+            salt = F.pmod(F.xxhash64(other), F.coalesce("splits", F.lit(1))).cast("int")
+            pairs = pairs.join(splits, end, "left").withColumn(f"salt_{end}", salt).drop("splits")
+        self.partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.table = cut_lineage(pairs.repartition(self.partitions, *self.key("i")))
+
+    def key(self, end: str) -> list[str]:
+        return [end, f"salt_{end}"] if self.salted else [end]
+
+    def placed(self, state: DataFrame, end: str, tag: str) -> DataFrame:
+        """Positions under the key of the given end."""
+        columns = [F.col("idx").alias(end), F.col("y0").alias(f"{tag}0"), F.col("y1").alias(f"{tag}1")]
+        if self.salted:
+            columns.append(F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias(f"salt_{end}"))
+        return state.select(columns)
+
+    def forces(self, state: DataFrame, pull: Callable[[Column], Column], drawn: DataFrame | None = None,
+               clip: float | None = None) -> DataFrame:
+        """(idx, f0, f1): for every row the sum of pull(d2) * (own - other)."""
+        here = self.placed(state, "i", "a")
+        sent = self.table.join(here, self.key("i")).drop(*self.key("i"))
+        if drawn is not None:
+            sent = sent.unionByName(drawn.join(here, self.key("i")).drop(*self.key("i")))
+        met = sent.join(self.placed(state, "j", "b"), self.key("j"))
+        d0, d1 = F.col("b0") - F.col("a0"), F.col("b1") - F.col("a1")
+        factor = pull(d0 * d0 + d1 * d1)
+
+        def bounded(x: Column) -> Column:
+            return x if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), x))
+
+        both = [F.sum(bounded(factor * d)).alias(name) for name, d in (("f0", d0), ("f1", d1))]
+        summed = met.groupBy(*self.key("j")).agg(*both)
+        if self.salted:
+            summed = summed.groupBy("j").agg(F.sum("f0").alias("f0"), F.sum("f1").alias("f1"))
+        return summed.withColumnRenamed("j", "idx")
+
+    def start(self, indexed: DataFrame, scale: float) -> DataFrame:
+        """Initial state from the principal components, partitioned like the pairs."""
+        placed = pca_layout(indexed, "vec", 2, scale).join(F.broadcast(self.hot), "idx", "left")
+        state = placed.select(
             "idx", F.col("position")[0].alias("y0"), F.col("position")[1].alias("y1"),
-            *[zero.alias(c) for c in ("m0", "m1", "v0", "v1")], F.coalesce("splits", F.lit(1)).alias("splits"),
+            *[F.lit(0.0).alias(c) for c in ("m0", "m1", "v0", "v1")], F.coalesce("splits", F.lit(1)).alias("splits"),
         )
-    )
+        return cut_lineage(state.repartition(self.partitions, "idx"))
 
 
 def pair_layout(indexed: DataFrame, pairs: DataFrame, n_iter: int = 450) -> DataFrame:
     """(idx, y0, y1) from near, mid and far pairs, by Adam."""
     both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
-    both, hot = _prepare(both)
-    state = _start(indexed, hot, 0.01)
+    with static_plans(indexed.sparkSession):
+        return _descend_pairs(indexed, _Pairs(both), n_iter)
+
+
+def _descend_pairs(indexed: DataFrame, pairs: _Pairs, n_iter: int) -> DataFrame:
+    state = pairs.start(indexed, 0.01)
     first, second = (int(share * n_iter) for share in PHASES)
     for step in range(n_iter):
         if step < first:
@@ -100,7 +115,7 @@ def pair_layout(indexed: DataFrame, pairs: DataFrame, n_iter: int = 450) -> Data
             repel = -2.0 * far / ((FAR_C + d) * (FAR_C + d))
             return F.when(kind == "near", attract_near).when(kind == "mid", attract_mid).otherwise(repel)
 
-        state = _adam(state, _forces(both, state, pull), step + 1)
+        state = _adam(state, pairs.forces(state, pull), step + 1)
     return state.select("idx", "y0", "y1")
 
 
@@ -120,10 +135,15 @@ def _adam(state: DataFrame, forces: DataFrame, step: int) -> DataFrame:
 def membership_layout(indexed: DataFrame, graph: DataFrame, n: int, n_iter: int = 200, seed: int = 42) -> DataFrame:
     """(idx, y0, y1) from a symmetric weighted graph: edges attract by weight, and
     every row is repelled by a few rows drawn anew in each step."""
-    edges, hot = _prepare(graph.withColumn("kind", F.lit("edge")))
-    state = _start(indexed, hot, 10.0)
-    strength = cut_lineage(edges.groupBy(F.col("j").alias("idx")).agg(F.sum("weight").alias("strength")))
-    state = cut_lineage(state.join(strength, "idx", "left").withColumn("strength", F.coalesce("strength", F.lit(0.0))))
+    with static_plans(indexed.sparkSession):
+        return _descend_graph(indexed, _Pairs(graph.withColumn("kind", F.lit("edge"))), n, n_iter, seed)
+
+
+def _descend_graph(indexed: DataFrame, edges: _Pairs, n: int, n_iter: int, seed: int) -> DataFrame:
+    strength = edges.table.groupBy(F.col("i").alias("idx")).agg(F.sum("weight").alias("strength"))
+    state = cut_lineage(
+        edges.start(indexed, 10.0).join(strength, "idx", "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
+    )
 
     def pull(d2: Column) -> Column:
         curve = 1.0 + CURVE_A * F.pow(d2, F.lit(CURVE_B))
@@ -136,9 +156,9 @@ def membership_layout(indexed: DataFrame, graph: DataFrame, n: int, n_iter: int
         partner = F.pmod(F.xxhash64("idx", F.lit(seed), F.lit(step), F.col("s")), F.lit(n))
         drawn = state.select("idx", "splits", "strength", F.explode(F.sequence(F.lit(1), F.lit(NEGATIVES))).alias("s")).select(
             partner.alias("i"), F.col("idx").alias("j"), F.col("strength").alias("weight"), F.lit("random").alias("kind"),
-            F.lit(0).alias("salt_i"), salt.alias("salt_j"),
+            *([F.lit(0).alias("salt_i"), salt.alias("salt_j")] if edges.salted else []),
         ).where("i <> j")
-        forces = _forces(edges, state, pull, drawn, CLIP)
+        forces = edges.forces(state, pull, drawn, CLIP)
         rate = 1.0 - step / n_iter
         moved = state.join(forces, "idx", "left")
         updated = {f"y{a}": F.col(f"y{a}") - rate * F.coalesce(F.col(f"f{a}"), F.lit(0.0)) for a in "01"}

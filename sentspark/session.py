@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ def build_session(app: str = "sentspark", cpus: int | str = "*", **conf) -> Spar
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     }
     settings.update({k: str(v) for k, v in conf.items()})
@@ -68,3 +71,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for small per-iteration state."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def static_plans(spark: SparkSession) -> Iterator[None]:
+    """Adaptive re-planning off inside the block. A checkpoint made here remembers
+    how it is partitioned, so the steps of a loop can join it without a shuffle;
+    under adaptive execution that knowledge is lost. Automatic broadcasts are off
+    too, since they would go by estimates."""
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in fixed}
+    try:
+        for name, value in fixed.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
