@@ -195,22 +195,23 @@ def balanced_weights(counts: DataFrame, key: str) -> DataFrame:
     )
 
 
-# Scores by name, each a function of the confusion cells. Callers may pass their own.
-METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {"accuracy": accuracy, "macro_f1": macro_f1}
+# Scores by name. Each is a function of the confusion cells and the group columns
+# and gives (group columns..., score). Callers may pass their own.
+METRICS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {"accuracy": accuracy, "macro_f1": macro_f1}
 
 
-def score_all(wanted: dict[str, tuple[DataFrame, dict[str, Callable] | Callable]], digits: int = 4) -> dict[str, dict[str, float]]:
-    """Run metrics on several tables of cells in one job and bring the rounded values
-    to the driver, by table and metric. A bare function counts as
+def class_f1(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., category, f1), 0 where undefined."""
+    scored = precision_recall_f1(cell_totals(cells, by))
+    return scored.select(*by, "category", F.coalesce("f1", F.lit(0.0)).alias("f1"))
+
+
+def score_all(cells: DataFrame, metrics: dict[str, Callable] | Callable, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """(by..., name, value) for every metric, rounded. A bare function counts as
     ``{"metric": function}``."""
-    parts, out = [], {}
-    for table, (cells, metrics) in wanted.items():
-        out[table] = {}
-        for name, fn in (metrics if isinstance(metrics, dict) else {"metric": metrics}).items():
-            value = fn(cells)
-            parts.append(value.select(
-                F.lit(table).alias("table"), F.lit(name).alias("name"), F.round(F.col(value.columns[0]), digits).alias("value")
-            ))
-    for row in reduce(DataFrame.unionByName, parts).collect():
-        out[row["table"]][row["name"]] = row["value"]
-    return out
+    named = metrics if isinstance(metrics, dict) else {"metric": metrics}
+    parts = []
+    for name, fn in named.items():
+        value = fn(cells, by)
+        parts.append(value.select(*by, F.lit(name).alias("name"), F.round(F.col(value.columns[-1]), digits).alias("value")))
+    return reduce(DataFrame.unionByName, parts)

@@ -212,9 +212,24 @@ def _row_loss(head: Head):
     return focal(p, F.col("code"), F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("code")), s.gamma)
 
 
-def _cells_frame(spark: SparkSession, cells: Mapping[tuple[int, int], int]) -> DataFrame:
-    # A single partition: the scores of so small a table need no shuffle.
-    return spark.createDataFrame([(g, p, n) for (g, p), n in cells.items()], "gold int, pred int, n bigint").coalesce(1)
+def _cells_frame(spark: SparkSession, cells: Mapping[str, Mapping[tuple[int, int], int]]) -> DataFrame:
+    """(split, gold, pred, n) from counts already on the driver, in one partition, so
+    that the scores of so small a table need no shuffle."""
+    rows = [
+        F.struct(F.lit(split).alias("split"), F.lit(g).alias("gold"), F.lit(p).alias("pred"), F.lit(n).cast("bigint").alias("n"))
+        for split, counted in cells.items() for (g, p), n in counted.items()
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+
+
+def _epoch_scores(spark: SparkSession, cells: Mapping[str, Mapping], metrics: Mapping[str, Callable],
+                  names: Mapping[int, str], digits: int) -> dict[tuple[str, str], float]:
+    """{(split, score): value} for the metrics and the F1 of each class, in one job."""
+    frame = _cells_frame(spark, cells)
+    name = decode(F.col("category"), {code: f"{label}_class_f1" for code, label in names.items()})
+    single = C.class_f1(frame, ["split"]).select("split", name.alias("name"), F.round("f1", digits).alias("value"))
+    rows = C.score_all(frame, dict(metrics), ["split"], digits).unionByName(single).collect()
+    return {(row["split"], row["name"]): row["value"] for row in rows}
 
 
 def _validate(val: DataFrame, head: Head) -> tuple[float, dict[tuple[int, int], int]]:
@@ -262,7 +277,7 @@ def train_head(train: DataFrame, val: DataFrame, settings: HeadSettings, vector:
 
     head, best, best_score, waited, scheduled, step = Head.initial(settings), None, -1.0, 0, 0, 0
     optimiser, logged = AdamW(len(head.flat), settings.eps), []
-    per_class = {f"{name}_class_f1": _one_class_f1(code) for name, code in mapping.items()}
+    names = inverse(mapping)
     try:
         for epoch in range(1, settings.epochs + 1):
             losses, cells = [], {}
@@ -279,11 +294,9 @@ def train_head(train: DataFrame, val: DataFrame, settings: HeadSettings, vector:
                 scheduled += settings.step_per == "batch"
             scheduled += settings.step_per == "epoch"
             val_loss, val_cells = _validate(val, head)
-            wanted = {"train": (_cells_frame(spark, cells), metrics), "val": (_cells_frame(spark, val_cells), {**metrics, **per_class})}
-            scores = C.score_all(wanted, settings.digits)
-            train_scores, val_scores = scores["train"], scores["val"]
-            if val_scores["macro_f1"] > best_score:
-                best, best_score, waited = head, val_scores["macro_f1"], 0
+            scores = _epoch_scores(spark, {"train": cells, "val": val_cells}, metrics, names, settings.digits)
+            if scores["val", "macro_f1"] > best_score:
+                best, best_score, waited = head, scores["val", "macro_f1"], 0
             else:
                 waited += 1
                 if waited >= settings.patience:
@@ -293,9 +306,9 @@ def train_head(train: DataFrame, val: DataFrame, settings: HeadSettings, vector:
                 rate *= warmup_factor(scheduled, settings.warmup_steps, total)
             record = {
                 "epoch": epoch, "train/loss": float(np.mean(losses)), "val/loss": val_loss,
-                "train/macro_f1": train_scores["macro_f1"], "val/macro_f1": val_scores["macro_f1"],
-                "learning_rate": rate, "train/accuracy": train_scores.get("accuracy"), "val/accuracy": val_scores.get("accuracy"),
-                **{f"val/{name}": val_scores[name] for name in per_class},
+                "learning_rate": rate,
+                **{f"{split}/{name}": scores.get((split, name)) for name in ("macro_f1", "accuracy") for split in ("train", "val")},
+                **{f"val/{name}_class_f1": scores.get(("val", f"{name}_class_f1")) for name in names.values()},
             }
             logged.append(record)
             if log:
@@ -306,14 +319,6 @@ def train_head(train: DataFrame, val: DataFrame, settings: HeadSettings, vector:
     return best or head, best_score, logged
 
 
-def _one_class_f1(code: int) -> Callable[[DataFrame], DataFrame]:
-    def metric(cells: DataFrame) -> DataFrame:
-        scored = C.precision_recall_f1(C.cell_totals(cells))
-        return scored.groupBy().agg(F.max(F.when(F.col("category") == code, F.col("f1"))).alias("f1"))
-
-    return metric
-
-
 def replace_weights(head: Head, flat: np.ndarray) -> Head:
     return Head(head.settings, flat)
 
