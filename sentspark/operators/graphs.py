@@ -138,7 +138,7 @@ def far_pairs(indexed: DataFrame, near: DataFrame, n: int, k: int, picks: int, s
 def pacmap_pairs(indexed: DataFrame, knn: DataFrame, n: int, k: int = 10, mn_ratio: float = 0.5,
                  fp_ratio: float = 2.0, seed: int = 42) -> DataFrame:
     """(i, j, kind) with kind near, mid or far."""
-    near = materialize(near_pairs(knn, k), "near")
+    near = materialize(near_pairs(materialize(knn, "knn"), k), "near")
     mid = mid_near_pairs(indexed, n, int(k * mn_ratio), seed)
     far = far_pairs(indexed, near, n, k, int(k * fp_ratio), seed)
     parts = [(near, "near"), (mid, "mid"), (far, "far")]

@@ -19,7 +19,7 @@ from sentspark.operators.embedding import pca_layout
 from sentspark.operators.graphs import EXTRA_NEIGHBOURS, index_rows, pacmap_pairs, umap_graph
 from sentspark.operators.neighbours import knn_graph
 from sentspark.operators.skew import HOT_SHARE, hot_keys
-from sentspark.session import cut_lineage, static_plans
+from sentspark.session import cut_lineage, forget_estimates, materialize, scratch_path, static_plans
 
 # The curve parameters for a minimum distance of 0.1, the clip and
 # the repulsion count of the membership layout; the phase lengths (shares of 450
@@ -30,6 +30,8 @@ PHASES = (100 / 450, 200 / 450)
 NEAR_C, MID_C, FAR_C = 10.0, 10000.0, 1.0
 ADAM_RATE, BETA_1, BETA_2, ADAM_EPS = 1.0, 0.9, 0.999, 1e-7
 
+RENEW_EVERY = 8   # steps between renewals of the state's size estimate
+
 
 class _Pairs:
     """Pairs (i, j, ...) partitioned by the first end. If some rows take part in more
@@ -46,6 +48,7 @@ class _Pairs:
             salt = F.pmod(F.xxhash64(other), F.coalesce("splits", F.lit(1))).cast("int")
             pairs = pairs.join(splits, end, "left").withColumn(f"salt_{end}", salt).drop("splits")
         self.partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.state_path = scratch_path(pairs.sparkSession, "layout")
         self.table = cut_lineage(pairs.repartition(self.partitions, *self.key("i")))
 
     def key(self, end: str) -> list[str]:
@@ -85,11 +88,16 @@ class _Pairs:
             "idx", F.col("position")[0].alias("y0"), F.col("position")[1].alias("y1"),
             *[F.lit(0.0).alias(c) for c in ("m0", "m1", "v0", "v1")], F.coalesce("splits", F.lit(1)).alias("splits"),
         )
-        return cut_lineage(state.repartition(self.partitions, "idx"))
+        return self.renewed(state)
+
+    def renewed(self, state: DataFrame) -> DataFrame:
+        return forget_estimates(state, self.state_path, self.partitions, "idx")
 
 
 def pair_layout(indexed: DataFrame, pairs: DataFrame, n_iter: int = 450) -> DataFrame:
     """(idx, y0, y1) from near, mid and far pairs, by Adam."""
+    # Made outside the block, so that the searches behind it are planned adaptively.
+    pairs = materialize(pairs, "pairs")
     both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
     with static_plans(indexed.sparkSession):
         return _descend_pairs(indexed, _Pairs(both), n_iter)
@@ -116,6 +124,8 @@ def _descend_pairs(indexed: DataFrame, pairs: _Pairs, n_iter: int) -> DataFrame:
             return F.when(kind == "near", attract_near).when(kind == "mid", attract_mid).otherwise(repel)
 
         state = _adam(state, pairs.forces(state, pull), step + 1)
+        if step % RENEW_EVERY == RENEW_EVERY - 1:
+            state = pairs.renewed(state)
     return state.select("idx", "y0", "y1")
 
 
@@ -135,13 +145,14 @@ def _adam(state: DataFrame, forces: DataFrame, step: int) -> DataFrame:
 def membership_layout(indexed: DataFrame, graph: DataFrame, n: int, n_iter: int = 200, seed: int = 42) -> DataFrame:
     """(idx, y0, y1) from a symmetric weighted graph: edges attract by weight, and
     every row is repelled by a few rows drawn anew in each step."""
+    edges = materialize(graph.withColumn("kind", F.lit("edge")), "edges")
     with static_plans(indexed.sparkSession):
-        return _descend_graph(indexed, _Pairs(graph.withColumn("kind", F.lit("edge"))), n, n_iter, seed)
+        return _descend_graph(indexed, _Pairs(edges), n, n_iter, seed)
 
 
 def _descend_graph(indexed: DataFrame, edges: _Pairs, n: int, n_iter: int, seed: int) -> DataFrame:
     strength = edges.table.groupBy(F.col("i").alias("idx")).agg(F.sum("weight").alias("strength"))
-    state = cut_lineage(
+    state = edges.renewed(
         edges.start(indexed, 10.0).join(strength, "idx", "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
     )
 
@@ -164,6 +175,8 @@ def _descend_graph(indexed: DataFrame, edges: _Pairs, n: int, n_iter: int, seed:
         updated = {f"y{a}": F.col(f"y{a}") - rate * F.coalesce(F.col(f"f{a}"), F.lit(0.0)) for a in "01"}
         kept = [c for c in state.columns if c not in updated]
         state = cut_lineage(moved.select(*[updated[c].alias(c) for c in updated], *kept))
+        if step % RENEW_EVERY == RENEW_EVERY - 1:
+            state = edges.renewed(state)
     return state.select("idx", "y0", "y1")
 
 

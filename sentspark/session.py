@@ -73,13 +73,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget_estimates(df: DataFrame, path: str, partitions: int, key: str) -> DataFrame:
+    """The same rows, checkpointed with the given partitioning, with a size estimate
+    taken from the file just written. A checkpoint hands on the estimate of its
+    plan, and where a loop joins its state with itself that number squares from
+    step to step, until computing it takes longer than the step."""
+    df.write.mode("overwrite").parquet(path)
+    return cut_lineage(df.sparkSession.read.schema(df.schema).parquet(path).repartition(partitions, key))
+
+
 @contextmanager
 def static_plans(spark: SparkSession) -> Iterator[None]:
     """Adaptive re-planning off inside the block. A checkpoint made here remembers
     how it is partitioned, so the steps of a loop can join it without a shuffle;
     under adaptive execution that knowledge is lost. Automatic broadcasts are off
-    too, since they would go by estimates."""
-    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    too, since they would go by estimates, and so is the inference of constraints:
+    a checkpoint hands its constraints on, and from step to step they multiply."""
+    fixed = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.constraintPropagation.enabled": "false",
+    }
     before = {name: spark.conf.get(name) for name in fixed}
     try:
         for name, value in fixed.items():
