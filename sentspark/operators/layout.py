@@ -239,4 +239,5 @@ def density_bins(points: DataFrame, x: str, y: str, bins: int, by: str) -> DataF
         place = F.floor(F.try_divide((F.col(value).cast("double") - low) * bins, high - low)).cast("int")
         return F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))
 
-    return points.groupBy(cell(x, "x").alias("bx"), cell(y, "y").alias("by"), F.col(by).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    placed = points.select(cell(x, "x").alias("bx"), cell(y, "y").alias("by"), F.col(by).alias("label"))
+    return placed.groupBy("bx", "by", "label").agg(F.count(F.lit(1)).alias("n"))
