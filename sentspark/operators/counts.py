@@ -53,7 +53,8 @@ def cell_totals(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def fixed_classes(totals: DataFrame, classes: Sequence) -> DataFrame:
     """Exactly the given classes, absent ones with zero counts."""
     kind = totals.schema["category"].dataType
-    wanted = totals.sparkSession.createDataFrame([(c,) for c in classes], "category " + kind.simpleString())
+    listed = F.array(*[F.lit(c).cast(kind) for c in classes])
+    wanted = totals.sparkSession.range(0, 1, 1, 1).select(F.explode(listed).alias("category"))
     joined = F.broadcast(wanted).join(totals, "category", "left")
     return joined.select("category", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "support", "predicted")])
 

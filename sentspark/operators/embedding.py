@@ -64,9 +64,8 @@ def term_bucket(token, buckets: int):
 def term_hash_counts(df: DataFrame, buckets: int, text: str = "sentence", id_column: str = "sentence_id") -> DataFrame:
     """(id, bucket, n): hashed word counts in long form."""
     tokens = df.select(id_column, F.explode(words(F.col(text))).alias("token"))
-    # Words repeat a lot within a text: count them before hashing.
-    counted = tokens.groupBy(id_column, "token").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(id_column, term_bucket(F.col("token"), buckets).alias("bucket")).agg(F.sum("n").alias("n"))
+    # One shuffle, after counting within each task.
+    return tokens.groupBy(id_column, term_bucket(F.col("token"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pca_layout(df: DataFrame, vector: str = "embedding", components: int = 2, scale: float = 1.0,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.functions.labels import TRAIN_CODES, encode
+from sentspark.session import even_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,8 +22,10 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "labels").select(F.col("doc_id").alias("sentence_id"), label.alias("label"))
 
 
-def texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").withColumnsRenamed({"doc_id": "sentence_id", "text": "sentence"})
+def texts(spark: SparkSession, folder: str, even: bool = False) -> DataFrame:
+    """All texts; ``even`` for queries that split or encode them."""
+    scan = table(spark, folder, "documents")
+    return (even_out(scan) if even else scan).withColumnsRenamed({"doc_id": "sentence_id", "text": "sentence"})
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from sentspark.operators import embedding as EM, history as H, profile as P, sam
 from sentspark.operators.encoding import encode_labels
 from sentspark.plans import binding as B
 from sentspark.plans.registry import ctes, query
-from sentspark.session import scratch_path
+from sentspark.session import even_out, scratch_path
 from sentspark.sources import readers as R, sinks as W
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')"
@@ -22,8 +22,8 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')"
 def scan_json(spark, d):
     documents = B.table(spark, d, "documents")
     path = scratch_path(spark, "json")
-    W.write_json_documents(documents, path)
-    read = R.read_json_records(spark, path, documents.schema)
+    W.write_json_arrays(documents, path)
+    read = R.read_json_records(spark, path, documents.schema, whole_documents=False)
     return read.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
 
 
@@ -120,7 +120,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN s >= 86400 THEN (s // 86400) || CASE
   || printf('%d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) AS elapsed FROM t""")
 def format_time(spark, d):
     seconds = F.col("l_extendedprice") * 10
-    return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fmt.format_time(seconds).alias("elapsed"))
+    return even_out(B.table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", fmt.format_time(seconds).alias("elapsed"))
 
 
 def _short_sql(x: str) -> str:
@@ -133,7 +133,7 @@ def _short_sql(x: str) -> str:
 SELECT l_orderkey, l_linenumber, {_short_sql('l_extendedprice')} AS price, {_short_sql('(l_discount / 7)')} AS share,
   l_linenumber::VARCHAR AS line FROM lineitem""")
 def float_format(spark, d):
-    return B.table(spark, d, "lineitem").select(
+    return even_out(B.table(spark, d, "lineitem")).select(
         "l_orderkey", "l_linenumber", fmt.short_float(F.col("l_extendedprice")).alias("price"),
         fmt.short_float(F.col("l_discount") / 7).alias("share"), fmt.short_int(F.col("l_linenumber")).alias("line"),
     )
@@ -143,7 +143,7 @@ def float_format(spark, d):
 SELECT l_orderkey, l_linenumber, '[' || ({_short_sql('l_quantity')}) || ',' || ({_short_sql('l_discount')}) || ',' || ({_short_sql('l_tax')}) || ']' AS shown
 FROM lineitem""")
 def array_format(spark, d):
-    return B.table(spark, d, "lineitem").select(
+    return even_out(B.table(spark, d, "lineitem")).select(
         "l_orderkey", "l_linenumber", fmt.short_list(F.array("l_quantity", "l_discount", "l_tax")).alias("shown")
     )
 
@@ -239,7 +239,7 @@ vocab AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::INTEGE
 
 @query("vocab_topk", f"WITH {_VOCAB} SELECT token, id, n FROM vocab")
 def vocab_topk(spark, d):
-    return K.vocabulary(B.texts(spark, d), 1000)
+    return K.vocabulary(B.texts(spark, d, even=True), 1000)
 
 
 _IDS = f"""
@@ -255,14 +255,14 @@ SELECT doc_id AS sentence_id, array_to_string(cut || list_transform(range({lengt
 @query("tokenize_pad", f"WITH {_VOCAB}, {_IDS}," + """
 cut AS (SELECT doc_id, CASE WHEN len(ids) <= 128 THEN ids ELSE ids[1:127] || [3] END AS cut FROM full_ids)""" + _PADDED.format(length=128))
 def tokenize_pad(spark, d):
-    texts = B.texts(spark, d)
+    texts = B.texts(spark, d, even=True)
     return _shown(K.tokenize(texts, K.vocabulary(texts, 1000), 128))
 
 
 @query("tokenize_pad_tail", f"WITH {_VOCAB}, {_IDS}," + """
 cut AS (SELECT doc_id, ids[greatest(len(ids) - 63, 1):] AS cut FROM full_ids)""" + _PADDED.format(length=64))
 def tokenize_pad_tail(spark, d):
-    texts = B.texts(spark, d)
+    texts = B.texts(spark, d, even=True)
     return _shown(K.tokenize(texts, K.vocabulary(texts, 1000), 64, keep="tail", token_types=True))
 
 
@@ -276,7 +276,7 @@ def _shown(tokens: DataFrame) -> DataFrame:
 @query("token_stats", f"""
 WITH x AS (SELECT role AS split, least(len({_WORDS}) + 2, 128) AS n FROM conversations),""" + _describe_sql("x", "n", "split"))
 def token_stats(spark, d):
-    turns = B.table(spark, d, "conversations").select(F.col("role").alias("split"), F.col("text").alias("sentence"))
+    turns = even_out(B.table(spark, d, "conversations")).select(F.col("role").alias("split"), F.col("text").alias("sentence"))
     stats = K.token_stats(K.tokenize(turns, K.vocabulary(turns, 1000), 128), ("split",))
     return stats.withColumn("value", F.round("value", 6))
 
@@ -295,7 +295,7 @@ SELECT doc_id AS sentence_id, len(ps)::INTEGER AS n_pieces, md5(array_to_string(
 
 @query("r2l_pieces", _PIECES)
 def r2l_pieces(spark, d):
-    pieces = K.split_digits(B.texts(spark, d))
+    pieces = K.split_digits(B.texts(spark, d, even=True))
     return pieces.select(
         "sentence_id", F.size("pieces").alias("n_pieces"), F.md5(F.array_join("pieces", "|").cast("binary")).alias("pieces_md5")
     )
@@ -305,4 +305,4 @@ def r2l_pieces(spark, d):
 WITH t AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents)
 SELECT doc_id AS sentence_id, (('0x' || substr(md5(token), 1, 8))::BIGINT % 64)::INTEGER AS bucket, count(*) AS n FROM t GROUP BY 1, 2""")
 def term_hash_counts(spark, d):
-    return EM.term_hash_counts(B.texts(spark, d), 64)
+    return EM.term_hash_counts(B.texts(spark, d, even=True), 64)

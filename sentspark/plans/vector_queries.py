@@ -104,13 +104,13 @@ def vector_distance(spark, d):
 
 @query("embed_hashed")
 def embed_hashed(spark, d):
-    texts = B.texts(spark, d).select("sentence_id", "sentence")
+    texts = B.texts(spark, d, even=True).select("sentence_id", "sentence")
     return EM.embed_hashed(texts, EM.hashed_encoder(texts)).drop("sentence")
 
 
 @query("embed_cached")
 def embed_cached(spark, d):
-    texts = B.texts(spark, d).select("sentence_id", "sentence")
+    texts = B.texts(spark, d, even=True).select("sentence_id", "sentence")
     path = W.cache_path(scratch_path(spark, "cache"), "hashed/256", 128, "documents")
 
     def compute():
@@ -195,7 +195,8 @@ def lr_fit_coefficients(spark, d):
 @query("lr_predictions")
 def lr_predictions(spark, d):
     """Fit on the labelled sentences, predict the unlabelled ones; ids ride along."""
-    labelled, rest = B.sentences(spark, d), B.unlabelled(spark, d)
+    texts, gold = B.texts(spark, d, even=True), B.gold(spark, d)
+    labelled, rest = texts.join(gold, "sentence_id"), texts.join(gold, "sentence_id", "left_anti")
     encoder = EM.hashed_encoder(labelled)
     train = EM.embed_hashed(labelled.select("sentence_id", "sentence", "label"), encoder)
     model = L.fit_logistic(train)

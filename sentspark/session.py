@@ -33,6 +33,14 @@ def build_session(app: str = "sentspark", cpus: int | str = "*", **conf) -> Spar
     return spark
 
 
+def even_out(scan: DataFrame) -> DataFrame:
+    """A plain file scan, repartitioned only if it has fewer partitions than there
+    are cores, as with one small file. Large inputs are left as they are. Meant for
+    scans that feed work heavy on CPU, such as splitting text."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 

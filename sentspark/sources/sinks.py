@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -50,17 +49,17 @@ def write_unquoted(df: DataFrame, path: str, separator: str = "\t", mode: str =
 
 
 def _json_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    part = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
-        yield pd.DataFrame({"value": ["[" + ",".join(batch["record"]) + "]"], "document": [f"{part}-{number}"]})
+    for batch in batches:
+        if len(batch):
+            yield pd.DataFrame({"value": ["[" + ",".join(batch["record"]) + "]"]})
 
 
-def write_json_documents(df: DataFrame, path: str) -> None:
-    """Folders of JSON documents, each one array of at most one Arrow batch of
-    records. Needs no shuffle, and no task ever holds more than a batch."""
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Text files with one JSON array of records per line, at most one Arrow batch of
+    records each. Needs no shuffle, no task holds more than a batch, and readers can
+    split the files (``read_json_records`` with ``whole_documents=False``)."""
     records = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record"))
-    (records.mapInPandas(_json_arrays, "value string, document string")
-            .write.partitionBy("document").text(path))
+    records.mapInPandas(_json_arrays, "value string").write.text(path)
 
 
 def write_submission(df: DataFrame, folder: str, has_labels: bool) -> str:
