@@ -7,11 +7,13 @@ denominator) are NULL until the very end, where ``zero_rule`` says what they are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sentspark.functions.labels import decode
+
 ZERO, NAN = "zero", "nan"
 
 
@@ -145,31 +147,36 @@ def transposed_counts(cells: DataFrame, classes: Sequence[str]) -> DataFrame:
     return wide.groupBy("side").pivot("category", [*classes, "Total obs"]).agg(F.sum("n"))
 
 
-def class_report(cells: DataFrame, digits: int = 4, swap: bool = False) -> DataFrame:
+def class_report(cells: DataFrame, digits: int = 4, swap: bool = False, zero_rule: str = NAN,
+                 names: Mapping[int, str] | None = None) -> DataFrame:
     """One row per class, then accuracy (repeated in all four score columns), macro
-    and weighted averages, undefined scores NaN, with the class counts joined on.
+    and weighted averages, with the class counts joined on.
 
-    ``swap`` exchanges gold and predictions.
+    ``swap`` exchanges gold and predictions; ``names`` gives class codes the names to
+    be shown.
     """
     if swap:
         cells = cells.select(F.col("gold").alias("pred"), F.col("pred").alias("gold"), "n")
+    if names:
+        cells = cells.select(*[decode(F.col(c), names).alias(c) for c in ("gold", "pred")], "n")
     scored = precision_recall_f1(cell_totals(cells))
-    names = ("precision", "recall", "f1")
+    scores = ("precision", "recall", "f1")
     per_class = scored.select(
         F.col("category").cast("string").alias("category"),
-        *[settle(F.col(n), NAN).alias(n) for n in names], F.col("support").cast("double").alias("support"),
+        *[settle(F.col(n), zero_rule).alias(n) for n in scores], F.col("support").cast("double").alias("support"),
     )
     hits = accuracy(cells).select(
-        F.lit("accuracy").alias("category"), *[F.col("accuracy").alias(n) for n in (*names, "support")]
+        F.lit("accuracy").alias("category"), *[F.col("accuracy").alias(n) for n in (*scores, "support")]
     )
-    means = averages(scored, NAN).select(
-        F.col("average").alias("category"), *names, F.col("support").cast("double").alias("support")
+    means = averages(scored, zero_rule).select(
+        F.col("average").alias("category"), *scores, F.col("support").cast("double").alias("support")
     )
     rows = reduce(DataFrame.unionByName, [per_class, hits, means])
     rounded = rows.select(
         "category",
-        *[F.round(F.col(n), digits).alias("f1-score" if n == "f1" else n) for n in (*names, "support")],
+        *[F.round(F.col(n), digits).alias("f1-score" if n == "f1" else n) for n in (*scores, "support")],
     )
+    # One row per class.
     return rounded.join(F.broadcast(class_count_table(cells)), "category", "left")
 
 

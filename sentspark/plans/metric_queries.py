@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentspark.functions.labels import TRAIN_CODES, argmax_index, encode
+from sentspark.functions.labels import HOLDOUT_CODES, TRAIN_CODES, argmax_index, encode, inverse
 from sentspark.operators import counts as C, evaluation as E, history as H, linear as L
 from sentspark.plans import binding as B
 from sentspark.plans.registry import ctes, per_class, query
@@ -219,6 +219,21 @@ def class_report_swapped(spark, d):
     return C.class_report(_cells(spark, d), swap=True)
 
 
+@query("holdout_report", ctes("g", "p", "pg") + ", r AS (SELECT gold, pred FROM pg), " + per_class("r") + """,
+acc AS (SELECT avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) AS a FROM r),
+z AS (SELECT category, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, f1, support, predicted FROM scored)
+SELECT category, round(precision, 2) AS precision, round(recall, 2) AS recall, round(f1, 2) AS "f1-score", support::DOUBLE AS support,
+  support AS "count-labels", predicted AS "count-predictions" FROM z
+UNION ALL SELECT 'accuracy', round(a, 2), round(a, 2), round(a, 2), round(a, 2), NULL, NULL FROM acc
+UNION ALL SELECT 'macro avg', round(avg(precision), 2), round(avg(recall), 2), round(avg(f1), 2), sum(support)::DOUBLE, NULL, NULL FROM z
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 2), round(sum(recall * support) / sum(support), 2),
+  round(sum(f1 * support) / sum(support), 2), sum(support)::DOUBLE, NULL, NULL FROM z""")
+def holdout_report(spark, d):
+    """Report over class codes, shown by name, undefined scores 0."""
+    coded = B.pairs(spark, d).withColumns({c: encode(F.col(c), HOLDOUT_CODES) for c in ("gold_label", "pred_label")})
+    return C.class_report(C.confusion(coded), 2, zero_rule=C.ZERO, names=inverse(HOLDOUT_CODES))
+
+
 @query("class_f1_pick", ctes("li") + ", " + per_class("li") + " SELECT round(f1, 4) AS \"f1-score\" FROM scored WHERE category = 'OBJ'")
 def class_f1_pick(spark, d):
     return C.report_cell(C.class_report(_line_cells(spark, d)), "OBJ")

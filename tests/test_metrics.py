@@ -33,6 +33,12 @@ def test_report_of_class_only_predicted(spark):
     assert "Total obs" not in got and got["A"]["count-predictions"] == 1
 
 
+def test_report_by_code_names(spark):
+    cells = spark.createDataFrame([(0, 1, 2), (1, 1, 2)], "gold int, pred int, n bigint")
+    got = by_category(C.class_report(cells, zero_rule=C.ZERO, names={0: "OBJ", 1: "SUBJ"}))
+    assert got["OBJ"]["precision"] == 0 and got["SUBJ"]["recall"] == 1 and got["macro avg"]["precision"] == 0.25
+
+
 def test_micro_f1_is_accuracy(spark):
     cells = C.confusion(pairs(spark, [("A", "B"), ("B", "B"), ("C", "A"), ("C", "C")]))
     totals = C.cell_totals(cells).agg(F.sum("tp"), F.sum("support"), F.sum("predicted")).first()

@@ -6,7 +6,7 @@ from sentspark.operators import (
     classifier as K, embedding as EM, graphs as G, head as H, layout as Y, linear as L, neighbours as N, skew,
 )
 from sentspark.plans import binding as B
-from sentspark.session import scratch_path
+from sentspark.session import scratch_path, static_plans
 
 
 def frame(spark, vectors):
@@ -103,6 +103,33 @@ def test_layouts_keep_neighbours_better_than_pca(spark):
     assert scores["pacmap"] > scores["pca"] and scores["umap"] > scores["pca"], scores
 
 
+def test_forces_with_a_hub(spark):
+    """A row in a third of all pairs is salted; the sums are those of a plain join."""
+    n = 12_000
+    ring = spark.range(n).select(F.col("id").alias("i"), ((F.col("id") + 1) % n).alias("j"), F.lit("near").alias("kind"))
+    hub = spark.range(1, n).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit("far").alias("kind"))
+    pairs = ring.unionByName(hub)
+    pairs = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
+    state = spark.range(n).select(
+        F.col("id").alias("idx"), F.sin(F.col("id")).alias("y0"), F.cos(F.col("id") * 3).alias("y1"), F.lit(1).alias("splits")
+    )
+
+    def pull(d2):
+        return F.when(F.col("kind") == "near", 1.0 / (1.0 + d2)).otherwise(-2.0 / (1.0 + d2))
+
+    with static_plans(spark):
+        prepared = Y._Pairs(pairs)
+        assert prepared.salted and {r["idx"] for r in prepared.hot.collect()} == {0}
+        salted = state.drop("splits").join(prepared.hot, "idx", "left").na.fill(1, ["splits"])
+        got = {r["idx"]: (r["f0"], r["f1"]) for r in prepared.forces(salted, pull).collect()}
+    a, b = (state.select(F.col("idx").alias(e), F.col("y0").alias(f"{t}0"), F.col("y1").alias(f"{t}1")) for e, t in (("i", "a"), ("j", "b")))
+    met = pairs.join(a, "i").join(b, "j").withColumns({"d0": F.col("b0") - F.col("a0"), "d1": F.col("b1") - F.col("a1")})
+    factor = pull(F.col("d0") * F.col("d0") + F.col("d1") * F.col("d1"))
+    want = met.groupBy("j").agg(F.sum(factor * F.col("d0")).alias("f0"), F.sum(factor * F.col("d1")).alias("f1")).collect()
+    assert len(got) == n == len(want)
+    assert all(np.allclose(got[r["j"]], (r["f0"], r["f1"]), atol=1e-6) for r in want)
+
+
 def test_unknown_names(spark):
     df = frame(spark, [(1, 2)])
     with pytest.raises(NotImplementedError):
