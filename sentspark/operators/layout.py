@@ -31,6 +31,12 @@ NEAR_C, MID_C, FAR_C = 10.0, 10000.0, 1.0
 ADAM_RATE, BETA_1, BETA_2, ADAM_EPS = 1.0, 0.9, 0.999, 1e-7
 
 RENEW_EVERY = 8   # steps between renewals of the state's size estimate
+PAIRS_PER_PARTITION = 2_000_000
+
+
+def _partitions(pairs: DataFrame) -> int:
+    """Partitions of about 50 MB, but no fewer than there are cores."""
+    return max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_PER_PARTITION))
 
 
 class _Pairs:
@@ -99,7 +105,7 @@ def pair_layout(indexed: DataFrame, pairs: DataFrame, n_iter: int = 450) -> Data
     # Made outside the block, so that the searches behind it are planned adaptively.
     pairs = materialize(pairs, "pairs")
     both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
-    with static_plans(indexed.sparkSession):
+    with static_plans(indexed.sparkSession, _partitions(both)):
         return _descend_pairs(indexed, _Pairs(both), n_iter)
 
 
@@ -146,7 +152,7 @@ def membership_layout(indexed: DataFrame, graph: DataFrame, n: int, n_iter: int
     """(idx, y0, y1) from a symmetric weighted graph: edges attract by weight, and
     every row is repelled by a few rows drawn anew in each step."""
     edges = materialize(graph.withColumn("kind", F.lit("edge")), "edges")
-    with static_plans(indexed.sparkSession):
+    with static_plans(indexed.sparkSession, _partitions(edges)):
         return _descend_graph(indexed, _Pairs(edges), n, n_iter, seed)
 
 

@@ -91,8 +91,9 @@ def forget_estimates(df: DataFrame, path: str, partitions: int, key: str) -> Dat
 
 
 @contextmanager
-def static_plans(spark: SparkSession) -> Iterator[None]:
-    """Adaptive re-planning off inside the block. A checkpoint made here remembers
+def static_plans(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Adaptive re-planning off inside the block, with a fixed number of shuffle
+    partitions that the caller derives from the size of its data. A checkpoint made here remembers
     how it is partitioned, so the steps of a loop can join it without a shuffle;
     under adaptive execution that knowledge is lost. Automatic broadcasts are off
     too, since they would go by estimates, and so is the inference of constraints:
@@ -101,6 +102,7 @@ def static_plans(spark: SparkSession) -> Iterator[None]:
         "spark.sql.adaptive.enabled": "false",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.constraintPropagation.enabled": "false",
+        "spark.sql.shuffle.partitions": str(partitions),
     }
     before = {name: spark.conf.get(name) for name in fixed}
     try:

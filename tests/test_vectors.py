@@ -117,7 +117,7 @@ def test_forces_with_a_hub(spark):
     def pull(d2):
         return F.when(F.col("kind") == "near", 1.0 / (1.0 + d2)).otherwise(-2.0 / (1.0 + d2))
 
-    with static_plans(spark):
+    with static_plans(spark, 8):
         prepared = Y._Pairs(pairs)
         assert prepared.salted and {r["idx"] for r in prepared.hot.collect()} == {0}
         salted = state.drop("splits").join(prepared.hot, "idx", "left").na.fill(1, ["splits"])
