@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from sentspark.operators import head as H, linear as L
+from sentspark.operators.history import track
 
 
 @dataclass
@@ -38,9 +40,10 @@ class HeadClassifier:
     model: H.Head | None = None
     best_score: float | None = None
 
-    def fit(self, train: DataFrame, val: DataFrame | None = None, **options: Any) -> "HeadClassifier":
+    def fit(self, train: DataFrame, val: DataFrame | None = None, log: Callable[[dict], None] | None = None,
+            train_fn: Callable = H.train_head, **options: Any) -> "HeadClassifier":
         settings = H.HeadSettings(**self.params)
-        self.model, self.best_score, _ = H.train_head(train, val, settings, **options)
+        self.model, self.best_score, _ = track(train_fn, log, train, val, settings, **options)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:

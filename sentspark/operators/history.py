@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from sentspark.functions.losses import linear_warmup
 
-def learning_rate_schedule(spark, total_steps: int, warmup_steps: int = 0, learning_rate: float = 1.0) -> DataFrame:
-    """(step, factor, learning_rate) for the steps 0..total_steps."""
-    from sentspark.functions.losses import linear_warmup
 
+def learning_rate_schedule(spark: SparkSession, total_steps: int, warmup_steps: int = 0,
+                           learning_rate: float = 1.0) -> DataFrame:
+    """(step, factor, learning_rate) for the steps 0..total_steps."""
     factor = linear_warmup(F.col("step"), warmup_steps, total_steps)
     return (
         spark.range(total_steps + 1).select(F.col("id").alias("step"))
@@ -58,3 +62,12 @@ def to_long(wide: DataFrame, metrics: list[str], run: str = "run_id", epoch: str
     return wide.select(run, epoch, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         [run, epoch], metrics, "metric", "value"
     )
+
+
+def track(train_fn: Callable[..., tuple[Any, float, list]], log: Callable[[dict], None] | None, *args: Any, **options: Any):
+    """Run a training function with a logging callback and log its best score last.
+    The function takes ``log`` and returns (model, best score, logged epochs)."""
+    model, best, logged = train_fn(*args, log=log, **options)
+    if log:
+        log({"val/macro_f1": best})
+    return model, best, logged

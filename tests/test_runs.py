@@ -38,6 +38,7 @@ def test_train_and_submit(spark, folder):
     test = R.read_delimited(spark, f"{folder}/raw/test.tsv", separator="\t", multi_line=True)
     assert written.count() == test.count() == written.join(test, "sentence_id").count()
     logged = W.read_history(spark, first["history"])
+    assert logged.where("epoch is null and metric = 'val/macro_f1'").first()["value"] == first["best_score"]
     assert {"val/macro_f1", "test/OBJ_class_f1"} <= {r["metric"] for r in logged.collect()}
     assert {r["split"] for r in first["token_profile"].collect()} == {"train", "val", "test"}
     again = runs.train_and_submit(spark, settings(folder, loss="focal"), test_has_labels=False)

@@ -110,6 +110,11 @@ def test_strict_mapping(spark):
     assert back.where("label <> again").count() == 0
 
 
+def test_float_targets(spark):
+    df = spark.createDataFrame([("SUBJ",), ("OBJ",)], "label string")
+    assert [r["y"] for r in encoding.encode_labels(df, N.BASELINE_TARGETS, output="y").collect()] == [1.0, 0.0]
+
+
 def test_threshold_argmax_softmax(spark):
     values = [(0.5,), (0.49,), (math.nan,), (None,)]
     got = [r[0] for r in spark.createDataFrame(values, "x double").select(N.threshold_label(F.col("x"))).collect()]
@@ -186,4 +191,6 @@ def test_describe(spark):
     assert got == {"count": 5, "null_count": 1, "mean": 3, "std": pytest.approx(1.5811388), "min": 1, "25%": 2, "50%": 3, "75%": 4, "max": 5}
     single = {r["statistic"]: r["value"] for r in P.describe_counts(df.where("v = 3"), "v").collect()}
     assert single["std"] is None and single["50%"] == 3
+    empty = {r["statistic"]: r["value"] for r in P.describe_counts(df.where("v > 9"), "v").collect()}
+    assert empty["count"] == 0 and empty["null_count"] == 0 and empty["50%"] is None
     assert one(spark, "é\U0001f600", "string", F.length) == 2

@@ -49,6 +49,13 @@ def test_knn_ties_and_few_rows(spark):
     assert found(N.knn_graph(frame(spark, grid[:3]), 10)) == brute_force(grid[:3], 10)
 
 
+def test_no_rows_and_pairs_of_few_rows(spark):
+    assert N.knn_graph(frame(spark, [(0.0, 1.0)]).where("vec_id < 0"), 3).count() == 0
+    few = G.index_rows(frame(spark, np.eye(6)), "vec_id", "embedding", 1)
+    pairs = G.pacmap_pairs(few, N.knn_graph(few, 3, "idx", "vec"), 6, 2)
+    assert pairs.where("i = j").count() == 0 and {r["kind"] for r in pairs.collect()} == {"near", "mid", "far"}
+
+
 def test_skew_join_keeps_every_row(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
@@ -231,6 +238,9 @@ def test_training_learns_stops_and_reloads(spark):
     head, best, logged = H.train_head(df.where("sentence_id < 150"), df.where("sentence_id >= 150"), settings, log=seen.append)
     assert best > 0.9 and seen == logged and logged[0]["epoch"] == 1 and len(logged) <= 6
     assert set(logged[0]) >= {"train/loss", "val/loss", "val/macro_f1", "learning_rate", "val/OBJ_class_f1", "val/SUBJ_class_f1"}
+    tracked = []
+    K.HeadClassifier({"inputs": 4}).fit(df, df, tracked.append, train_fn=lambda train, val, settings, log: (head, best, logged))
+    assert tracked == [{"val/macro_f1": best}]
     path = scratch_path(spark, "head")
     H.save_head(spark, head, path)
     again = H.load_head(spark, path)
