@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sentspark.llm.bfd_packing import pack_documents
 from sentspark.llm.language_id import fit, held_out, identify
 from sentspark.llm.line_blocks import extract_pages
+from sentspark.llm.line_crf import fit as fit_field, judge_lines
 from sentspark.llm.registry import query, table
 from sentspark.llm.winnowing import fingerprint_edits
 
@@ -32,3 +33,9 @@ def op8_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bfd_packing")
 def op10_bfd_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_line_crf")
+def op2_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return judge_lines(docs, fit_field(docs, table(spark, folder, "labels")))
