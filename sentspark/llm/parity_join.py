@@ -11,10 +11,11 @@ out by documents with at most s of them; a document with more emits all its bloc
 which keeps the search complete (see ``_keys``).
 
 Equal sets are one class from the start and only its smallest doc_id goes on.
-Documents under one key are compared by a second sketch of 256 bits (again a lower
-bound), in blocks of bounded size, never emitted as all pairs: each names its
-nearest admissible partners first; those are verified on the real sets; then only
-pairs between different components are left to verify.
+Documents under one key are compared by a second sketch (again a lower bound, and
+wide enough to be a close one), in blocks of bounded size, never emitted as all pairs:
+each names its nearest admissible partners first, and those are verified on the real
+sets. Where a document had more of them, the block is compared once more, for pairs
+between different components only.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from sentspark.llm.components import connected_components
 from sentspark.llm.kernels import mix, shingle_sets
 from sentspark.llm.scratch import keep, scratch
 
-CHECK_WORDS = 4         # 64-bit words of the second sketch
+CHECK_BITS = (256, 4096)    # bounds of the second sketch's width: 8 bits per allowed difference
 BLOCK = 1024            # members of a key compared at a time
-NEAREST = 2             # partners named in the first round
+NEAREST = 4             # partners named in the first round
+COMPARED = 1 << 17      # pairs of sketches in memory at a time
 
 _U = np.uint64
 
@@ -98,10 +100,14 @@ def _keys(geometry: Geometry, tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else tokens[:0]
 
 
-def _check_sketch(tokens: np.ndarray) -> bytes:
-    """256-bit parity sketch over bits the blocks don't use."""
-    bit = ((tokens >> _U(6)) & _U(64 * CHECK_WORDS - 1)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=64 * CHECK_WORDS) & 1).astype(np.uint8)
+def _check_sketch(geometry: Geometry, tokens: np.ndarray) -> bytes:
+    """Parity sketch over token bits that the blocks don't use. Widths are powers of
+    two, so a wide one folds into a narrower one."""
+    width = CHECK_BITS[0]
+    while width < CHECK_BITS[1] and width < 8 * geometry.most(len(tokens)):
+        width *= 2
+    bit = ((tokens >> _U(6)) & _U(width - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=width) & 1).astype(np.uint8)
     return np.packbits(odd).tobytes()
 
 
@@ -118,7 +124,7 @@ def _describe(batches, shingle: int, geometry: Geometry):
             first.append(tokens.sum(dtype=np.uint64))
             second.append(mix(tokens ^ _U(0xA24BAED4963EE407)).sum(dtype=np.uint64))
             keys.append(_signed(_keys(geometry, tokens)))
-            sketches.append(_check_sketch(tokens))
+            sketches.append(_check_sketch(geometry, tokens))
         bounds = np.zeros(len(keys) + 1, np.int64)
         np.cumsum([len(k) for k in keys], out=bounds[1:])
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -178,32 +184,93 @@ def _buckets(batches):
         yield rows(found)
 
 
-def _compare(table: pa.Table, geometry: Geometry, nearest: bool) -> pa.Table:
-    """Admissible pairs of one block of members, or between two blocks: by size and by
-    the distance of the check sketches. ``nearest``: only each member's first few;
-    else those beyond them whose components differ."""
-    side = table.column("side").to_numpy()
-    ids, sizes, group = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component"))
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, CHECK_WORDS)
-    left = np.flatnonzero(side == 0)
-    right = left if not (side == 1).any() else np.flatnonzero(side == 1)
-    a_out, b_out = [], []
-    for i in left.tolist():
-        small, large = np.minimum(sizes[i], sizes[right]), np.maximum(sizes[i], sizes[right])
-        gap = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1)
-        allowed = (small + large) * (geometry.den - geometry.num) // (geometry.den + geometry.num)
-        ok = (gap <= allowed) & (large * geometry.num <= small * geometry.den) & (ids[right] != ids[i])
+def _fold(sketch: bytes, width: int) -> bytes:
+    while len(sketch) > width:
+        half = len(sketch) // 2
+        sketch = (int.from_bytes(sketch[:half]) ^ int.from_bytes(sketch[half:])).to_bytes(half)
+    return sketch
+
+
+def _admissible(rows: dict[str, np.ndarray], first: np.ndarray, last: np.ndarray, geometry: Geometry, nearest: bool):
+    """Pairs (a, b) of row i and rows first[i] .. last[i] - 1 that sizes and sketches
+    admit. ``nearest``: the closest few of each row, and which rows had more; else all
+    between different components. All sketches have one width."""
+    ids, sizes, group = rows["doc_id"], rows["n_shingles"], rows["component"]
+    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(ids), -1)
+    counts = last - first
+    step = np.searchsorted(np.cumsum(counts * bits.shape[1]), np.arange(1, 1 + int((counts * bits.shape[1]).sum()) // (4 * COMPARED)) * 4 * COMPARED)
+    pairs, more = [], []
+    for part in np.split(np.arange(len(ids)), np.unique(step)):
+        n = counts[part]
+        i = np.repeat(part, n)
+        j = np.repeat(first[part], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        ok = (ids[i] != ids[j]) & (large * geometry.num <= small * geometry.den)
         if not nearest:
-            ok &= group[right] != group[i]
-        who = right[ok]
-        if nearest and len(who) > NEAREST:
-            who = who[np.argsort(gap[ok], kind="stable")[:NEAREST]]
-        a_out.append(np.minimum(ids[who], ids[i]))
-        b_out.append(np.maximum(ids[who], ids[i]))
-    a = np.concatenate(a_out) if a_out else ids[:0]
-    b = np.concatenate(b_out) if b_out else ids[:0]
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+            ok &= group[i] != group[j]
+        i, j, small, large = i[ok], j[ok], small[ok], large[ok]
+        gap = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        ok = gap <= (small + large) * (geometry.den - geometry.num) // (geometry.den + geometry.num)
+        i, j, gap = i[ok], j[ok], gap[ok]
+        if nearest and len(i):
+            order = np.lexsort((ids[j], gap, i))
+            i, j = i[order], j[order]
+            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
+            more.append(i[rank >= NEAREST])
+            i, j = i[rank < NEAREST], j[rank < NEAREST]
+        pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+    return np.concatenate(pairs), np.concatenate(more) if more else np.zeros(0, np.int64)
+
+
+def _compare(batches, geometry: Geometry, nearest: bool):
+    """From members sorted by (task, side): rows (a, b, NULL) for admissible pairs and
+    (NULL, NULL, task) for tasks with more of them than were named. Holds the tasks of
+    one batch."""
+    names = ["task", "side", "doc_id", "n_shingles", "component"]
+
+    def work(held):
+        rows = {c: np.concatenate([h[c] for h in held]) for c in names}
+        sketches = [x for h in held for x in h["sketch"]]
+        begin = np.flatnonzero(np.r_[True, rows["task"][1:] != rows["task"][:-1]])
+        sizes = np.diff(np.r_[begin, len(sketches)])
+        owner = np.repeat(np.arange(len(begin)), sizes)
+        width = np.array([len(x) for x in sketches])
+        narrow = np.minimum.reduceat(width, begin)[owner]
+        right = np.add.reduceat(rows["side"], begin)[owner]     # rows on side 1 of the task
+        stop = (begin + sizes)[owner]
+        first = np.where(right > 0, stop - right, begin[owner])
+        last = np.where(rows["side"] > 0, first, stop)
+        pairs, tasks = [], []
+        for w in np.unique(narrow):
+            at = np.flatnonzero(narrow == w)        # whole tasks, so ranges stay ranges
+            moved = np.cumsum(narrow == w) - 1
+            part = {c: rows[c][at] for c in names}
+            part["sketch"] = [_fold(sketches[i], w) for i in at]
+            low = moved[first[at]]
+            found, more = _admissible(part, low, low + last[at] - first[at], geometry, nearest)
+            pairs.append(found)
+            tasks.append(np.unique(part["task"][more]))
+        pairs, tasks = np.unique(np.concatenate(pairs), axis=0), np.concatenate(tasks)
+        blank = [None] * len(tasks)
+        return pa.RecordBatch.from_arrays([
+            pa.array(pairs[:, 0].tolist() + blank, pa.int64()), pa.array(pairs[:, 1].tolist() + blank, pa.int64()),
+            pa.array([None] * len(pairs) + tasks.tolist(), pa.int64())], names=["a", "b", "task"])
+
+    held = []
+    for batch in batches:
+        now = {c: batch.column(c).to_numpy() for c in names} | {"sketch": batch.column("sketch").to_pylist()}
+        count = batch.num_rows
+        if count == 0:
+            continue
+        # The last task may go on in the next batch.
+        cut = int(np.searchsorted(now["task"], now["task"][-1]))
+        if cut or (held and held[-1]["task"][-1] != now["task"][0]):
+            yield work(held + ([{c: v[:cut] for c, v in now.items()}] if cut else []))
+            held = []
+        held.append({c: v[cut:] for c, v in now.items()})
+    if held:
+        yield work(held)
 
 
 def parity_join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -257,22 +324,14 @@ def parity_join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
         )
         members = tmp.table(members.join(reps.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "doc_id"))
 
-        def candidates(labels: DataFrame | None) -> DataFrame:
-            first = labels is None
-            if first:
-                rows = members.withColumn("component", F.col("doc_id"))
-            else:
-                rows = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
-                # A task whose members are one component already is done.
-                open_ = rows.groupBy("task").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("task")
-                rows = rows.join(open_, "task", "left_semi")
-            return (
-                rows.select("task", "side", "doc_id", "n_shingles", "component", "sketch").groupBy("task")
-                .applyInArrow(lambda table: _compare(table, geometry, first), "a long, b long").distinct()
-            )
+        def candidates(members: DataFrame, nearest: bool) -> DataFrame:
+            return tmp.table(
+                members.select("task", "side", "doc_id", "n_shingles", "component", "sketch")
+                .repartition("task").sortWithinPartitions("task", "side", "doc_id")
+                .mapInArrow(partial(_compare, geometry=geometry, nearest=nearest), "a long, b long, task long"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            pairs = tmp.table(pairs)
+            pairs = tmp.table(pairs.where("a IS NOT NULL").select("a", "b").distinct())
             wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
             sets = tmp.table(
                 texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -284,16 +343,22 @@ def parity_join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
             shared = F.size(F.array_intersect("ta", "tb"))
             return both.where(shared * den >= (F.size("ta") + F.size("tb") - shared) * num).select("a", "b")
 
-        links = tmp.table(verify(candidates(None)))
+        named = candidates(members.withColumn("component", F.col("doc_id")), True)
+        links = tmp.table(verify(named))
         labels = connected_components(links, tmp)
-        more = tmp.table(verify(candidates(labels)))
-        if not more.isEmpty():
+        unfinished = named.where("task IS NOT NULL").select("task").distinct()
+        if not unfinished.isEmpty():
+            rest = (
+                members.join(unfinished, "task", "left_semi").join(labels, "doc_id", "left")
+                .withColumn("component", F.coalesce("component_id", "doc_id"))
+            )
+            more = tmp.table(verify(candidates(rest, False)))
             labels = connected_components(links.unionByName(more), tmp)
-        named = classes.join(labels, F.col("rep") == F.col("doc_id"), "left").select(
+        of_class = classes.join(labels, F.col("rep") == F.col("doc_id"), "left").select(
             "d1", "d2", F.col("n_shingles").alias("size"), F.coalesce("component_id", "rep").alias("component_id"))
         result = (
             described.select("doc_id", "n_shingles", "d1", "d2")
-            .join(named.withColumnsRenamed({"d1": "e1", "d2": "e2"}),
+            .join(of_class.withColumnsRenamed({"d1": "e1", "d2": "e2"}),
                   (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n_shingles") == F.col("size"))
                   & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
