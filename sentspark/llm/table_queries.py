@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.llm.feistel import shard_rows
 from sentspark.llm.registry import query, table
+from sentspark.llm.surrogates import replace_entities
 from sentspark.llm.url_reputation import judge_urls
 
 
@@ -26,3 +27,8 @@ def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_feistel_shards")
 def op5_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents"), shards=40)
+
+
+@query("op9_surrogates")
+def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_entities(table(spark, folder, "documents").select("doc_id", "text"))
