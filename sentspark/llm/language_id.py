@@ -203,6 +203,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(partial(_predict, model=model), "doc_id long, lang_pred string, score double")
 
 
+def tag(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` as struct ``row`` beside lang_pred and score, in one pass."""
+    def each(batches):
+        for batch in batches:
+            langs, scores = score_texts([t or "" for t in batch.column("body").to_pylist()], model)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             names=["row", "lang_pred", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("body"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(each, f"row {kind}, lang_pred string, score double")
+
+
 def held_out() -> Column:
     """Whether the document is kept from learning: crc32 of its doc_id, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))

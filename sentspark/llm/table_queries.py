@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.llm.feistel import shard_rows
 from sentspark.llm.registry import query, table
+from sentspark.llm.soft_mixing import fit, mix_documents
 from sentspark.llm.surrogates import replace_entities
 from sentspark.llm.url_reputation import judge_urls
 
@@ -32,3 +33,22 @@ def op5_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_surrogates")
 def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return replace_entities(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+# Target shares of the tokens of a mix, by what the label table says of a document.
+MIX = {"clean": 0.88, "junk": 0.05, "toxic": 0.07}
+
+
+def label_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and domain of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return table(spark, folder, "labels").select("doc_id", domain.alias("domain"))
+
+
+@query("op7_soft_mixing")
+def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit(docs, label_domains(spark, folder))
+    mixed = mix_documents(docs, model, MIX, anchor="clean")
+    shares = [F.round(F.element_at("p", i + 1), 9).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return mixed.select("row.doc_id", "tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
