@@ -12,7 +12,11 @@ from sentspark.llm import stages
 from sentspark.session import materialize
 
 STAGES = [
+    ("language", stages.with_language),
     ("near_duplicates", stages.near_duplicates),
+    ("personal_data", stages.without_personal_data),
+    ("mixing", stages.mixed),
+    ("packing", stages.packed),
 ]
 
 # Language scores and soft posteriors are fitted models: SQL can't express them.
