@@ -31,9 +31,8 @@ def class_counts(df: DataFrame, column: str) -> DataFrame:
 
 def num_classes(df: DataFrame, column: str) -> DataFrame:
     """Distinct values, NULL counting as one."""
-    return df.agg(
-        (F.count_distinct(column) + F.max(F.col(column).isNull().cast("int"))).cast("bigint").alias("num_classes")
-    )
+    missing = F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0))
+    return df.agg((F.count_distinct(column) + missing).cast("bigint").alias("num_classes"))
 
 
 def cell_totals(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -174,7 +173,7 @@ def class_report(cells: DataFrame, digits: int = 4, swap: bool = False, zero_rul
     rows = reduce(DataFrame.unionByName, [per_class, hits, means])
     rounded = rows.select(
         "category",
-        *[F.round(F.col(n), digits).alias("f1-score" if n == "f1" else n) for n in (*scores, "support")],
+        *[F.bround(F.col(n), digits).alias("f1-score" if n == "f1" else n) for n in (*scores, "support")],
     )
     # One row per class.
     return rounded.join(F.broadcast(class_count_table(cells)), "category", "left")
@@ -215,11 +214,11 @@ def class_f1(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def score_all(cells: DataFrame, metrics: dict[str, Callable] | Callable, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
-    """(by..., name, value) for every metric, rounded. A bare function counts as
+    """(by..., name, value) for every metric, rounded half to even. A bare function counts as
     ``{"metric": function}``."""
     named = metrics if isinstance(metrics, dict) else {"metric": metrics}
     parts = []
     for name, fn in named.items():
         value = fn(cells, by)
-        parts.append(value.select(*by, F.lit(name).alias("name"), F.round(F.col(value.columns[-1]), digits).alias("value")))
+        parts.append(value.select(*by, F.lit(name).alias("name"), F.bround(F.col(value.columns[-1]), digits).alias("value")))
     return reduce(DataFrame.unionByName, parts)

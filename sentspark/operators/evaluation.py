@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sentspark.functions.labels import LABELS, SUBJECTIVE
 from sentspark.operators import counts as C
@@ -12,6 +12,8 @@ from sentspark.operators.skew import skew_join
 
 # The score names in output order.
 SCORES = ("macro_F1", "macro_P", "macro_R", "SUBJ_F1", "SUBJ_P", "SUBJ_R", "accuracy")
+# The names followed by two tabs.
+WIDE = ("macro_P", "macro_R", "SUBJ_P", "SUBJ_R")
 # The checks, in the order they are made.
 CHECKS = ("row counts", "columns", "label values", "ids", "gold labels")
 
@@ -20,29 +22,20 @@ def matched_cells(pred: DataFrame, gold: DataFrame, classes: Sequence[str] | Non
     """Confusion cells of the inner join on ``sentence_id`` without building it.
 
     Each side is first counted per id, so a repeated id, however hot, is one row
-    before anything is shuffled, and the cell of a many-to-many match is the
-    product of the two counts. With ``classes`` given, a side is one row per id
-    with a counter per class, and the join reuses the partitioning of the counts;
-    a label outside the list fails the query.
+    per label before anything is shuffled, and the cell of a many-to-many match is the
+    product of the two counts. NULL ids match each other. With ``classes`` given, a
+    predicted label outside the list fails the query; gold labels may be others.
     """
-    if classes is None:
-        p = pred.groupBy("sentence_id", F.col("label").alias("pred")).agg(F.count(F.lit(1)).alias("np"))
-        g = gold.groupBy("sentence_id", F.col("label").alias("gold")).agg(F.count(F.lit(1)).alias("ng"))
-        both = p.join(g, "sentence_id").withColumn("n", F.col("np") * F.col("ng"))
-        return both.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
-    p, g = _class_counters(pred, classes, "p"), _class_counters(gold, classes, "g")
-    cells = [
-        F.struct(F.lit(a).alias("gold"), F.lit(b).alias("pred"), F.sum(F.col(f"g{i}") * F.col(f"p{j}")).alias("n"))
-        for i, a in enumerate(classes) for j, b in enumerate(classes)
-    ]
-    return p.join(g, "sentence_id").agg(F.array(*cells).alias("cells")).select(F.inline("cells")).where("n > 0")
-
-
-def _class_counters(df: DataFrame, classes: Sequence[str], prefix: str) -> DataFrame:
+    p = pred if classes is None else pred.withColumn("label", _known(classes))
+    p = p.groupBy("sentence_id", F.col("label").alias("pred")).agg(F.count(F.lit(1)).alias("np"))
+    g = gold.groupBy("sentence_id", F.col("label").alias("gold")).agg(F.count(F.lit(1)).alias("ng"))
+    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"])).withColumn("n", F.col("np") * F.col("ng"))
+    return both.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
+
+
+def _known(classes: Sequence[str]) -> Column:
     known = F.coalesce(F.col("label").isin(*classes), F.lit(False))
-    label = F.when(known, F.col("label")).otherwise(F.raise_error(F.lit("label outside the class list")))
-    counters = [F.count_if(label == c).alias(f"{prefix}{i}") for i, c in enumerate(classes)]
-    return df.groupBy("sentence_id").agg(*counters)
+    return F.when(known, F.col("label")).otherwise(F.raise_error(F.lit("label outside the class list")))
 
 
 def evaluate_cells(cells: DataFrame, by: Sequence[str] = (), positive: str = SUBJECTIVE) -> DataFrame:
@@ -70,13 +63,14 @@ def evaluate_by(pred: DataFrame, gold: DataFrame, by: Sequence[str]) -> DataFram
     """The seven scores per group, the group columns coming from ``gold``."""
     p = pred.groupBy("sentence_id", F.col("label").alias("pred")).agg(F.count(F.lit(1)).alias("np"))
     g = gold.groupBy("sentence_id", *by, F.col("label").alias("gold")).agg(F.count(F.lit(1)).alias("ng"))
-    both = p.join(g, "sentence_id").withColumn("n", F.col("np") * F.col("ng"))
+    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"])).drop(p["sentence_id"]).withColumn("n", F.col("np") * F.col("ng"))
     return evaluate_cells(both.groupBy(*by, "gold", "pred").agg(F.sum("n").alias("n")), by)
 
 
 def score_line(scores: DataFrame) -> DataFrame:
-    """The scores as one line, two decimals each."""
-    shown = [F.concat(F.lit(f"{name}:\t"), F.format_string("%.2f", F.col(name))) for name in SCORES]
+    """The scores as one line, two decimals each; ties are decided by the exact binary
+    value and then half to even, as ``format_number`` does."""
+    shown = [F.concat(F.lit(f"{name}:" + "\t" * (1 + (name in WIDE))), F.format_number(F.col(name), 2)) for name in SCORES]
     return scores.select(F.concat_ws("\t\t", *shown).alias("line"))
 
 
@@ -89,7 +83,7 @@ def validation_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
         *[F.count_if(label == c).alias(f"n_{c}") for c in LABELS],
     )
     g = gold.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("ng"))
-    both = p.join(g, "sentence_id", "full_outer")
+    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"]), "full_outer")
     return both.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(name)
           for c, name in (("np", "n_pred"), ("ng", "n_gold"), *[(f"n_{c}", f"n_{c}") for c in LABELS])],
@@ -145,14 +139,17 @@ def _pair(*names: str):
 
 def merge(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Inner join on ``sentence_id`` with both labels renamed; other columns the two
-    share get the suffixes _x and _y."""
+    share get the suffixes _x and _y. NULL ids match each other."""
     shared = (set(pred.columns) & set(gold.columns)) - {"sentence_id", "label"}
 
     def renamed(df: DataFrame, label: str, suffix: str) -> DataFrame:
         names = {"label": label, **{c: c + suffix for c in shared}}
-        return df.select([F.col(c).alias(names.get(c, c)) for c in df.columns])
+        id_text = F.col("sentence_id").cast("string")
+        key = F.coalesce(F.concat(F.lit("="), id_text), F.lit(""))
+        return df.select(key.alias("_id"), *[F.col(c).alias(names.get(c, c)) for c in df.columns])
 
-    return skew_join(renamed(pred, "pred_label", "_x"), renamed(gold, "gold_label", "_y"), "sentence_id")
+    left, right = renamed(pred, "pred_label", "_x"), renamed(gold, "gold_label", "_y").drop("sentence_id")
+    return skew_join(left, right, "_id").drop("_id")
 
 
 def validated_merge(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -164,11 +161,14 @@ def validated_merge(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def id_mismatch(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """(sentence_id, side): the ids that occur on one side only."""
-    ids = "sentence_id"
-    lost = pred.select(ids).join(gold.select(ids), ids, "left_anti").distinct().withColumn("side", F.lit("pred only"))
-    unseen = gold.select(ids).join(pred.select(ids), ids, "left_anti").distinct().withColumn("side", F.lit("gold only"))
-    return lost.unionByName(unseen)
+    """(sentence_id, side): the ids that occur on one side only; one shuffle a side."""
+    p = pred.groupBy("sentence_id").agg(F.lit(True).alias("in_pred"))
+    g = gold.groupBy("sentence_id").agg(F.lit(True).alias("in_gold"))
+    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"]), "full_outer")
+    return (
+        both.where(F.col("in_pred").isNull() | F.col("in_gold").isNull())
+        .select(F.coalesce(p["sentence_id"], g["sentence_id"]).alias("sentence_id"), F.when(F.col("in_gold").isNull(), "pred only").otherwise("gold only").alias("side"))
+    )
 
 
 def join_scores(df: DataFrame, scores: DataFrame) -> DataFrame:

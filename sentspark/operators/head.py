@@ -227,7 +227,7 @@ def _epoch_scores(spark: SparkSession, cells: Mapping[str, Mapping], metrics: Ma
     """{(split, score): value} for the metrics and the F1 of each class, in one job."""
     frame = _cells_frame(spark, cells)
     name = decode(F.col("category"), {code: f"{label}_class_f1" for code, label in names.items()})
-    single = C.class_f1(frame, ["split"]).select("split", name.alias("name"), F.round("f1", digits).alias("value"))
+    single = C.class_f1(frame, ["split"]).select("split", name.alias("name"), F.bround("f1", digits).alias("value"))
     rows = C.score_all(frame, dict(metrics), ["split"], digits).unionByName(single).collect()
     return {(row["split"], row["name"]): row["value"] for row in rows}
 

@@ -67,7 +67,7 @@ def _search(distinct: DataFrame, n: int, k: int, pivots: int | None, block: int)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            gaps = _distances(_matrix(batch["vec"]), shared.value)
+            gaps = np.sqrt(_squared(_matrix(batch["vec"]), shared.value)[0])
             cell = gaps.argmin(axis=1)
             radius = gaps[np.arange(len(cell)), cell]
             yield pa.RecordBatch.from_arrays(
@@ -97,19 +97,22 @@ def _search(distinct: DataFrame, n: int, k: int, pivots: int | None, block: int)
     ring = np.full((len(chosen), 2), np.nan)
     for row in cells:
         ring[row["cell"]] = row["inner"], row["outer"]
-    limits = spark.sparkContext.broadcast((ring, _distances(centres, centres)))
+    limits = spark.sparkContext.broadcast((ring, np.sqrt(_squared(centres, centres)[0])))
 
     def reachable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         rings, between = limits.value
-        gaps = _distances(_matrix(batch["vec"]), shared.value)
+        squared, error = _squared(_matrix(batch["vec"]), shared.value)
+        gaps = np.sqrt(squared)
         own = batch["cell"].to_numpy()
         at_own = gaps[np.arange(len(own)), own][:, None]
         # Lower bounds on the distance to any member of a cell: it lies in a ring
         # around its pivot, and on its pivot's side of the bisecting plane.
-        plane = np.divide(gaps ** 2 - at_own ** 2, 2 * between[own], out=np.zeros_like(gaps), where=between[own] > 0)
+        # Pivots too close for their distance to be sure have no such side.
+        sure = between[own] ** 2 > 1e6 * error
+        plane = np.divide(squared - at_own ** 2, 2 * between[own], out=np.zeros_like(gaps), where=sure)
         nearest = np.maximum(np.maximum(gaps - rings[:, 1], rings[:, 0] - gaps), plane)
         limit = batch["bound"].to_numpy()[:, None]
-        open_cells = (nearest <= limit + 1e-6 * (1 + gaps)) & ~np.isnan(rings[:, 0])
+        open_cells = (nearest <= limit + 4 * np.sqrt(error) + 1e-5 * np.abs(nearest)) & ~np.isnan(rings[:, 0])
         open_cells[np.arange(len(own)), own] = False
         return np.nonzero(open_cells)
 
@@ -170,9 +173,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype("float64")
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squared = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squared, 0.0))
+def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by a product of matrices, and a bound on their rounding error.
+    The mean is taken off first, so that what all vectors share costs no digits; the
+    bound grows with what is left of the norms and with the digits lost before."""
+    centre = b.mean(axis=0)
+    lost = np.abs(centre).max(initial=0.0)
+    a, b = a - centre, b - centre
+    na, nb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
+    unit = np.finfo(float).eps * max(1, a.shape[1])
+    error = 8 * unit * (na + nb) + (4 * unit * lost) ** 2
+    return np.maximum(na + nb - 2.0 * (a @ b.T), 0.0), error
 
 
 def _block_nearest(these: pa.Table, those: pa.Table, k: int) -> pa.Table:
@@ -184,12 +195,12 @@ def _block_nearest(these: pa.Table, those: pa.Table, k: int) -> pa.Table:
     out = []
     for start in range(0, len(a), 512):
         part, ids = a[start:start + 512], a_ids[start:start + 512]
-        near = _distances(part, b)
+        near, error = _squared(part, b)
         near[ids[:, None] == b_ids[None, :]] = np.inf
         edge = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
         # The fast distances carry rounding errors: keep what might be among the
         # first k, and order that by the exact differences.
-        row, col = np.nonzero((near <= edge[:, None] + 1e-6 * (1 + edge[:, None])) & np.isfinite(near))
+        row, col = np.nonzero((near <= edge[:, None] + 2 * error.max(axis=1, keepdims=True)) & np.isfinite(near))
         exact = np.concatenate([
             np.sqrt(((part[row[s:s + 65536]] - b[col[s:s + 65536]]) ** 2).sum(axis=1)) for s in range(0, len(row), 65536)
         ] or [np.empty(0)])

@@ -15,11 +15,13 @@ _COPIES_STEP = 1 << 20
 
 
 def shuffle_key(id_column: str, seed: int, epoch: Column | None = None) -> Column:
-    """32 hex digits, uniform over distinct ids."""
-    parts = [F.col(id_column).cast("string"), F.lit(f":{seed}")]
+    """32 hex digits, uniform over distinct ids. NULL is an id of its own: no other
+    id's text ends like that."""
+    parts = [F.lit(f":{seed}")]
     if epoch is not None:
         parts += [F.lit(":"), epoch.cast("string")]
-    return F.md5(F.concat(*parts).cast("binary"))
+    named = F.concat(F.col(id_column).cast("string"), *parts)
+    return F.md5(F.coalesce(named, F.concat(*parts, F.lit(":null"))).cast("binary"))
 
 
 def train_val_split(df: DataFrame, ratio: float, seed: int, id_column: str = "sentence_id") -> tuple[DataFrame, DataFrame]:

@@ -60,9 +60,9 @@ def evaluate_by_lang(spark, d):
 
 
 @query("score_line", ctes("g", "p", "pg") + ", " + per_class("pg") + ", e AS (" + _SCORES_SQL.replace(", 6)", ", 9)") + """)
-SELECT concat_ws(chr(9) || chr(9), 'macro_F1:' || chr(9) || printf('%.2f', "macro_F1"), 'macro_P:' || chr(9) || printf('%.2f', "macro_P"),
- 'macro_R:' || chr(9) || printf('%.2f', "macro_R"), 'SUBJ_F1:' || chr(9) || printf('%.2f', "SUBJ_F1"),
- 'SUBJ_P:' || chr(9) || printf('%.2f', "SUBJ_P"), 'SUBJ_R:' || chr(9) || printf('%.2f', "SUBJ_R"),
+SELECT concat_ws(chr(9) || chr(9), 'macro_F1:' || chr(9) || printf('%.2f', "macro_F1"), 'macro_P:' || chr(9) || chr(9) || printf('%.2f', "macro_P"),
+ 'macro_R:' || chr(9) || chr(9) || printf('%.2f', "macro_R"), 'SUBJ_F1:' || chr(9) || printf('%.2f', "SUBJ_F1"),
+ 'SUBJ_P:' || chr(9) || chr(9) || printf('%.2f', "SUBJ_P"), 'SUBJ_R:' || chr(9) || chr(9) || printf('%.2f', "SUBJ_R"),
  'accuracy:' || chr(9) || printf('%.2f', accuracy)) AS line FROM e""")
 def score_line(spark, d):
     return E.score_line(E.evaluate(B.predictions(spark, d), B.gold(spark, d)))
@@ -222,19 +222,19 @@ def class_report_swapped(spark, d):
 @query("holdout_report", ctes("g", "p", "pg") + ", r AS (SELECT gold, pred FROM pg), " + per_class("r") + """,
 acc AS (SELECT avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) AS a FROM r),
 z AS (SELECT category, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, f1, support, predicted FROM scored)
-SELECT category, round(precision, 2) AS precision, round(recall, 2) AS recall, round(f1, 2) AS "f1-score", support::DOUBLE AS support,
+SELECT category, round_even(precision, 2) AS precision, round_even(recall, 2) AS recall, round_even(f1, 2) AS "f1-score", support::DOUBLE AS support,
   support AS "count-labels", predicted AS "count-predictions" FROM z
-UNION ALL SELECT 'accuracy', round(a, 2), round(a, 2), round(a, 2), round(a, 2), NULL, NULL FROM acc
-UNION ALL SELECT 'macro avg', round(avg(precision), 2), round(avg(recall), 2), round(avg(f1), 2), sum(support)::DOUBLE, NULL, NULL FROM z
-UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 2), round(sum(recall * support) / sum(support), 2),
-  round(sum(f1 * support) / sum(support), 2), sum(support)::DOUBLE, NULL, NULL FROM z""")
+UNION ALL SELECT 'accuracy', round_even(a, 2), round_even(a, 2), round_even(a, 2), round_even(a, 2), NULL, NULL FROM acc
+UNION ALL SELECT 'macro avg', round_even(avg(precision), 2), round_even(avg(recall), 2), round_even(avg(f1), 2), sum(support)::DOUBLE, NULL, NULL FROM z
+UNION ALL SELECT 'weighted avg', round_even(sum(precision * support) / sum(support), 2), round_even(sum(recall * support) / sum(support), 2),
+  round_even(sum(f1 * support) / sum(support), 2), sum(support)::DOUBLE, NULL, NULL FROM z""")
 def holdout_report(spark, d):
     """Report over class codes, shown by name, undefined scores 0."""
     coded = B.pairs(spark, d).withColumns({c: encode(F.col(c), HOLDOUT_CODES) for c in ("gold_label", "pred_label")})
     return C.class_report(C.confusion(coded), 2, zero_rule=C.ZERO, names=inverse(HOLDOUT_CODES))
 
 
-@query("class_f1_pick", ctes("li") + ", " + per_class("li") + " SELECT round(f1, 4) AS \"f1-score\" FROM scored WHERE category = 'OBJ'")
+@query("class_f1_pick", ctes("li") + ", " + per_class("li") + " SELECT round_even(f1, 4) AS \"f1-score\" FROM scored WHERE category = 'OBJ'")
 def class_f1_pick(spark, d):
     return C.report_cell(C.class_report(_line_cells(spark, d)), "OBJ")
 
@@ -267,14 +267,14 @@ def label_index(spark, d):
 cells AS (SELECT epoch, c AS category, count(*) FILTER (gold = c AND pred = c) AS tp, count(*) FILTER (gold = c) AS sup,
    count(*) FILTER (pred = c) AS prd FROM li, (SELECT unnest(['OBJ', 'SUBJ']) AS c) GROUP BY ALL),
 f AS (SELECT epoch, category, 2.0 * tp / (sup + prd) AS f1 FROM cells WHERE sup + prd > 0)
-SELECT 'lineitem' AS run_id, epoch::INTEGER AS epoch, 'val/' || category || '_class_f1' AS metric, round(f1, 4) AS value FROM f
-UNION ALL SELECT 'lineitem', epoch::INTEGER, 'val/macro_f1', round(avg(f1), 4) FROM f GROUP BY epoch
-UNION ALL SELECT 'lineitem', epoch::INTEGER, 'val/accuracy', round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 4) FROM li GROUP BY epoch""")
+SELECT 'lineitem' AS run_id, epoch::INTEGER AS epoch, 'val/' || category || '_class_f1' AS metric, round_even(f1, 4) AS value FROM f
+UNION ALL SELECT 'lineitem', epoch::INTEGER, 'val/macro_f1', round_even(avg(f1), 4) FROM f GROUP BY epoch
+UNION ALL SELECT 'lineitem', epoch::INTEGER, 'val/accuracy', round_even(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 4) FROM li GROUP BY epoch""")
 def history_long(spark, d):
     cells = C.confusion(B.line_pairs(spark, d), by=["epoch"])
     scores = C.score_all(cells, C.METRICS, ["epoch"])
     single = C.class_f1(cells, ["epoch"]).select(
-        "epoch", F.concat("category", F.lit("_class_f1")).alias("name"), F.round("f1", 4).alias("value")
+        "epoch", F.concat("category", F.lit("_class_f1")).alias("name"), F.bround("f1", 4).alias("value")
     )
     return scores.unionByName(single).select(
         F.lit("lineitem").alias("run_id"), "epoch", F.concat(F.lit("val/"), "name").alias("metric"), "value"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Submission file names for a test split with and without labels.
@@ -91,12 +90,11 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
                     force: bool = False) -> DataFrame:
     """Parquet cache. The caller puts everything the result depends on (model,
-    length, input) into ``path``."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    length, input) into ``path``. Only a folder with the marker of a finished write
+    counts; whatever else is there is written anew."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not force and marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        return spark.read.parquet(path)
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
