@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.functions.labels import TRAIN_CODES, encode
+from sentspark.functions.vectors import dot
 from sentspark.session import even_out
 
 
@@ -57,11 +58,13 @@ def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors with ten classes; the first ten entries serve as logits."""
-    return table(spark, folder, "embeddings").select(
-        "vec_id", "embedding", F.col("label").alias("class_id"),
-        F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"),
-    )
+    """Vectors with ten classes; the logit of a class is the product with its mean vector."""
+    rows = table(spark, folder, "embeddings")
+    # One number per class and entry.
+    entries = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = entries.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("mean")).orderBy("label").collect()
+    logits = [dot(F.col("embedding"), F.array(*[F.lit(e["m"]) for e in row["mean"]])) for row in means]
+    return rows.select("vec_id", "embedding", F.col("label").alias("class_id"), F.array(*logits).cast("array<double>").alias("logits"))
 
 
 def labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,11 @@ CTES = {
           " CASE l_linestatus WHEN 'O' THEN 'OBJ' ELSE 'SUBJ' END AS pred FROM lineitem)",
     "s": "s AS (SELECT d.doc_id AS sentence_id, d.text AS sentence, d.lang, d.source, g.label FROM documents d"
          " JOIN g ON g.sentence_id = d.doc_id)",
-    "v": "v AS (SELECT vec_id, label AS class_id, embedding::DOUBLE[] AS e, embedding[1:10]::DOUBLE[] AS logits FROM embeddings)",
+    "v": "v AS (WITH entries AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),"
+         " averages AS (SELECT label, i, avg(x) AS m FROM entries GROUP BY 1, 2),"
+         " means AS (SELECT label AS k, list(m ORDER BY i) AS mean FROM averages GROUP BY 1),"
+         " products AS (SELECT vec_id, list(list_dot_product(embedding::DOUBLE[], mean) ORDER BY k) AS logits FROM embeddings, means GROUP BY 1)"
+         " SELECT vec_id, label AS class_id, embedding::DOUBLE[] AS e, logits FROM embeddings JOIN products USING (vec_id))",
     "soft": "soft AS (SELECT vec_id, class_id, list_transform(logits, lambda x: exp(x) / list_sum(list_transform(logits,"
             " lambda y: exp(y)))) AS p FROM v)",
     "hist": "hist AS (SELECT event_type AS run_id, day(ts)::INTEGER AS epoch, round(avg(value), 6) AS score FROM events GROUP BY 1, 2)",

@@ -103,8 +103,8 @@ def decode_labels(spark, d):
     )
 
 
-@query("threshold_labels", """
-SELECT vec_id, CASE WHEN embedding[1]::DOUBLE >= 0.02 THEN 'SUBJ' ELSE 'OBJ' END AS label FROM embeddings""")
+@query("threshold_labels", ctes("v") + """
+SELECT vec_id, CASE WHEN logits[1] >= 0.02 THEN 'SUBJ' ELSE 'OBJ' END AS label FROM v""")
 def threshold_labels(spark, d):
     return B.vectors(spark, d).select("vec_id", threshold_label(F.col("logits")[0], 0.02).alias("label"))
 

@@ -175,11 +175,13 @@ def layout_2d_umap(spark, d):
 
 
 @query("layout_bins", ctes("v") + """,
-r AS (SELECT min(e[1]) AS x0, max(e[1]) AS x1, min(e[2]) AS y0, max(e[2]) AS y1 FROM v)
-SELECT least(floor((e[1] - x0) * 8 / (x1 - x0)), 7)::INTEGER AS bx, least(floor((e[2] - y0) * 8 / (y1 - y0)), 7)::INTEGER AS "by",
-  class_id AS label, count(*) AS n FROM v, r GROUP BY ALL""")
+q AS (SELECT class_id, list_sum(e) AS x, sqrt(list_dot_product(e, e)) AS y FROM v),
+r AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q)
+SELECT least(floor((x - x0) * 8 / (x1 - x0)), 7)::INTEGER AS bx, least(floor((y - y0) * 8 / (y1 - y0)), 7)::INTEGER AS "by",
+  class_id AS label, count(*) AS n FROM q, r GROUP BY ALL""")
 def layout_bins(spark, d):
-    points = B.vectors(spark, d).select(F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"), "class_id")
+    entries = F.transform("embedding", lambda x: x.cast("double"))
+    points = B.table(spark, d, "embeddings").select(V.total(entries).alias("x"), V.norm(entries).alias("y"), F.col("label").alias("class_id"))
     return Y.density_bins(points, "x", "y", 8, "class_id")
 
 
@@ -204,7 +206,7 @@ def lr_predictions(spark, d):
 
 
 def _head_settings(**changes) -> H.HeadSettings:
-    return H.HeadSettings(**{"inputs": 64, "hidden": 32, "learning_rate": 0.01, "epochs": 3, **changes})
+    return H.HeadSettings(**{"inputs": 64, "hidden": 32, "learning_rate": 0.01, "epochs": 10, **changes})
 
 
 @query("mlp_train")
@@ -220,6 +222,6 @@ def mlp_train(spark, d):
 def score_test(spark, d):
     """Logits and labels of the validation part by a head fitted to the other part."""
     train, val = S.train_val_split(B.labelled_vectors(spark, d), 0.8, 42)
-    head, _, _ = H.train_head(train, val, _head_settings(epochs=1))
+    head, _, _ = H.train_head(train, val, _head_settings())
     scored = H.predicted(H.score(val.drop("label", "label_encoded"), head, "embedding"))
     return scored.select("sentence_id", F.col("logits")[0].alias("logit_0"), F.col("logits")[1].alias("logit_1"), "predicted_label")
