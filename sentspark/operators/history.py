@@ -57,13 +57,6 @@ def early_stopping(history: DataFrame, patience: int, run: str = "run_id", epoch
     return marked.withColumn("stop", stop).select(run, epoch, score, "improved", "waited", status.alias("status"))
 
 
-def to_long(wide: DataFrame, metrics: list[str], run: str = "run_id", epoch: str = "epoch") -> DataFrame:
-    """(run, epoch, metric, value)."""
-    return wide.select(run, epoch, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        [run, epoch], metrics, "metric", "value"
-    )
-
-
 def track(train_fn: Callable[..., tuple[Any, float, list]], log: Callable[[dict], None] | None, *args: Any, **options: Any):
     """Run a training function with a logging callback and log its best score last.
     The function takes ``log`` and returns (model, best score, logged epochs)."""
