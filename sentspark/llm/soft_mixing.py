@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sentspark.llm.scratch import scratch
+from sentspark.llm.scratch import keep, scratch
 
 SAMPLE_DOCS = 6000      # labelled documents the classifier is fitted on, at most
 FEATURES = 4000         # features kept, those with the strongest evidence first
@@ -191,35 +191,58 @@ def solve(members: DataFrame, k: int, targets) -> list[list[float]]:
     return best
 
 
+def _steps(members: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None) -> list[list[float]]:
+    k = len(model.domains)
+    if not k:
+        return []
+    share = np.array([weights.get(d, 0.0) for d in model.domains])
+    share = share / share.sum()
+
+    def targets(now):
+        if anchor in model.domains and share[model.domains.index(anchor)] > 0:
+            at = model.domains.index(anchor)
+            return share * (now[at] / share[at])
+        return share * now.sum()
+
+    return solve(members, k, targets)
+
+
+def _drawn(rows: DataFrame, k: int, steps: list[list[float]]) -> DataFrame:
+    rows = rows.withColumn("rate", _rate([F.element_at("p", i + 1) for i in range(k)], steps))
+    return rows.withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("int")).drop("draw")
+
+
+def _draw(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "id", "body"), F.lit(1 << 30)) / float(1 << 30)
+
+
+def document_rates(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, tokens, p, rate and copies of each row of ``docs`` (doc_id, text), as
+    ``mix_documents`` gives them, from one pass over the texts."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("body")).withColumn("draw", _draw(seed))
+    with scratch(docs.sparkSession, "rates") as tmp:
+        members = tmp.table(with_posterior(rows, model).select(F.col("id").alias("doc_id"), "tokens", "p", "draw"))
+        return keep(_drawn(members, len(model.domains), _steps(members, model, weights, anchor)))
+
+
 def mix_documents(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` as struct ``row``, with tokens (words), p (posteriors), rate and copies.
 
     ``weights``: target share of each domain's tokens; domains not named get 0. The
     size of the mix is such that ``anchor`` keeps all its expected tokens, or, without
-    an anchor, that of ``docs``. copies is the rate rounded up or down by a keyed hash of doc_id and
-    text, so that the mean is the rate. A target that no rates >= 0 reach is come near in
-    the whitened least-squares sense.
+    an anchor, that of ``docs``. copies is the rate rounded up or down by a keyed hash
+    of doc_id and text, so that the mean is the rate. A target that no rates >= 0 reach
+    is come near in the whitened least-squares sense.
+
+    The texts are read twice, for the solver and for the result, and don't move: what
+    is stored between are tokens and posteriors.
 
     NULL or empty text: no tokens, prior posteriors, and the rate that follows from
     them. NULL doc_id is one value for the hash. Repeated rows get equal copies. No
     rows in, no rows out; without domains every rate is 1. Only sums leave a task.
     """
-    k = len(model.domains)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("body"), F.col("doc_id").alias("id"))
-    judged = with_posterior(packed, model)
-    steps: list[list[float]] = []
-    if k:
-        share = np.array([weights.get(d, 0.0) for d in model.domains])
-        share = share / share.sum()
-
-        def targets(now):
-            if anchor in model.domains and share[model.domains.index(anchor)] > 0:
-                at = model.domains.index(anchor)
-                return share * (now[at] / share[at])
-            return share * now.sum()
-
-        with scratch(docs.sparkSession, "mixing") as tmp:
-            steps = solve(tmp.table(judged.select("tokens", "p")), k, targets)
-    rate = _rate([F.element_at("p", i + 1) for i in range(k)], steps)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "id", "body"), F.lit(1 << 30)) / float(1 << 30)
-    return judged.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).drop("body", "id")
+    judged = with_posterior(packed.withColumn("draw", _draw(seed)), model)
+    with scratch(docs.sparkSession, "mixing") as tmp:
+        steps = _steps(tmp.table(judged.select("tokens", "p")), model, weights, anchor)
+    return _drawn(judged, len(model.domains), steps).drop("body", "id")

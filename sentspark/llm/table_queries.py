@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.llm.feistel import ROUNDS, SEED, shard_rows
 from sentspark.llm.registry import query, table
-from sentspark.llm.soft_mixing import fit, mix_documents
+from sentspark.llm.soft_mixing import document_rates, fit
 from sentspark.llm.surrogates import replace_entities
 from sentspark.llm.url_reputation import LIMIT, LONG_SUFFIXES, RULES, STRENGTH, Z, judge_urls
 
@@ -134,6 +134,6 @@ def label_domains(spark: SparkSession, folder: str) -> DataFrame:
 def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = fit(docs, label_domains(spark, folder))
-    mixed = mix_documents(docs, model, MIX, anchor="clean")
+    mixed = document_rates(docs, model, MIX, anchor="clean")
     shares = [F.round(F.element_at("p", i + 1), 9).alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return mixed.select("row.doc_id", "tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
+    return mixed.select("doc_id", "tokens", *shares, F.round("rate", 9).alias("rate"), "copies")

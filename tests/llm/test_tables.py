@@ -157,6 +157,8 @@ def test_mix(spark):
     tokens, p, rate = np.array([r["tokens"] for r in rows]), np.array([r["p"] for r in rows]), np.array([r["rate"] for r in rows])
     assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
     assert all(r["copies"] in (math.floor(r["rate"]), math.floor(r["rate"]) + 1) for r in rows)
+    same = M.document_rates(docs, model, {"clean": 0.9, "junk": 0.1}, anchor="clean").collect()
+    assert {(r["doc_id"], r["rate"], r["copies"]) for r in same} == {(r["doc_id"], r["rate"], r["copies"]) for r in rows}
     got = (tokens * rate) @ p
     assert abs(got[0] / got.sum() - 0.9) < 0.01 and abs(got[0] / (tokens @ p)[0] - 1) < 0.01
 
