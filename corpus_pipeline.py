@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sentspark.llm import stages
-from sentspark.session import materialize
+from sentspark.llm.scratch import Scratch
 
 STAGES = [
     ("language", stages.with_language),
@@ -24,7 +24,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        now = Scratch(spark, name)
+        docs = now.table(stage(spark, docs, sf_dir))
+        if before is not None:      # nobody reads it any more
+            before.drop()
+        before = now
     return docs
