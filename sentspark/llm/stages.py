@@ -31,8 +31,8 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents tied by a Jaccard of 0.8 or more over runs of five
-    words, the one with the smallest doc_id stays; rows without words or id stay. Of
-    rows that repeat an id, only whole copies go."""
+    words, the one with the smallest doc_id stays; rows without words or id stay. Rows
+    that repeat an id stay or go together."""
     found = parity_join(docs, shingle=5, num=80, den=100)
     copies = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
