@@ -48,8 +48,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say: rare domains are thinned out, clean text
     keeps its tokens."""
     model = soft_mixing.fit(docs, label_domains(spark, sf_dir))
-    drawn = soft_mixing.mix_documents(docs, model, MIX, anchor="clean").where("copies > 0")
-    return drawn.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    drawn = soft_mixing.mix_documents(docs, model, MIX, anchor="clean")
+    # No filter on copies: pushed into the scan, it would repeat the classifier there
+    # once per mention of a posterior.
+    turns = F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))).alias("turn")
+    return drawn.select("row", turns).where("turn IS NOT NULL").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
