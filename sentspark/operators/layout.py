@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sentspark.operators.embedding import pca_layout
 from sentspark.operators.graphs import EXTRA_NEIGHBOURS, index_rows, pacmap_pairs, umap_graph
+from sentspark.operators.forest import knn_approx
 from sentspark.operators.neighbours import knn_graph
 from sentspark.operators.skew import HOT_SHARE, hot_keys
 from sentspark.session import cut_lineage, forget_estimates, materialize, scratch_path, static_plans
@@ -197,20 +198,24 @@ def _named(positions: DataFrame, indexed: DataFrame, id_column: str) -> DataFram
     )
 
 
+# How neighbours are found, by name; the caller chooses, not the size of the table.
+SEARCHES: dict[str, Callable[..., DataFrame]] = {"approximate": knn_approx, "exact": knn_graph}
+
+
 def _by_pacmap(df: DataFrame, id_column: str, vector: str, n_neighbors: int = 10, MN_ratio: float = 0.5,
-               FP_ratio: float = 2.0, random_state: int = 42, n_iter: int = 450) -> DataFrame:
+               FP_ratio: float = 2.0, random_state: int = 42, n_iter: int = 450, neighbours: str = "approximate") -> DataFrame:
     indexed = index_rows(df, id_column, vector, random_state)
     n = indexed.count()
-    knn = knn_graph(indexed, n_neighbors + EXTRA_NEIGHBOURS, "idx", "vec")
+    knn = SEARCHES[neighbours](indexed, n_neighbors + EXTRA_NEIGHBOURS, "idx", "vec")
     pairs = pacmap_pairs(indexed, knn, n, n_neighbors, MN_ratio, FP_ratio, random_state)
     return _named(pair_layout(indexed, pairs, n_iter), indexed, id_column)
 
 
 def _by_umap(df: DataFrame, id_column: str, vector: str, n_neighbors: int = 15, random_state: int = 42,
-             n_iter: int = 200) -> DataFrame:
+             n_iter: int = 200, neighbours: str = "approximate") -> DataFrame:
     indexed = index_rows(df, id_column, vector, random_state)
     n = indexed.count()
-    graph = umap_graph(knn_graph(indexed, n_neighbors, "idx", "vec"))
+    graph = umap_graph(SEARCHES[neighbours](indexed, n_neighbors, "idx", "vec"))
     return _named(membership_layout(indexed, graph, n, n_iter, random_state), indexed, id_column)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sentspark.functions import losses, vectors as V
 from sentspark.functions.labels import argmax_index, softmax
 from sentspark.operators import (
-    counts as C, embedding as EM, graphs as G, head as H, layout as Y, linear as L, neighbours as N, sampling as S,
+    counts as C, embedding as EM, forest as A, graphs as G, head as H, layout as Y, linear as L, neighbours as N, sampling as S,
 )
 from sentspark.plans import binding as B
 from sentspark.plans.registry import ctes, query
@@ -133,6 +133,11 @@ def knn_exact(spark, d):
     return _round(N.knn_graph(B.vectors(spark, d), 5), "distance")
 
 
+@query("knn_approx")
+def knn_approx(spark, d):
+    return _round(A.knn_approx(B.vectors(spark, d), 15), "distance")
+
+
 @query("fuzzy_union", _KNN + """, w AS (SELECT i, j, exp(-distance) AS a FROM k),
 u AS (SELECT coalesce(x.i, y.j) AS i, coalesce(x.j, y.i) AS j, coalesce(x.a, 0) AS a, coalesce(y.a, 0) AS b
       FROM w x FULL JOIN w y ON x.i = y.j AND x.j = y.i)

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from sentspark.operators import counts as C, evaluation as E, neighbours as N, sampling as S
+from sentspark.operators import counts as C, evaluation as E, forest as A, neighbours as N, sampling as S
+from sentspark.plans import binding as B
 from sentspark.sources import sinks
 
 
@@ -60,6 +61,29 @@ def test_neighbours_of_vectors_with_a_large_common_part(spark):
         assert [got[i, r + 1] for r in range(5)] == [j for _, j in order]
 
 
+def test_approximate_neighbours_find_most(spark, tables):
+    """Recall against brute force on all vectors, with one cell and with several, and
+    as many rows given back as the bound says."""
+    df = B.vectors(spark, tables)
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], dtype=float)
+    gaps = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(gaps, np.inf)
+    want = [set(np.argsort(g, kind="stable")[:10].tolist()) for g in gaps]
+    for group, trees in ((50_000, A.TREES), (150, 16)):
+        got = A.knn_approx(df, 10, group=group, trees=trees).collect()
+        assert len(got) == 10 * len(x)
+        hits = sum(r["j"] in want[r["i"]] for r in got)
+        assert hits >= 0.9 * len(got)
+
+
+def test_approximate_neighbours_of_copies(spark):
+    rows = [(i, [float(i // 50), 0.0]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = A.knn_approx(df, 5).collect()
+    assert len(got) == 750 and all(r["distance"] == 0 and r["i"] // 50 == r["j"] // 50 for r in got)
+    assert A.knn_approx(df.where("false"), 5).count() == 0
+
+
 def test_half_written_cache_is_computed_again(spark, tmp_path):
     path = str(tmp_path / "cache")
     spark.range(3).write.parquet(path)
