@@ -290,21 +290,27 @@ def parity_join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
     spark, geometry = docs.sparkSession, Geometry(num, den)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scratch(spark, "parity") as tmp:
-        described = tmp.table(texts.mapInArrow(
+        whole = tmp.table(texts.mapInArrow(
             partial(_describe, shingle=shingle, geometry=geometry),
             "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"))
+        with_keys = tmp.count
+        described = tmp.table(whole.select("doc_id", "n_shingles", "d1", "d2"))
         classes = (
             described.where("n_shingles > 0 AND doc_id IS NOT NULL")
             .groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         )
-        reps = tmp.table(
-            described.select("doc_id", "n_shingles", "keys", "sketch").where(F.size("keys") > 0)
+        keyed = tmp.table(
+            whole.select("doc_id", "n_shingles", "keys", "sketch").where(F.size("keys") > 0)
             .join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+        tmp.forget(with_keys)
+        with_keys = tmp.count
+        reps = tmp.table(keyed.select("doc_id", "n_shingles", "sketch"))
         rows = (
-            reps.select(F.explode("keys").alias("key"), "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
+            keyed.select(F.explode("keys").alias("key"), "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
             .mapInArrow(_buckets, "key long, chunk int, only boolean, members array<long>")
         )
         buckets = tmp.table(rows)
+        tmp.forget(with_keys)
         # Keys with the same few members need one comparison only.
         single = (
             buckets.where("only").select("members").distinct()
@@ -322,7 +328,7 @@ def parity_join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
                 F.transform(F.coalesce("m1", F.array().cast("array<long>")), lambda d: F.struct(F.lit(1).alias("side"), d.alias("doc_id"))),
             )).alias("m")).select("task", "m.side", "m.doc_id")
         )
-        members = tmp.table(members.join(reps.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "doc_id"))
+        members = tmp.table(members.join(reps.dropDuplicates(["doc_id"]), "doc_id"))
 
         def candidates(members: DataFrame, nearest: bool) -> DataFrame:
             return tmp.table(

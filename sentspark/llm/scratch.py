@@ -24,8 +24,15 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, table: int) -> None:
+        """Removes the table written as number ``table``; nobody may read it any more."""
+        self._delete(f"{self.root}/{table}")
+
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
