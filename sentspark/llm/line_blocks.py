@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-The page is turned into lines, one per block of text, with markup stripped and each
-removed part (navigation, advert, form, ...) standing as a run of empty lines. A
-line's weight is its text outside links. Weights are summed over sliding windows of
-WINDOW lines: text begins at a surge (a window sum above SURGE whose first line has
-text) and ends at the dive point, where the sum has fallen to nothing. The text
-between surge and dive points is kept.
+The page is turned into lines, one per block of text, with markup stripped; the
+bounds of a container and each removed part (navigation, advert, form, ...) stand as a
+run of empty lines. A line's weight is its text outside links. Weights are summed over
+sliding windows of WINDOW lines: text begins at a surge (a window sum above SURGE, or
+above SHARE of the page's largest sum if that is less, whose first line has text) and
+ends at the dive point, where the sum has fallen to nothing. The text between surge and
+dive points is kept. A line directly in an article element needs no surge.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
-SURGE = 0               # a window sum above this starts a text
+SURGE = 120             # a window sum above this starts a text
+SHARE = 0.5             # on pages of short lines, one above this share of the page's largest does
 LINK_SHARE = 0.6        # a line with a larger share of link text has no weight
 
 # Elements and names of parts that aren't the article.
@@ -32,6 +34,7 @@ BLOCKS = {
     "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+CONTAINERS = {"article", "div", "main", "section"}      # windows don't reach over their bounds
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NAMES = {
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie",
@@ -62,13 +65,15 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, float]]:
-    """(text, weight) of each line; a removed part gives WINDOW empty lines."""
-    lines: list[tuple[str, float]] = []
+def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
+    """(text, weight, stands directly in an article element) of each line; a removed part
+    or the bound of a container gives ``window`` empty lines."""
+    lines: list[tuple[str, float, bool]] = []
     parts: list[str] = []
     linked = 0
     links = 0
     skip: list[str] = []        # open elements below and including a removed part
+    inside: list[str] = []      # open containers
     at = 0
 
     def flush():
@@ -76,9 +81,15 @@ def lines_of(page: str) -> list[tuple[str, float]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, 0.0 if linked > LINK_SHARE * len(text) else float(len(text))))
+            weight = 0.0 if linked > LINK_SHARE * len(text) else float(len(text))
+            lines.append((text, weight, bool(inside) and inside[-1] == "article"))
         linked = 0
 
+    def cut():
+        flush()
+        if lines and lines[-1][0]:
+            lines.extend([("", 0.0, False)] * window)
+
     def add(text):
         nonlocal linked
         if not skip and text:
@@ -116,8 +127,7 @@ def lines_of(page: str) -> list[tuple[str, float]]:
                 skip.append(tag)
             continue
         if not closing and _unwanted(tag, attributes):
-            flush()
-            lines.extend([("", 0.0)] * WINDOW)
+            cut()
             if tag not in VOID and not attributes.endswith("/"):
                 skip.append(tag)
             continue
@@ -125,6 +135,13 @@ def lines_of(page: str) -> list[tuple[str, float]]:
             links = max(0, links + (-1 if closing else 1))
         elif tag == "br":
             add(" ")
+        elif tag in CONTAINERS:
+            cut()
+            if not closing:
+                inside.append(tag)
+            elif tag in inside:
+                while inside.pop() != tag:
+                    pass
         elif tag in BLOCKS:
             flush()
     flush()
@@ -133,15 +150,16 @@ def lines_of(page: str) -> list[tuple[str, float]]:
 
 def main_text(page: str, window: int = WINDOW, surge: float = SURGE) -> str:
     """The kept lines, joined by blank lines; empty if there is none."""
-    lines = lines_of(page)
-    weights = [w for _, w in lines]
+    lines = lines_of(page, window)
+    weights = [w for _, w, _ in lines]
     sums, total = [0.0] * len(lines), 0.0
     for i in range(len(lines) - 1, -1, -1):     # sum over lines i .. i + window - 1
         total += weights[i] - (weights[i + window] if i + window < len(lines) else 0.0)
         sums[i] = total
+    surge = min(surge, SHARE * max(sums, default=0.0))
     kept, inside = [], False
-    for i, (text, weight) in enumerate(lines):
-        if not inside and weight > 0 and sums[i] > surge:
+    for i, (text, weight, told) in enumerate(lines):
+        if not inside and weight > 0 and (told or sums[i] > surge):
             inside = True
         elif inside and sums[i] <= 0:
             inside = False

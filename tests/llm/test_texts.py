@@ -213,6 +213,20 @@ def test_main_text():
     assert len(B.main_text(long)) == 999_999
 
 
+def test_main_text_without_telling_names():
+    para = "A sentence of the article that is long enough to be a line of text on its own account. " * 2
+    article = f"<div class=x1><h1>Title</h1><p>{para}<p>Short line.<p>{para}<ul><li>one<li>two</ul></div>"
+    want = "\n\n".join(["Title", para.strip(), "Short line.", para.strip(), "one", "two"])
+    before = '<div class="x7"><p>We use cookies</p></div><div class=x2>Buy our new shoes, <a href=b>here</a></div>'
+    after = "<div class=x3><p>Great post!</p></div><div class=x4>&copy; 2024 Some Company. All rights reserved.</div>"
+    assert B.main_text(f"<body>{before}{article}{after}</body>") == want
+    inner = f"<article><p>{para}</p><div class=x7><p>We use cookies</p></div><p>End.</p></article>"
+    assert B.main_text(inner) == f"{para.strip()}\n\nEnd."
+    # On a page of short lines the threshold goes by the longest of them.
+    assert B.main_text("<div><p>We use cookies</p></div><div><p>A short article of a few words only.</p></div>") == "A short article of a few words only."
+    assert B.main_text(f"<div><p>{para}</p></div><div><p>{para}</p></div>") == f"{para.strip()}\n\n{para.strip()}"
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, 2), (2, "v", "", 3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
