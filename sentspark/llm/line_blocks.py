@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import partial
 
 import pyarrow as pa
@@ -41,13 +42,29 @@ NAMES = {
     "cookies", "consent", "disclaimer", "footer", "form", "header", "login", "masthead", "menu", "modal", "nav", "navbar",
     "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promoted", "related", "reply",
     "replies", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad-banner", "ad-container", "ad-slot", "comment-form", "comment-list", "cookie-banner", "cookie-bar", "cookie-consent",
+    "cookie-notice", "login-form", "main-menu", "main-nav", "nav-bar", "nav-menu", "page-footer", "page-header",
+    "related-articles", "related-posts", "share-buttons", "site-footer", "site-header", "social-links",
 }
 ROLES = {"banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "alert"}
 
+# Parts that aren't the article however much text they hold, unless an article or main is in them.
+NEVER = {"button", "canvas", "footer", "head", "input", "menu", "nav", "object", "option", "select"}
+# A start tag closes an open element of the group, up to one of the bounds.
+TABLE_PARTS = {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+STRUCTURE = BLOCKS | SKIPPED
+IMPLIED = {
+    "li": [({"li"}, {"ol", "ul", "menu", "table"})], "option": [({"option"}, {"select"})],
+    "dt": [({"dt", "dd"}, {"dl", "table"})], "dd": [({"dt", "dd"}, {"dl", "table"})],
+    "td": [({"td", "th"}, {"table", "tr"})], "th": [({"td", "th"}, {"table", "tr"})], "tr": [({"tr"}, {"table"})],
+    **{tag: [({"tbody", "thead", "tfoot"}, {"table"})] for tag in ("tbody", "thead", "tfoot")}, "body": [({"head"}, set())],
+}
+ENDS_P = STRUCTURE - {"body", "button", "canvas", "caption", "head", "html", "input", "object", "option", "select", "tbody", "td", "tfoot", "th", "thead", "tr"}
+P_BOUNDS = {"button", "caption", "object", "table", "td", "th"}
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_PARTS = re.compile(r"[a-z]+")
 
 
 def _unwanted(tag: str, attributes: str) -> bool:
@@ -60,11 +77,145 @@ def _unwanted(tag: str, attributes: str) -> bool:
         if kind.lower() == "role":
             if value.strip() in ROLES:
                 return True
-        elif NAMES.intersection(_PARTS.findall(value)):
+        elif NAMES.intersection(value.split()):
             return True
     return bool(_HIDDEN.search(attributes))
 
 
+class _Element:
+    """An open tag: where it ends in the list of pieces, and how much text is in it."""
+
+    __slots__ = ("tag", "start", "unwanted", "end", "block", "before", "size", "first", "share", "main")
+
+    def __init__(self, tag: str, start: int, unwanted: bool, before: int):
+        self.tag, self.start, self.unwanted, self.before = tag, start, unwanted, before
+        self.end = self.block = None    # past the last piece; the first block below
+        self.size = self.first = 0      # text outside links; of it, before the first block
+        self.share = 0                  # of it, in the largest article
+        self.main = False               # holds a main element
+
+
+def _pieces(page: str) -> list[tuple]:
+    """The page as ("text", text), ("open", tag, attributes), ("close", tag); raw elements left out."""
+    out, at, size = [], 0, len(page)
+    while at < size:
+        match = _TAG.search(page, at)
+        if match is None:
+            out.append(("text", page[at:]))
+            break
+        if match.start() > at:
+            out.append(("text", page[at:match.start()]))
+        at = match.end()
+        if match.group(1) is not None:
+            out.append(("text", match.group(1).replace("&", "&amp;")))
+        elif match.group(3) is not None:
+            closing, tag, attributes = bool(match.group(2)), match.group(3).lower(), match.group(4)
+            if tag in RAW:
+                if not closing and not attributes.endswith("/"):
+                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                    at = end.end() if end else size
+            else:
+                out.append(("close", tag) if closing else ("open", tag, attributes))
+    return out
+
+
+def _end_bounds(tag: str) -> set[str]:
+    """An end tag closes no element outside one of these."""
+    if tag == "table":
+        return set()
+    if tag in TABLE_PARTS:
+        return {"table"}
+    return {"td", "th"} if tag in STRUCTURE else STRUCTURE
+
+
+def _removed(pieces: list[tuple]) -> dict[int, int]:
+    """First piece of each removed part: the piece to go on with."""
+    stack: list[_Element] = []
+    waiting: list[_Element] = []    # unwanted elements before their first block
+    unwanted: list[_Element] = []
+    articles: list[_Element] = []
+    total = links = heads = 0
+    count: Counter[str] = Counter()     # open elements by tag
+
+    def close(to: int, end: int | None):
+        nonlocal links, heads
+        while len(stack) > to:
+            element = stack.pop()
+            count[element.tag] -= 1
+            links -= element.tag == "a"
+            heads -= element.tag == "head"
+            element.end, element.size = end, total - element.before
+            if element.tag == "article":
+                element.share = max(element.share, element.size)
+            if stack:
+                stack[-1].share = max(stack[-1].share, element.share)
+                stack[-1].main |= element.main
+
+    def find(tags: set[str], bounds: set[str]) -> int:
+        if not any(count[tag] for tag in tags):
+            return -1
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth].tag in tags:
+                return depth
+            if stack[depth].tag in bounds:
+                break
+        return -1
+
+    for at, piece in enumerate(pieces):
+        if piece[0] == "text":
+            if not links and not heads:
+                total += len(piece[1].strip())
+            continue
+        tag = piece[1]
+        if piece[0] == "close":
+            if tag in ("body", "html"):
+                continue                # what is still open then was never closed
+            depth = find({tag}, _end_bounds(tag))
+            if depth >= 0:
+                close(depth + 1, at)
+                close(depth, at + 1)
+            continue
+        for group, bounds in IMPLIED.get(tag, ()):
+            depth = find(group, bounds)
+            if depth >= 0:
+                close(depth, at)
+        if tag in ENDS_P and (depth := find({"p"}, P_BOUNDS)) >= 0:
+            close(depth, at)
+        if tag in STRUCTURE:
+            for element in waiting:
+                element.block, element.first = at, total - element.before
+            waiting.clear()
+        element = _Element(tag, at, _unwanted(tag, piece[2]), total)
+        element.main = tag == "main"
+        if element.unwanted:
+            unwanted.append(element)
+        if tag in VOID or piece[2].endswith("/"):
+            element.end = at + 1
+            continue
+        if element.unwanted:
+            waiting.append(element)
+        if tag == "article":
+            articles.append(element)
+        links += tag == "a"
+        heads += tag == "head"
+        count[tag] += 1
+        stack.append(element)
+    close(0, None)
+    largest = max((a.size for a in articles), default=0)
+    out = {}
+    for e in unwanted:
+        if e.end is None and e.block is not None:   # never closed: takes the text up to the first block only
+            if 2 * e.first <= total:
+                out[e.start] = e.block
+            continue
+        if e.tag != "head" and (e.main or 2 * e.share >= max(1, largest)):
+            continue
+        if e.tag not in NEVER and 2 * e.size > total and 2 * largest <= total:
+            continue
+        out[e.start] = len(pieces) if e.end is None else e.end
+    return out
+
+
 def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
     """(text, weight, stands directly in an article element) of each line; a removed part
     or the bound of a container gives ``window`` empty lines."""
@@ -72,9 +223,7 @@ def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
     parts: list[str] = []
     linked = 0
     links = 0
-    skip: list[str] = []        # open elements below and including a removed part
     inside: list[str] = []      # open containers
-    at = 0
 
     def flush():
         nonlocal linked
@@ -90,51 +239,26 @@ def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
         if lines and lines[-1][0]:
             lines.extend([("", 0.0, False)] * window)
 
-    def add(text):
-        nonlocal linked
-        if not skip and text:
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
-
-    size = len(page)
-    while at < size:
-        match = _TAG.search(page, at)
-        if match is None:
-            add(page[at:])
-            break
-        add(page[at:match.start()])
-        at = match.end()
-        if match.group(1) is not None:
-            add(match.group(1).replace("&", "&amp;"))
-            continue
-        if match.group(3) is None:
-            continue
-        closing, tag, attributes = bool(match.group(2)), match.group(3).lower(), match.group(4)
-        if tag in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else size
-            continue
-        if skip:
-            if closing:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-            elif tag not in VOID and not attributes.endswith("/"):
-                if tag in ("p", "li", "option", "td", "tr", "dt", "dd") and skip[-1] == tag:
-                    continue        # closes itself
-                skip.append(tag)
-            continue
-        if not closing and _unwanted(tag, attributes):
+    pieces = _pieces(page)
+    removed = _removed(pieces)
+    at = 0
+    while at < len(pieces):
+        piece = pieces[at]
+        if at in removed:
             cut()
-            if tag not in VOID and not attributes.endswith("/"):
-                skip.append(tag)
+            at = removed[at]
+            continue
+        at += 1
+        if piece[0] == "text":
+            parts.append(piece[1])
+            if links:
+                linked += len(piece[1].strip())
             continue
+        closing, tag = piece[0] == "close", piece[1]
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
         elif tag == "br":
-            add(" ")
+            parts.append(" ")
         elif tag in CONTAINERS:
             cut()
             if not closing:
@@ -142,7 +266,7 @@ def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
             elif tag in inside:
                 while inside.pop() != tag:
                     pass
-        elif tag in BLOCKS:
+        elif tag in STRUCTURE:
             flush()
     flush()
     return lines
@@ -181,7 +305,8 @@ def extract_pages(pages: DataFrame, window: int = WINDOW, surge: float = SURGE)
 
     No shuffle. NULL or empty html, or a page without text: empty text, n_chars 0.
     NULL page_id or url are handed on; repeated rows come out as often as they went
-    in. Broken markup is read as far as it goes: an unclosed part ends with the page.
+    in. Broken markup is read as far as it goes: a removed part that is never closed ends
+    at the next block.
     Other columns are ignored.
     """
     return pages.select(

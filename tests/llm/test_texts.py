@@ -227,6 +227,21 @@ def test_main_text_without_telling_names():
     assert B.main_text(f"<div><p>{para}</p></div><div><p>{para}</p></div>") == f"{para.strip()}\n\n{para.strip()}"
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<div class="layout has-sidebar">', "</div>"), ('<section class="post no-comments">', "</section>"), ("<form><fieldset>", "</fieldset></form>"),
+    ('<div class="widget"><article>', "</article></div>"), ('<div id="banner"><main>', "</main></div>"), ('<p class="notice">x', ""),
+    ('<ul><li class="promo">x', "</ul>"), ('<div class="ad">Buy', ""), ('<table><tr><td class="menu">x<td>', "</table>"),
+])
+def test_removed_parts_leave_the_article(start, end):
+    para = "A sentence of the article that is long enough to be a line of text on its own account. " * 2
+    tag = "<li>" if "<ul>" in start else "<p>"
+    nav, foot = '<nav><a href="/a">Menu</a> of the site</nav>', '<div class="related">Teaser</div><footer>Imprint</footer>'
+    page = f"<html><body>{nav}{start}{tag}{para}{tag}{para}{end}{foot}</body></html>"
+    assert B.main_text(page) == f"{para.strip()}\n\n{para.strip()}"
+    comment = f'<body><article><p>{para}</article><div class="comments"><article>Nice!</article></div></body>'
+    assert B.main_text(comment) == para.strip()
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, 2), (2, "v", "", 3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
