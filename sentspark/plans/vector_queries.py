@@ -211,7 +211,7 @@ def lr_predictions(spark, d):
 
 
 def _head_settings(**changes) -> H.HeadSettings:
-    return H.HeadSettings(**{"inputs": 64, "hidden": 32, "learning_rate": 0.01, "epochs": 10, **changes})
+    return H.HeadSettings(**{"inputs": 64, "hidden": 32, "learning_rate": 0.01, "epochs": 10, "batch_size": 100, **changes})
 
 
 @query("mlp_train")

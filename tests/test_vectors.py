@@ -255,3 +255,9 @@ def test_load_or_fit(spark, tables, kind, params):
     second = K.load_or_fit(kind, path, None, None, **params)   # would fail if it trained
     a, b = (c.predict(df).select("sentence_id", "predicted_label") for c in (first, second))
     assert a.exceptAll(b).count() == 0
+
+
+def test_registered_head_trains_in_mini_batches():
+    from sentspark.plans import vector_queries as Q
+
+    assert Q._head_settings().batch_size == 100 and Q._head_settings().epochs == 10
