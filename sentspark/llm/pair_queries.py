@@ -1,9 +1,10 @@
-"""Query of the n-gram Jaccard join."""
+"""Queries of the near-duplicate operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sentspark.llm.gray_simhash import simhash_groups
 from sentspark.llm.parity_join import parity_join
 from sentspark.llm.registry import query, table
 
@@ -30,3 +31,8 @@ def components_sql(shingle: int, num: int, den: int, source: str = "documents")
     SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN comp USING (doc_id)""")
 def op4_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join(table(spark, folder, "documents"), shingle=3, num=90, den=100)
+
+
+@query("op12_gray_simhash")
+def op12_gray_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(table(spark, folder, "documents"))

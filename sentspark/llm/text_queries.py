@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.llm.bfd_packing import pack_documents
+from sentspark.llm.crc_resampling import resample
 from sentspark.llm.language_id import fit, held_out, identify
 from sentspark.llm.line_blocks import extract_pages
 from sentspark.llm.line_crf import fit as fit_field, judge_lines
@@ -39,3 +40,8 @@ def op10_bfd_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op2_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return judge_lines(docs, fit_field(docs, table(spark, folder, "labels")))
+
+
+@query("op13_crc_resampling")
+def op13_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
