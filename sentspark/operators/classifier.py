@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentspark.operators import head as H, linear as L
 from sentspark.operators.history import track
+from sentspark.session import remove_path
 
 
 @dataclass
@@ -67,15 +68,27 @@ def make_classifier(kind: str, **params: Any):
 
 
 def load_or_fit(kind: str, path: str, train: DataFrame, val: DataFrame | None = None, force: bool = False,
-                fit_options: dict[str, Any] | None = None, **params: Any):
-    """A saved model is loaded and not trained again; otherwise fit and save."""
+                train_on: bool = False, fit_options: dict[str, Any] | None = None, **params: Any):
+    """A saved model is loaded; with ``train_on`` a head is then fitted further from its
+    weights. Without one, fit. What was fitted is saved, and the progress of a fit that
+    has come to its end is removed."""
     classifier = make_classifier(kind, **params)
+    options = dict(fit_options or {})
+    progress = options.get("progress")
+    if force and progress:
+        remove_path(SparkSession.active(), progress)
     if not force:
         try:
-            return classifier.load(path)
+            classifier.load(path)
         except Exception as missing:
             if not (isinstance(missing, AnalysisException) or "does not exist" in str(missing)):
                 raise
-    classifier.fit(train, val, **(fit_options or {}))
+        else:
+            if kind != "mlp" or not train_on:
+                return classifier
+            options["initial"] = classifier.model
+    classifier.fit(train, val, **options)
     classifier.save(path)
+    if progress:
+        remove_path(SparkSession.active(), progress)
     return classifier

@@ -18,19 +18,33 @@ WIDE = ("macro_P", "macro_R", "SUBJ_P", "SUBJ_R")
 CHECKS = ("row counts", "columns", "label values", "ids", "gold labels")
 
 
-def matched_cells(pred: DataFrame, gold: DataFrame, classes: Sequence[str] | None = LABELS) -> DataFrame:
-    """Confusion cells of the inner join on ``sentence_id`` without building it.
+def _both_sides(pred: DataFrame, gold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of both tables below each other: sentence_id, label, the group columns
+    of ``gold``, and whether a row is a prediction. Grouping by id then takes the place
+    of a join: NULL is an id like any other, and rows are counted before they move."""
+    types = {f.name: f.dataType for f in gold.schema}
+    p = pred.select("sentence_id", "label", *[F.lit(None).cast(types[c]).alias(c) for c in by], F.lit(True).alias("predicted"))
+    return p.unionByName(gold.select(F.col("sentence_id"), "label", *by, F.lit(False).alias("predicted")))
 
-    Each side is first counted per id, so a repeated id, however hot, is one row
+
+def matched_cells(pred: DataFrame, gold: DataFrame, classes: Sequence[str] | None = LABELS, by: Sequence[str] = ()) -> DataFrame:
+    """Confusion cells, per group of ``gold`` if asked, of the inner join on
+    ``sentence_id`` without building it.
+
+    Both sides are counted per id and label, so a repeated id, however hot, is one row
     per label before anything is shuffled, and the cell of a many-to-many match is the
-    product of the two counts. NULL ids match each other. With ``classes`` given, a
-    predicted label outside the list fails the query; gold labels may be others.
+    product of the two counts. What then meets at an id is bounded by the number of
+    labels and groups. NULL ids match each other. With ``classes`` given, a predicted
+    label outside the list fails the query; gold labels may be others.
     """
     p = pred if classes is None else pred.withColumn("label", _known(classes))
-    p = p.groupBy("sentence_id", F.col("label").alias("pred")).agg(F.count(F.lit(1)).alias("np"))
-    g = gold.groupBy("sentence_id", F.col("label").alias("gold")).agg(F.count(F.lit(1)).alias("ng"))
-    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"])).withColumn("n", F.col("np") * F.col("ng"))
-    return both.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
+    counted = _both_sides(p, gold, by).groupBy("sentence_id", "predicted", *by, "label").agg(F.count(F.lit(1)).alias("n"))
+    predicted = F.struct(F.col("label").alias("pred"), F.col("n").alias("np"))
+    real = F.struct(*by, F.col("label").alias("gold"), F.col("n").alias("ng"))
+    met = counted.groupBy("sentence_id").agg(
+        F.collect_list(F.when(F.col("predicted"), predicted)).alias("p"), F.collect_list(F.when(~F.col("predicted"), real)).alias("g"))
+    pairs = met.where((F.size("p") > 0) & (F.size("g") > 0)).select(F.explode("p").alias("p"), "g").select("p.*", F.explode("g").alias("g"))
+    return pairs.select("g.*", "pred", "np").groupBy(*by, "gold", "pred").agg(F.sum(F.col("np") * F.col("ng")).alias("n"))
 
 
 def _known(classes: Sequence[str]) -> Column:
@@ -61,35 +75,30 @@ def evaluate(pred: DataFrame, gold: DataFrame, classes: Sequence[str] | None = L
 
 def evaluate_by(pred: DataFrame, gold: DataFrame, by: Sequence[str]) -> DataFrame:
     """The seven scores per group, the group columns coming from ``gold``."""
-    p = pred.groupBy("sentence_id", F.col("label").alias("pred")).agg(F.count(F.lit(1)).alias("np"))
-    g = gold.groupBy("sentence_id", *by, F.col("label").alias("gold")).agg(F.count(F.lit(1)).alias("ng"))
-    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"])).drop(p["sentence_id"]).withColumn("n", F.col("np") * F.col("ng"))
-    return evaluate_cells(both.groupBy(*by, "gold", "pred").agg(F.sum("n").alias("n")), by)
+    return evaluate_cells(matched_cells(pred, gold, None, by), by)
 
 
 def score_line(scores: DataFrame) -> DataFrame:
     """The scores as one line, two decimals each; ties are decided by the exact binary
     value and then half to even, as ``format_number`` does."""
-    shown = [F.concat(F.lit(f"{name}:" + "\t" * (1 + (name in WIDE))), F.format_number(F.col(name), 2)) for name in SCORES]
+    shown = [F.concat(F.lit(f"{name}:" + "\t" * (1 + (name in WIDE))), F.coalesce(F.format_number(F.col(name), 2), F.lit("nan"))) for name in SCORES]
     return scores.select(F.concat_ws("\t\t", *shown).alias("line"))
 
 
 def validation_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row with all numbers the checks need, from one full join of the two
-    sides counted per id."""
+    """One row with all numbers the checks need, from both sides counted per id in one
+    shuffle."""
     label = F.col("label") if "label" in pred.columns else F.lit(None).cast("string")
-    p = pred.groupBy("sentence_id").agg(
-        F.count(F.lit(1)).alias("np"),
-        *[F.count_if(label == c).alias(f"n_{c}") for c in LABELS],
-    )
-    g = gold.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("ng"))
-    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"]), "full_outer")
-    return both.agg(
+    rows = _both_sides(pred.select("sentence_id", label.cast("string").alias("label")), gold.select("sentence_id", F.lit(None).cast("string").alias("label")))
+    at = rows.groupBy("sentence_id").agg(
+        F.count_if("predicted").alias("np"), F.count_if(~F.col("predicted")).alias("ng"),
+        *[F.count_if(F.col("predicted") & (F.col("label") == c)).alias(f"n_{c}") for c in LABELS])
+    return at.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(name)
           for c, name in (("np", "n_pred"), ("ng", "n_gold"), *[(f"n_{c}", f"n_{c}") for c in LABELS])],
         F.coalesce(F.sum(F.col("np") * F.col("ng")), F.lit(0)).alias("n_joined"),
-        F.count_if(F.col("ng").isNull()).alias("ids_only_pred"),
-        F.count_if(F.col("np").isNull()).alias("ids_only_gold"),
+        F.count_if(F.col("ng") == 0).alias("ids_only_pred"),
+        F.count_if(F.col("np") == 0).alias("ids_only_gold"),
     )
 
 
@@ -161,14 +170,11 @@ def validated_merge(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def id_mismatch(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """(sentence_id, side): the ids that occur on one side only; one shuffle a side."""
-    p = pred.groupBy("sentence_id").agg(F.lit(True).alias("in_pred"))
-    g = gold.groupBy("sentence_id").agg(F.lit(True).alias("in_gold"))
-    both = p.join(g, p["sentence_id"].eqNullSafe(g["sentence_id"]), "full_outer")
-    return (
-        both.where(F.col("in_pred").isNull() | F.col("in_gold").isNull())
-        .select(F.coalesce(p["sentence_id"], g["sentence_id"]).alias("sentence_id"), F.when(F.col("in_gold").isNull(), "pred only").otherwise("gold only").alias("side"))
-    )
+    """(sentence_id, side): the ids that occur on one side only; one shuffle."""
+    none = F.lit(None).cast("string").alias("label")
+    at = _both_sides(pred.select("sentence_id", none), gold.select("sentence_id", none)).groupBy("sentence_id").agg(
+        F.bool_or("predicted").alias("in_pred"), F.bool_and("predicted").alias("only_pred"))
+    return at.where(F.col("only_pred") | ~F.col("in_pred")).select("sentence_id", F.when(F.col("only_pred"), "pred only").otherwise("gold only").alias("side"))
 
 
 def join_scores(df: DataFrame, scores: DataFrame) -> DataFrame:

@@ -1,13 +1,19 @@
 """Approximate k-nearest neighbours with work linear in the number of rows.
 
-Each of TREES passes deals the distinct vectors to cells by random hyperplanes, cut at
-the medians of a bounded sample; a cell that is still too large is split by a hash, so
-no task holds more than GROUP rows. Inside a task random projection trees with leaves
-of at most LEAF rows give first neighbours, and rounds of neighbours of neighbours
-better them. A task gives back k rows per vector. The best k over all passes count.
-
-All bounds are parameters with fixed defaults: nothing depends on the size of the table
-but the number of cells.
+1. Each of TREES passes deals the distinct vectors to cells by random hyperplanes, cut
+   at the medians of a bounded sample, so that a cell has about GROUP rows. Within a cell
+   the nearest rows are found by comparing all of them, a stretch of rows at a time.
+2. Rounds of neighbours of neighbours over the whole table then cross the cells' borders:
+   each row is a meeting place for the rows it names and the nearest of those that name
+   it, at most 2 * wide of them, with their vectors. Of any two that meet, at least one
+   of them for the first time there, each may enter the other's list. A row offers a
+   meeting only what betters a list, so what comes back shrinks from round to round;
+   when it is a small share of all entries, the search ends.
+
+Lists have a fixed length, the lists of those that name a row too (rows named by a large
+share of the table, too), and rows named often are salted in the join. All bounds are
+parameters with fixed defaults: nothing depends on the size of the table but the number
+of cells.
 """
 
 from __future__ import annotations
@@ -16,24 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from sentspark.operators.neighbours import _expand_copies, _matrix, _ranked, _FOUND
+from sentspark.operators.neighbours import _FOUND, _block_nearest, _expand_copies, _matrix, _ranked
+from sentspark.operators.skew import skew_join
+from sentspark.scratch import Scratch, scratch
 from sentspark.session import materialize
 
 TREES = 4           # passes over the table
-LOCAL_TREES = 6     # trees inside a task
-LEAF = 256
-WIDER = 2           # times k neighbours are followed inside a task
-GROUP = 50_000
-ROUNDS = 2
+WIDER = 2           # times k neighbours are followed
+LEAST_WIDE = 32
+GROUP = 4096
+MEETINGS = 10       # rounds over the whole table, at most
+SETTLED = 0.004     # share of new entries below which they end
 SAMPLE = 20_000     # vectors the hyperplanes' medians come from
-MAX_DEPTH = 12      # at most 2**12 cells a pass; beyond, cells are split by a hash
+MAX_DEPTH = 24      # 2 ** 24 cells of GROUP rows
 SEED = 42
+HOSTS = 64          # hosts compared in one group of rows
+AT_ONCE = 1 << 22   # entries of their distance tables in memory
 
 
 def knn_approx(df: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", trees: int = TREES,
-               leaf: int = LEAF, group: int = GROUP, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+               group: int = GROUP, meetings: int = MEETINGS, seed: int = SEED) -> DataFrame:
     """(i, j, rank, distance): about the k nearest other rows of each row in Euclidean
     distance. Copies of one vector are found exactly; distances are exact."""
     points = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
@@ -42,32 +52,114 @@ def knn_approx(df: DataFrame, k: int, id_column: str = "vec_id", vector: str = "
     facts = distinct.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("copies"), F.lit(0)).alias("copies")).first()
     if facts["n"] == 0:
         return _ranked(df.sparkSession.createDataFrame([], _FOUND), k)
-    sample = _matrix(pa.array([r["vec"] for r in distinct.select("vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]))
+    wide = max(WIDER * k, LEAST_WIDE)
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(facts["n"] / group)))))
-    parts = max(1, -(-facts["n"] // (group << depth)))
-    passes = []
-    for tree in range(trees):
-        planes = _hyperplanes(sample, depth, seed + tree)
-        placed = distinct.select("id", "vec").mapInArrow(_cells(planes), "id bigint, vec array<float>, cell int")
-        part = F.pmod(F.xxhash64("id", F.lit(tree)), F.lit(parts)).alias("part")
-        passes.append(
-            placed.select("id", "vec", "cell", part).groupBy("cell", "part")
-            .applyInArrow(_searcher(k, leaf, rounds, seed + 1000 * tree), _FOUND))
+    with scratch(df.sparkSession, "forest") as tmp:
+        # Without borders one pass is exact.
+        found = _first_lists(distinct, wide if depth else k, trees if depth else 1, depth, seed)
+        lists = tmp.table(_ranked(found.distinct(), wide).select("i", "j", "distance", F.lit(True).alias("fresh")))
+        if depth:
+            lists = _meet(distinct, lists, facts["n"], wide, meetings, tmp)
+        best = materialize(_ranked(lists.select("i", "j", "distance"), k), "nearest")
+    return best if facts["copies"] <= 1 else _expand_copies(points, distinct, best.select("i", "j", "distance"), k)
+
+
+def dealt_to_cells(rows: DataFrame, depth: int, seed: int, passes: int = 1) -> list[DataFrame]:
+    """``rows`` (id, vec) with their ``cell`` of 2 ** depth, once per pass."""
+    sample = rows.select("vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if depth else []
+    known = _matrix(pa.array([r["vec"] for r in sample], pa.list_(pa.float32()))) if sample else np.zeros((0, 0))
+    return [rows.select("id", "vec").mapInArrow(_cells(_hyperplanes(known, depth, seed + i)), "id bigint, vec array<float>, cell bigint")
+            for i in range(passes)]
+
+
+def _first_lists(distinct: DataFrame, wide: int, trees: int, depth: int, seed: int) -> DataFrame:
+    def search(cell: pa.Table) -> pa.Table:
+        return _block_nearest(cell, cell, wide)
+
+    passes = [placed.groupBy("cell").applyInArrow(search, _FOUND) for placed in dealt_to_cells(distinct, depth, seed, trees)]
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
-    best = materialize(_ranked(found.distinct(), k), "forest")
-    return best if facts["copies"] <= 1 else _expand_copies(points, distinct, best.select("i", "j", "distance"), k)
+    return found
+
+
+def _meet(distinct: DataFrame, lists: DataFrame, n: int, wide: int, meetings: int, tmp: Scratch) -> DataFrame:
+    """``lists`` (i, j, distance, fresh) bettered by neighbours of neighbours."""
+    for _ in range(meetings):
+        bounds = lists.groupBy(F.col("i").alias("id")).agg(F.when(F.count(F.lit(1)) >= wide, F.max("distance")).alias("bound"))
+        guests = distinct.select("id", "vec").join(bounds, "id", "left").select(
+            F.col("id").alias("guest"), "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+        named = lists.select(F.col("i").alias("host"), F.col("j").alias("guest"), "fresh")
+        # Of those that name a row the nearest; Spark limits them before the shuffle too.
+        order = Window.partitionBy("j").orderBy("distance", "i")
+        naming = lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wide).select(
+            F.col("j").alias("host"), F.col("i").alias("guest"), "fresh")
+        own = distinct.select(F.col("id").alias("host"), F.col("id").alias("guest"), F.lit(False).alias("fresh"))
+        seats = named.unionByName(naming).groupBy("host", "guest").agg(F.max("fresh").alias("fresh"))
+        live = seats.groupBy("host").agg(F.max("fresh").alias("live")).where("live").select("host")
+        seats = tmp.table(seats.join(live, "host", "left_semi").unionByName(own.join(live, "host", "left_semi")))
+        room = F.pmod(F.xxhash64("host"), F.lit(-(-n // HOSTS))).alias("room")
+        offered = (
+            skew_join(seats, guests, "guest", salted_on="host").select(room, "host", "guest", "fresh", "bound", "vec")
+            .groupBy("room").applyInArrow(_offers, _FOUND).distinct())
+        old = lists.select("i", "j", "distance", F.lit(1).alias("known"))
+        both = old.unionByName(offered.withColumn("known", F.lit(0))).groupBy("i", "j").agg(
+            F.min("distance").alias("distance"), F.max("known").alias("known"))
+        best = _ranked_all(both, wide)
+        lists = tmp.table(best.select("i", "j", "distance", (F.col("known") == 0).alias("fresh")))
+        tmp.keep_last(1)
+        if lists.where("fresh").count() < SETTLED * wide * n:
+            break
+    return lists
+
+
+def _ranked_all(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("i").orderBy("distance", "j")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+
+
+def _offers(room: pa.Table) -> pa.Table:
+    """(i, j, distance) for guests of one host where j would enter i's list. The hosts of
+    a room, each with a bounded number of guests, are padded to one size and compared
+    together."""
+    room = room.sort_by([("host", "ascending"), ("guest", "ascending")])
+    first = np.flatnonzero(np.r_[True, np.diff(room["host"].to_numpy()) != 0])
+    sizes = np.diff(np.r_[first, room.num_rows])
+    ids, fresh, limit = (room[c].to_numpy() for c in ("guest", "fresh", "bound"))
+    vecs, most, out = _matrix(room["vec"]), int(sizes.max()), []
+    step = max(1, AT_ONCE // (most * max(most, vecs.shape[1])))
+    for at in range(0, len(sizes), step):
+        size = sizes[at:at + step, None]
+        seat = np.minimum(np.arange(most)[None, :], size - 1) + first[at:at + step, None]
+        real, new, who = np.arange(most)[None, :] < size, fresh[seat], ids[seat]
+        x = vecs[seat]
+        x = x - x.mean(axis=1, keepdims=True)
+        norm = (x * x).sum(axis=2)
+        both = norm[:, :, None] + norm[:, None, :]
+        gap = both - 2.0 * (x @ x.transpose(0, 2, 1)) - 1e-12 * both        # less than the true square
+        ok = (real[:, :, None] & real[:, None, :] & (new[:, :, None] | new[:, None, :])
+              & (who[:, :, None] != who[:, None, :]) & (gap <= limit[seat][:, :, None] ** 2))
+        table, a, b = np.nonzero(ok)
+        i, j = seat[table, a], seat[table, b]
+        exact = np.sqrt(((vecs[i] - vecs[j]) ** 2).sum(axis=1))
+        better = exact < limit[i]
+        out.append((ids[i[better]], ids[j[better]], exact[better]))
+    return pa.table({name: np.concatenate(c) for name, c in zip(("i", "j", "distance"), zip(*out))})
 
 
 def _hyperplanes(sample: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per level: a direction, and the threshold of each cell so far."""
+    """Per level: a direction, and the threshold of each cell so far. A cell without
+    sampled vectors is cut at the median of all."""
     rng = np.random.default_rng(seed)
     cell, levels = np.zeros(len(sample), np.int64), []
     for level in range(depth):
         direction = rng.normal(size=sample.shape[1])
         along = sample @ direction
-        cuts = np.array([np.median(along[cell == c]) if (cell == c).any() else 0.0 for c in range(1 << level)])
+        cuts = np.full(1 << level, np.median(along))
+        order = np.lexsort((along, cell))
+        own, first, size = np.unique(cell[order], return_index=True, return_counts=True)
+        low, high = along[order][first + (size - 1) // 2], along[order][first + size // 2]
+        cuts[own] = (low + high) / 2
         levels.append((direction, cuts))
         cell = 2 * cell + (along > cuts[cell])
     return levels
@@ -81,58 +173,6 @@ def _cells(planes: list[tuple[np.ndarray, np.ndarray]]):
                 rows = _matrix(batch["vec"])
                 for direction, cuts in planes:
                     cell = 2 * cell + (rows @ direction > cuts[cell])
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], pa.array(cell.astype(np.int32))], ["id", "vec", "cell"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], pa.array(cell)], ["id", "vec", "cell"])
 
     return place
-
-
-def _searcher(k: int, leaf: int, rounds: int, seed: int):
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, rows = table["id"].to_numpy(), _matrix(table["vec"])
-        near, far = (found[:, :k] for found in nearest_rows(rows, WIDER * k, leaf, rounds, seed))
-        ok = near >= 0
-        own = np.repeat(np.arange(len(ids)), near.shape[1])[ok.ravel()]
-        return pa.table({"i": ids[own], "j": ids[near[ok]], "distance": far[ok]})
-
-    return search
-
-
-def nearest_rows(rows: np.ndarray, k: int, leaf: int = LEAF, rounds: int = ROUNDS, seed: int = SEED,
-                 trees: int = LOCAL_TREES) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and distances of about the k nearest rows; -1 where there are fewer."""
-    rng = np.random.default_rng(seed)
-    near, far = np.full((len(rows), k), -1), np.full((len(rows), k), np.inf)
-    for _ in range(trees):
-        todo = [np.arange(len(rows))]
-        while todo:
-            part = todo.pop()
-            if len(part) > leaf:
-                along = rows[part] @ rng.normal(size=rows.shape[1])
-                order = part[np.argsort(along, kind="stable")]
-                todo += [order[:len(order) // 2], order[len(order) // 2:]]
-            else:
-                _improve(rows, near, far, part, np.broadcast_to(part, (len(part), len(part))))
-    for _ in range(rounds):
-        for start in range(0, len(rows), 256):
-            part = np.arange(start, min(start + 256, len(rows)))
-            through = near[part]
-            _improve(rows, near, far, part, np.where(through[:, :, None] >= 0, near[through], -1).reshape(len(part), -1))
-    return near, far
-
-
-def _improve(rows: np.ndarray, near: np.ndarray, far: np.ndarray, part: np.ndarray, offered: np.ndarray) -> None:
-    """Merges the offered rows into the neighbour lists of ``part``."""
-    k = near.shape[1]
-    gap = np.sqrt(np.square(rows[part][:, None, :] - rows[offered]).sum(axis=2))
-    gap[(offered < 0) | (offered == part[:, None])] = np.inf
-    which, dist = np.concatenate([near[part], offered], axis=1), np.concatenate([far[part], gap], axis=1)
-    # A row offered twice counts once.
-    by_row = np.argsort(which, axis=1, kind="stable")
-    sorted_rows = np.take_along_axis(which, by_row, axis=1)
-    again = np.zeros_like(dist, dtype=bool)
-    np.put_along_axis(again, by_row[:, 1:], sorted_rows[:, 1:] == sorted_rows[:, :-1], axis=1)
-    dist[again] = np.inf
-    order = np.lexsort((which, dist), axis=1)[:, :k]
-    far[part] = np.take_along_axis(dist, order, axis=1)
-    near[part] = np.where(np.isfinite(far[part]), np.take_along_axis(which, order, axis=1), -1)

@@ -1,9 +1,15 @@
 """Classifier head on frozen vectors: dropout, linear, ReLU, linear.
 
-Training is data-parallel. A step reads one batch, every task adds up the
-gradient of its rows, and the partial sums are added in Spark, cut into slices so
-that the adding is spread too. The driver gets one gradient of the size of
-the model per step and applies the update.
+Training is data-parallel. An epoch is one job however many rows there are: the rows are
+dealt to parts of bounded size in a new seeded order, each part takes the steps of its
+own mini-batches from the common weights and moments, and the results are averaged by
+rows. With one part these are the steps of a sequential fit; the more parts, the fewer
+steps in a row. Without a batch size an epoch is one step with the gradient of all rows.
+Sums are added in Spark, cut into slices so that the adding is spread too; the driver
+gets a few vectors of the size of the model per epoch.
+
+What a fit needs to go on (weights, moments, best head, logged epochs) can be stored
+after each epoch; a stopped fit then ends as it would have without the stop.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from sentspark.functions.labels import TRAIN_CODES, argmax_index, decode, invers
 from sentspark.functions.losses import cross_entropy, focal
 from sentspark.operators import counts as C
 from sentspark.operators.sampling import assign_batches, num_batches
-from sentspark.session import materialize
+from sentspark.scratch import scratch
+from sentspark.session import is_complete
 
 SLICE = 4096
 # Moment decay rates and weight decay of the optimiser.
@@ -48,6 +55,7 @@ class HeadSettings:
     class_weights: tuple[float, ...] | None = None
     digits: int = 4
     seed: int = 42
+    part_values: int = 8_000_000       # vector entries of the rows of one part
 
     def __post_init__(self):
         if self.loss not in ("cross_entropy", "focal"):
@@ -125,11 +133,27 @@ def _dropout_mask(keys: np.ndarray, width: int, ratio: float) -> np.ndarray | No
     return (z / 2.0 ** 64 >= ratio) / (1.0 - ratio)
 
 
+def _slices(everything: np.ndarray) -> pd.DataFrame:
+    cuts = range(0, len(everything), SLICE)
+    return pd.DataFrame({"slice": list(range(len(cuts))), "part": [everything[i:i + SLICE] for i in cuts]})
+
+
+def _added_up(parts: DataFrame) -> np.ndarray:
+    """Sum of vectors given in slices (slice, part), put together on the driver."""
+    summed = parts.groupBy("slice").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+    rows = sorted(summed.collect(), key=lambda row: row["slice"])
+    return np.concatenate([np.asarray(row["part"]) for row in rows])
+
+
+def _counted(cells: np.ndarray, classes: int) -> dict[tuple[int, int], int]:
+    return {(i // classes, i % classes): int(n) for i, n in enumerate(cells) if n}
+
+
 def batch_gradient(batch: DataFrame, head: Head, step: int) -> tuple[np.ndarray, float, dict[tuple[int, int], int]]:
     """Mean gradient, mean loss and (gold, predicted) counts of one batch of rows
     (sentence_id, vector, code)."""
-    spark, s = batch.sparkSession, head.settings
-    shared = spark.sparkContext.broadcast(head)
+    s = head.settings
+    shared = batch.sparkSession.sparkContext.broadcast(head)
     size, classes = len(head.flat), s.classes
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,19 +170,13 @@ def batch_gradient(batch: DataFrame, head: Head, step: int) -> tuple[np.ndarray,
             extra[1] += len(rows)
             extra[2:] += np.bincount(code * classes + predicted, minlength=classes * classes)
         if extra[1]:
-            everything = np.concatenate([extra, gradient])
-            cuts = range(0, len(everything), SLICE)
-            yield pd.DataFrame({"slice": list(range(len(cuts))), "part": [everything[i:i + SLICE] for i in cuts]})
+            yield _slices(np.concatenate([extra, gradient]))
 
     keyed = batch.select("vector", "code", F.xxhash64("sentence_id", F.lit(s.seed), F.lit(step)).alias("key"))
-    parts = keyed.mapInPandas(add_up, "slice int, part array<double>")
-    summed = parts.groupBy("slice").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
-    slices = sorted(summed.collect(), key=lambda row: row["slice"])
+    everything = _added_up(keyed.mapInPandas(add_up, "slice int, part array<double>"))
     shared.unpersist()
-    everything = np.concatenate([np.asarray(row["part"]) for row in slices])
     loss, rows, cells = everything[0], everything[1], everything[2:2 + classes * classes]
-    counted = {(i // classes, i % classes): int(n) for i, n in enumerate(cells) if n}
-    return everything[2 + classes * classes:] / rows, loss / rows, counted
+    return everything[2 + classes * classes:] / rows, loss / rows, _counted(cells, classes)
 
 
 @dataclass
@@ -181,6 +199,110 @@ class AdamW:
         m_hat, v_hat = self.m / (1 - BETA_1 ** self.steps), self.v / (1 - BETA_2 ** self.steps)
         return flat * (1 - rate * WEIGHT_DECAY) - rate * m_hat / (np.sqrt(v_hat) + self.eps)
 
+    @classmethod
+    def at(cls, eps: float, m: np.ndarray, v: np.ndarray, steps: int) -> "AdamW":
+        made = cls(len(m), eps)
+        made.m, made.v, made.steps = m, v, steps
+        return made
+
+
+@dataclass
+class Progress:
+    """All that a fit needs to go on after an epoch."""
+
+    head: Head
+    optimiser: AdamW
+    epoch: int = 0
+    scheduled: int = 0
+    best: Head | None = None
+    best_score: float = -1.0
+    waited: int = 0
+    logged: list[dict[str, Any]] = field(default_factory=list)
+
+    @property
+    def over(self) -> bool:
+        return self.epoch >= self.head.settings.epochs or self.waited >= self.head.settings.patience
+
+
+def _rate(settings: HeadSettings, scheduled: int, total: int) -> float:
+    if settings.step_per not in ("epoch", "batch"):
+        return settings.learning_rate
+    return settings.learning_rate * warmup_factor(scheduled, settings.warmup_steps, total)
+
+
+def part_steps(batches: Iterator[pd.DataFrame], now: Progress, parts: int, total: int) -> Iterator[np.ndarray]:
+    """For rows (part, key, vector, code) in the order of an epoch, the steps of each
+    part's mini-batches from the weights and moments of ``now``. Per part: sum of the
+    batch mean losses, batches, rows, confusion counts, and weights and moments times
+    rows. Holds one Arrow batch and one mini-batch."""
+    s, classes = now.head.settings, now.head.settings.classes
+    part, held, count = None, [], 0
+    head, optimiser, sums = now.head, now.optimiser, np.zeros(3 + classes * classes)
+
+    def step(rows: pd.DataFrame) -> None:
+        nonlocal head
+        x, code = _stack(rows["vector"], s.inputs), rows["code"].to_numpy()
+        gradient, loss, predicted = head.gradient(x, code, _dropout_mask(rows["key"].to_numpy(), s.inputs, s.dropout))
+        done = int(sums[1]) * parts if s.step_per == "batch" else 0
+        head = replace_weights(head, optimiser.update(head.flat, gradient / len(rows), _rate(s, now.scheduled + done, total)))
+        sums[:3] += loss / len(rows), 1, len(rows)
+        sums[3:] += np.bincount(code * classes + predicted, minlength=classes * classes)
+
+    def close() -> np.ndarray:
+        if held:
+            step(pd.concat(held))
+        return np.concatenate([sums, *(sums[2] * x for x in (head.flat, optimiser.m, optimiser.v))])
+
+    for batch in batches:
+        for name, rows in batch.groupby("part", sort=True):
+            if name != part:
+                if part is not None:
+                    yield close()
+                part, held, count = name, [], 0
+                head, sums = now.head, np.zeros(3 + classes * classes)
+                optimiser = AdamW.at(s.eps, now.optimiser.m, now.optimiser.v, now.optimiser.steps)
+            at = 0
+            while at < len(rows):
+                taken = rows.iloc[at:at + s.batch_size - count]
+                held.append(taken)
+                at, count = at + len(taken), count + len(taken)
+                if count == s.batch_size:
+                    step(pd.concat(held))
+                    held, count = [], 0
+    if part is not None:
+        yield close()
+
+
+def _epoch(train: DataFrame, rows: int, now: Progress, total: int) -> tuple[float, dict[tuple[int, int], int]]:
+    """Moves ``now`` on by an epoch over ``train`` (sentence_id, vector, code), in one
+    job. Gives the mean of the batch mean losses and the confusion counts."""
+    s, epoch = now.head.settings, now.epoch + 1
+    if s.batch_size is None or s.batch_size >= rows:
+        gradient, loss, cells = batch_gradient(train, now.head, epoch - 1)
+        now.head = replace_weights(now.head, now.optimiser.update(now.head.flat, gradient, _rate(s, now.scheduled, total)))
+        now.scheduled += s.step_per in ("epoch", "batch")
+        return loss, cells
+    parts = max(1, -(-rows * s.inputs // s.part_values))
+    key = F.xxhash64("sentence_id", F.lit(s.seed), F.lit(epoch))
+    ordered = (
+        train.select(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(parts)).alias("part"), key.alias("key"), "sentence_id", "vector", "code")
+        .repartition(parts, "part").sortWithinPartitions("part", "key", "sentence_id").select("part", "key", "vector", "code"))
+    shared = train.sparkSession.sparkContext.broadcast(now)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for everything in part_steps(batches, shared.value, parts, total):
+            yield _slices(everything)
+
+    everything = _added_up(ordered.mapInPandas(work, "slice int, part array<double>"))
+    shared.unpersist()
+    head = 3 + s.classes ** 2
+    loss, batches, counted = everything[:3]
+    flat, m, v = np.split(everything[head:] / counted, 3)
+    now.head = replace_weights(now.head, flat)
+    now.optimiser = AdamW.at(s.eps, m, v, now.optimiser.steps + -(-int(batches) // parts))
+    now.scheduled += int(batches) if s.step_per == "batch" else s.step_per == "epoch"
+    return loss / batches, _counted(everything[3:head], s.classes)
+
 
 def warmup_factor(step: int, warmup: int, total: int) -> float:
     if step < warmup:
@@ -245,78 +367,59 @@ def _validate(val: DataFrame, head: Head) -> tuple[float, dict[tuple[int, int],
     return row["loss"], {cell: n for cell, n in cells.items() if n}
 
 
-def _epoch_batches(train: DataFrame, settings: HeadSettings, epoch: int, rows: int) -> Iterator[DataFrame]:
-    """The batches of an epoch in a new seeded order. They are stored in batch order,
-    so a step reads the files and row groups of its own batch only."""
-    if settings.batch_size is None or settings.batch_size >= rows:
-        yield train
-        return
-    ordered = materialize(assign_batches(train, settings.batch_size, settings.seed * 1_000_003 + epoch), "epoch")
-    for number in range(num_batches(rows, settings.batch_size)):
-        yield ordered.where(F.col("batch_id") == number)
-
-
 def train_head(train: DataFrame, val: DataFrame, settings: HeadSettings, vector: str = "embedding",
                label: str = "label_encoded", metrics: Mapping[str, Callable] | None = None,
                log: Callable[[dict[str, Any]], None] | None = None,
-               mapping: Mapping[str, int] = TRAIN_CODES) -> tuple[Head, float, list[dict[str, Any]]]:
+               mapping: Mapping[str, int] = TRAIN_CODES, initial: Head | None = None,
+               progress: str | None = None) -> tuple[Head, float, list[dict[str, Any]]]:
     """Epochs until validation macro-F1 has not risen for ``patience`` epochs; gives
-    back the best head, its score and the logged epochs."""
+    back the best head, its score and the logged epochs.
+
+    ``initial`` is a head to train on from. ``progress`` names a folder for the state
+    after each epoch: a fit with the same settings that finds one there goes on behind
+    its last complete epoch and ends like an uninterrupted one.
+    """
     spark = train.sparkSession
     metrics = dict(metrics or C.METRICS)
     columns = ["sentence_id", F.col(vector).alias("vector"), F.col(label).cast("int").alias("code")]
-    train = train.select(columns).persist()
-    if settings.batch_size is None:
-        val = val.select(*columns, F.lit(0).alias("batch_id"))
+    with scratch(spark, "fit") as tmp:
+        train = tmp.table(train.select(columns))
+        val = val.select(*columns, F.lit(0).alias("batch_id")) if settings.batch_size is None else assign_batches(val.select(columns), settings.batch_size)
+        val = tmp.table(val)
+        rows = train.count()
+        steps_per_epoch = 1 if settings.batch_size is None else num_batches(rows, settings.batch_size)
+        total = settings.epochs * steps_per_epoch + settings.warmup_steps
+        head = Head(settings, initial.flat) if initial else Head.initial(settings)
+        now = (load_progress(spark, progress, settings) if progress else None) or Progress(head, AdamW(len(head.flat), settings.eps))
+        while not now.over:
+            loss, cells = _epoch(train, rows, now, total)
+            now.epoch += 1
+            _judge(spark, val, now, loss, cells, total, metrics, inverse(mapping), log)
+            if progress:
+                save_progress(spark, now, progress)
+    return now.best or now.head, now.best_score, now.logged
+
+
+def _judge(spark: SparkSession, val: DataFrame, now: Progress, loss: float, cells: Mapping, total: int,
+           metrics: Mapping[str, Callable], names: Mapping[int, str], log: Callable[[dict], None] | None) -> None:
+    """Scores the epoch, keeps the best head, and logs unless the fit ends here."""
+    settings = now.head.settings
+    val_loss, val_cells = _validate(val, now.head)
+    scores = _epoch_scores(spark, {"train": cells, "val": val_cells}, metrics, names, settings.digits)
+    if scores["val", "macro_f1"] > now.best_score:
+        now.best, now.best_score, now.waited = now.head, scores["val", "macro_f1"], 0
     else:
-        val = assign_batches(val.select(columns), settings.batch_size)
-    val = val.persist()
-    rows = train.count()
-    steps_per_epoch = 1 if settings.batch_size is None else num_batches(rows, settings.batch_size)
-    total = settings.epochs * steps_per_epoch + settings.warmup_steps
-
-    head, best, best_score, waited, scheduled, step = Head.initial(settings), None, -1.0, 0, 0, 0
-    optimiser, logged = AdamW(len(head.flat), settings.eps), []
-    names = inverse(mapping)
-    try:
-        for epoch in range(1, settings.epochs + 1):
-            losses, cells = [], {}
-            for batch in _epoch_batches(train, settings, epoch, rows):
-                gradient, loss, counted = batch_gradient(batch, head, step)
-                rate = settings.learning_rate
-                if settings.step_per in ("epoch", "batch"):
-                    rate *= warmup_factor(scheduled, settings.warmup_steps, total)
-                head = replace_weights(head, optimiser.update(head.flat, gradient, rate))
-                losses.append(loss)
-                for cell, n in counted.items():
-                    cells[cell] = cells.get(cell, 0) + n
-                step += 1
-                scheduled += settings.step_per == "batch"
-            scheduled += settings.step_per == "epoch"
-            val_loss, val_cells = _validate(val, head)
-            scores = _epoch_scores(spark, {"train": cells, "val": val_cells}, metrics, names, settings.digits)
-            if scores["val", "macro_f1"] > best_score:
-                best, best_score, waited = head, scores["val", "macro_f1"], 0
-            else:
-                waited += 1
-                if waited >= settings.patience:
-                    break
-            rate = settings.learning_rate
-            if settings.step_per in ("epoch", "batch"):
-                rate *= warmup_factor(scheduled, settings.warmup_steps, total)
-            record = {
-                "epoch": epoch, "train/loss": float(np.mean(losses)), "val/loss": val_loss,
-                "learning_rate": rate,
-                **{f"{split}/{name}": scores.get((split, name)) for name in ("macro_f1", "accuracy") for split in ("train", "val")},
-                **{f"val/{name}_class_f1": scores.get(("val", f"{name}_class_f1")) for name in names.values()},
-            }
-            logged.append(record)
-            if log:
-                log(record)
-    finally:
-        train.unpersist()
-        val.unpersist()
-    return best or head, best_score, logged
+        now.waited += 1
+        if now.waited >= settings.patience:
+            return
+    record = {
+        "epoch": now.epoch, "train/loss": float(loss), "val/loss": val_loss, "learning_rate": _rate(settings, now.scheduled, total),
+        **{f"{split}/{name}": scores.get((split, name)) for name in ("macro_f1", "accuracy") for split in ("train", "val")},
+        **{f"val/{name}_class_f1": scores.get(("val", f"{name}_class_f1")) for name in names.values()},
+    }
+    now.logged.append(record)
+    if log:
+        log(record)
 
 
 def replace_weights(head: Head, flat: np.ndarray) -> Head:
@@ -334,3 +437,29 @@ def load_head(spark: SparkSession, path: str) -> Head:
     raw = json.loads(row["settings"])
     raw["class_weights"] = tuple(raw["class_weights"]) if raw["class_weights"] else None
     return Head(HeadSettings(**raw), np.asarray(row["weights"]))
+
+
+_PROGRESS = ("epoch int, settings string, steps bigint, scheduled bigint, best_score double, waited int, logged string, "
+             "weights array<double>, m array<double>, v array<double>, best array<double>")
+
+
+def save_progress(spark: SparkSession, now: Progress, folder: str) -> None:
+    """One row in a folder of its own per epoch; only a finished write leaves a marker."""
+    row = (now.epoch, json.dumps(asdict(now.head.settings)), now.optimiser.steps, now.scheduled, now.best_score, now.waited, json.dumps(now.logged),
+           *[x.tolist() for x in (now.head.flat, now.optimiser.m, now.optimiser.v)], None if now.best is None else now.best.flat.tolist())
+    spark.createDataFrame([row], _PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/after-{now.epoch}")
+
+
+def load_progress(spark: SparkSession, folder: str, settings: HeadSettings) -> Progress | None:
+    """The last complete epoch of a fit with these settings; None if there is none."""
+    paths = [f"{folder.rstrip('/')}/after-{epoch}" for epoch in range(settings.epochs, 0, -1)]
+    found = next((p for p in paths if is_complete(spark, p)), None)
+    if found is None:
+        return None
+    row = spark.read.schema(_PROGRESS).parquet(found).first()
+    if json.loads(row["settings"]) != json.loads(json.dumps(asdict(settings))):
+        raise ValueError(f"{folder} holds the progress of a fit with other settings")
+    arrays = {c: np.asarray(row[c]) for c in ("weights", "m", "v")}
+    best = None if row["best"] is None else Head(settings, np.asarray(row["best"]))
+    return Progress(Head(settings, arrays["weights"]), AdamW.at(settings.eps, arrays["m"], arrays["v"], row["steps"]), row["epoch"],
+                    row["scheduled"], best, row["best_score"], row["waited"], json.loads(row["logged"]))

@@ -1,190 +1,252 @@
-"""2-D layouts of vectors: PCA, and two graph layouts fitted by full-batch descent.
-
-A step of the descent is one job. Pairs and positions are kept partitioned alike,
-the pairs by their first end: a step joins the position of that end in place,
-sends it to the second end, the one shuffle of the step, and sums the forces
-where they arrive. Positions are never collected or broadcast by hand. Rows that
-take part in a large share of all pairs are split by salt, and each step ends in a
-reliable checkpoint.
+"""2-D layouts of vectors: PCA, and two graph layouts fitted by descent.
+
+The rows are dealt to blocks by where their vectors lie, so that most near pairs stay
+within one. A block has its own rows, all pairs they take part in, and
+copies of the rows at the other ends. A round is one job: it brings the copies up to
+date, then every block makes INNER steps of the descent on its own, moving the copies
+along by the pairs it sees, so that the two ends of a pair keep meeting halfway. At the
+end of a round the copies are dropped: a row's position comes from its own block. Rows
+that take part in a large share of all pairs are dealt to several blocks by the other
+end, and their position is the mean of those. Positions are never collected, and the
+state of a round is a table in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+from math import ceil, log2
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentspark.operators.embedding import pca_layout
+from sentspark.operators.forest import SEED, dealt_to_cells, knn_approx
 from sentspark.operators.graphs import EXTRA_NEIGHBOURS, index_rows, pacmap_pairs, umap_graph
-from sentspark.operators.forest import knn_approx
 from sentspark.operators.neighbours import knn_graph
 from sentspark.operators.skew import HOT_SHARE, hot_keys
-from sentspark.session import cut_lineage, forget_estimates, materialize, scratch_path, static_plans
+from sentspark.scratch import Scratch, scratch
+from sentspark.session import materialize
 
-# The curve parameters for a minimum distance of 0.1, the clip and
-# the repulsion count of the membership layout; the phase lengths (shares of 450
-# steps), pair constants and optimiser constants of the pair layout.
-CURVE_A, CURVE_B = 1.576943, 0.895061
+# The clip and the repulsion count of the membership layout; the phase
+# lengths (shares of 450 steps), pair constants and optimiser constants of the pair
+# layout; the dimensions its vectors are brought down to first.
 CLIP, NEGATIVES = 4.0, 5
 PHASES = (100 / 450, 200 / 450)
 NEAR_C, MID_C, FAR_C = 10.0, 10000.0, 1.0
 ADAM_RATE, BETA_1, BETA_2, ADAM_EPS = 1.0, 0.9, 0.999, 1e-7
-
-RENEW_EVERY = 8   # steps between renewals of the state's size estimate
-PAIRS_PER_PARTITION = 2_000_000
-
-
-def _partitions(pairs: DataFrame) -> int:
-    """Partitions of about 50 MB, but no fewer than there are cores."""
-    return max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_PER_PARTITION))
-
-
-class _Pairs:
-    """Pairs (i, j, ...) partitioned by the first end. If some rows take part in more
-    than a thousandth of all pair ends, ``hot`` holds them (at most a thousand) and
-    both ends carry a salt; otherwise there are no salts."""
-
-    def __init__(self, pairs: DataFrame):
-        ends = pairs.select(F.explode(F.array("i", "j")).alias("idx"))
+FIRST_DIMENSIONS = 100
+
+INNER = 5                   # steps between two exchanges
+PAIRS_PER_BLOCK = 500_000
+KINDS = ("near", "mid", "far")
+_STATE = ("y0", "y1", "m0", "m1", "v0", "v1")
+
+
+def curve_parameters(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
+    """(a, b) for which 1 / (1 + a * d ** (2 * b)) comes nearest, by least squares over
+    300 distances up to three times ``spread``, to 1 below ``min_dist`` and to
+    exp(-(d - min_dist) / spread) beyond. Damped Gauss-Newton steps."""
+    if not 0 <= min_dist <= spread:
+        raise ValueError("min_dist must lie between 0 and spread")
+    d = np.linspace(0, 3 * spread, 300)
+    wanted = np.where(d < min_dist, 1.0, np.exp(-(d - min_dist) / spread))
+    log_d = np.log(np.maximum(d, 1e-300))
+
+    def parts(a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+        power = np.where(d > 0, np.exp(2 * b * log_d), 0.0)
+        value = 1 / (1 + a * power)
+        slope = -value ** 2
+        return value - wanted, np.stack([slope * power, slope * a * power * np.where(d > 0, 2 * log_d, 0.0)], axis=1)
+
+    now, damping = np.array([1.0, 1.0]), 1e-3
+    miss, slopes = parts(*now)
+    for _ in range(500):
+        square = slopes.T @ slopes
+        step = np.linalg.solve(square + damping * np.diag(np.diag(square)), -slopes.T @ miss)
+        trial = now + step
+        if (trial > 0).all():
+            new, new_slopes = parts(*trial)
+            if new @ new <= miss @ miss:
+                now, miss, slopes, damping = trial, new, new_slopes, damping / 3
+                if np.abs(step).max() < 1e-12:
+                    break
+                continue
+        damping *= 4
+        if damping > 1e12:
+            break
+    return float(now[0]), float(now[1])
+
+
+class _Blocks:
+    """Pairs (i, j, ...) dealt to blocks by their first end, both directions given, and
+    which rows each block holds. ``hot`` has the rows that take part in more than a
+    thousandth of all pair ends (at most a thousand), with their number of blocks."""
+
+    def __init__(self, pairs: DataFrame, indexed: DataFrame, per_block: int, tmp: Scratch) -> None:
+        rows, depth = indexed.select("idx"), max(0, ceil(log2(max(1, pairs.count()) / per_block)))
+        self.blocks = 1 << depth
+        home = tmp.table(dealt_to_cells(indexed.select(F.col("idx").alias("id"), "vec"), depth, SEED)[0].select(
+            F.col("id").alias("i"), F.col("cell").alias("home")))
+        self.hot = tmp.table(hot_keys(pairs.select(F.col("i").alias("idx")), "idx").where("splits > 1"))
         # A row of average degree is far below the limit only if there are many rows.
-        self.hot = cut_lineage(hot_keys(ends, "idx").where("splits > 1"))
-        self.salted = bool(self.hot.take(1)) and HOT_SHARE * 10 < pairs.agg(F.count_distinct("i")).first()[0]
-        for end, other in (("i", "j"), ("j", "i")) if self.salted else ():
-            splits = F.broadcast(self.hot.select(F.col("idx").alias(end), "splits"))
-            salt = F.pmod(F.xxhash64(other), F.coalesce("splits", F.lit(1))).cast("int")
-            pairs = pairs.join(splits, end, "left").withColumn(f"salt_{end}", salt).drop("splits")
-        self.partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.state_path = scratch_path(pairs.sparkSession, "layout")
-        self.table = cut_lineage(pairs.repartition(self.partitions, *self.key("i")))
-
-    def key(self, end: str) -> list[str]:
-        return [end, f"salt_{end}"] if self.salted else [end]
-
-    def placed(self, state: DataFrame, end: str, tag: str) -> DataFrame:
-        """Positions under the key of the given end."""
-        columns = [F.col("idx").alias(end), F.col("y0").alias(f"{tag}0"), F.col("y1").alias(f"{tag}1")]
-        if self.salted:
-            columns.append(F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias(f"salt_{end}"))
-        return state.select(columns)
-
-    def forces(self, state: DataFrame, pull: Callable[[Column], Column], drawn: DataFrame | None = None,
-               clip: float | None = None) -> DataFrame:
-        """(idx, f0, f1): for every row the sum of pull(d2) * (own - other)."""
-        here = self.placed(state, "i", "a")
-        sent = self.table.join(here, self.key("i")).drop(*self.key("i"))
-        if drawn is not None:
-            sent = sent.unionByName(drawn.join(here, self.key("i")).drop(*self.key("i")))
-        met = sent.join(self.placed(state, "j", "b"), self.key("j"))
-        d0, d1 = F.col("b0") - F.col("a0"), F.col("b1") - F.col("a1")
-        factor = pull(d0 * d0 + d1 * d1)
-
-        def bounded(x: Column) -> Column:
-            return x if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), x))
-
-        both = [F.sum(bounded(factor * d)).alias(name) for name, d in (("f0", d0), ("f1", d1))]
-        summed = met.groupBy(*self.key("j")).agg(*both)
+        self.salted = bool(self.hot.take(1)) and HOT_SHARE * 10 < rows.count()
         if self.salted:
-            summed = summed.groupBy("j").agg(F.sum("f0").alias("f0"), F.sum("f1").alias("f1"))
-        return summed.withColumnRenamed("j", "idx")
-
-    def start(self, indexed: DataFrame, scale: float) -> DataFrame:
-        """Initial state from the principal components, partitioned like the pairs."""
-        placed = pca_layout(indexed, "vec", 2, scale).join(F.broadcast(self.hot), "idx", "left")
-        state = placed.select(
-            "idx", F.col("position")[0].alias("y0"), F.col("position")[1].alias("y1"),
-            *[F.lit(0.0).alias(c) for c in ("m0", "m1", "v0", "v1")], F.coalesce("splits", F.lit(1)).alias("splits"),
-        )
-        return self.renewed(state)
-
-    def renewed(self, state: DataFrame) -> DataFrame:
-        return forget_estimates(state, self.state_path, self.partitions, "idx")
-
-
-def pair_layout(indexed: DataFrame, pairs: DataFrame, n_iter: int = 450) -> DataFrame:
+            splits = F.broadcast(self.hot.select(F.col("idx").alias("i"), "splits"))
+            spread = F.pmod(F.xxhash64("i", F.pmod(F.xxhash64("j"), F.col("splits"))), F.lit(self.blocks))
+            dealt = pairs.join(splits, "i", "left").join(home, "i").withColumn("block", F.when(F.col("splits").isNull(), F.col("home")).otherwise(spread))
+        else:
+            dealt = pairs.join(home, "i").withColumn("block", F.col("home"))
+        self.pairs = tmp.table(dealt.select("block", *pairs.columns))
+        ends = self.pairs.select("block", F.col("i").alias("idx"), F.lit(True).alias("own")).unionByName(
+            self.pairs.select("block", F.col("j").alias("idx"), F.lit(False).alias("own")))
+        alone = home.join(self.pairs.select("i"), "i", "left_anti").select(F.col("home").alias("block"), F.col("i").alias("idx"), F.lit(True).alias("own"))
+        self.places = tmp.table(ends.unionByName(alone).groupBy("block", "idx").agg(F.max("own").alias("own")))
+
+    def round(self, state: DataFrame, work: Callable, more: DataFrame | None = None) -> DataFrame:
+        """The state after ``work`` on every block. ``more`` names further rows
+        (block, idx, own) that blocks need."""
+        wanted = self.places if more is None else self.places.unionByName(more)
+        points = wanted.join(state, "idx")
+
+        def step(pairs: pa.Table, points: pa.Table) -> pa.Table:
+            return work(pairs, points)
+
+        moved = self.pairs.groupBy("block").cogroup(points.groupBy("block")).applyInArrow(step, state.schema)
+        if not self.salted:
+            return moved
+        return moved.groupBy("idx").agg(*[F.avg(c).alias(c) for c in state.columns if c != "idx"])
+
+
+def _start(indexed: DataFrame, scale: float) -> DataFrame:
+    placed = pca_layout(indexed, "vec", 2, scale)
+    return placed.select("idx", F.col("position")[0].alias("y0"), F.col("position")[1].alias("y1"), *[F.lit(0.0).alias(c) for c in _STATE[2:]])
+
+
+class _Local:
+    """One block in memory: its points in order of their index, and its pairs by place."""
+
+    def __init__(self, pairs: pa.Table, points: pa.Table, columns: list[str]) -> None:
+        points = points.sort_by([("idx", "ascending"), ("own", "descending")])
+        idx = points["idx"].to_numpy()
+        first = np.r_[True, idx[1:] != idx[:-1]] if len(idx) else np.zeros(0, bool)
+        self.idx, self.own = idx[first], points["own"].to_numpy(zero_copy_only=False)[first]
+        self.state = {c: points[c].to_numpy()[first].copy() for c in columns}
+        self.a, self.b = (np.searchsorted(self.idx, pairs[end].to_numpy()) for end in ("i", "j"))
+        # A pair of two own rows is there in both directions.
+        self.back = ~self.own[self.b] if len(self.b) else np.zeros(0, bool)
+
+    @property
+    def y(self) -> np.ndarray:
+        return np.stack([self.state["y0"], self.state["y1"]], axis=1)
+
+    def total(self, force: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, back: np.ndarray | None = None) -> np.ndarray:
+        """Sums of ``force`` at the first ends, and of its opposite at those second ends
+        that are copies."""
+        n, out = len(self.idx), []
+        for axis in (0, 1):
+            sums = np.bincount(a, force[:, axis], n)
+            if b is not None:
+                sums -= np.bincount(b[back], force[back, axis], n)
+            out.append(sums)
+        return np.stack(out, axis=1)
+
+    def table(self) -> pa.Table:
+        return pa.table({"idx": self.idx[self.own], **{c: v[self.own] for c, v in self.state.items()}})
+
+
+def pair_layout(indexed: DataFrame, pairs: DataFrame, n_iter: int = 450, inner: int = INNER, per_block: int = PAIRS_PER_BLOCK) -> DataFrame:
     """(idx, y0, y1) from near, mid and far pairs, by Adam."""
-    # Made outside the block, so that the searches behind it are planned adaptively.
-    pairs = materialize(pairs, "pairs")
-    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
-    with static_plans(indexed.sparkSession, _partitions(both)):
-        return _descend_pairs(indexed, _Pairs(both), n_iter)
-
-
-def _descend_pairs(indexed: DataFrame, pairs: _Pairs, n_iter: int) -> DataFrame:
-    state = pairs.start(indexed, 0.01)
+    with scratch(indexed.sparkSession, "pairs") as tmp, scratch(indexed.sparkSession, "state") as states:
+        kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int").alias("kind")
+        once = tmp.table(pairs.select("i", "j", kind))
+        blocks = _Blocks(once.unionByName(once.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind")), indexed, per_block, tmp)
+        state = states.table(_start(indexed, 0.01))
+        inner = inner if blocks.blocks > 1 else n_iter      # one block has no copies
+        for first in range(0, n_iter, max(1, inner)):
+            work = partial(_pair_steps, first=first, last=min(n_iter, first + inner), n_iter=n_iter)
+            state = states.table(blocks.round(state, work))
+            states.keep_last(1)
+        return materialize(state.select("idx", "y0", "y1"), "layout")
+
+
+def pair_weights(step: int, n_iter: int) -> tuple[float, float, float]:
+    """Weights of near, mid and far pairs in a step."""
     first, second = (int(share * n_iter) for share in PHASES)
-    for step in range(n_iter):
-        if step < first:
-            done = step / first
-            near, mid, far = 2.0, 1000.0 * (1 - done) + 3.0 * done, 1.0
-        elif step < second:
-            near, mid, far = 3.0, 3.0, 1.0
-        else:
-            near, mid, far = 1.0, 0.0, 1.0
-
-        def pull(d2: Column) -> Column:
-            d = d2 + 1.0
-            kind = F.col("kind")
-            attract_near = 2.0 * near * NEAR_C / ((NEAR_C + d) * (NEAR_C + d))
-            attract_mid = 2.0 * mid * MID_C / ((MID_C + d) * (MID_C + d))
-            repel = -2.0 * far / ((FAR_C + d) * (FAR_C + d))
-            return F.when(kind == "near", attract_near).when(kind == "mid", attract_mid).otherwise(repel)
-
-        state = _adam(state, pairs.forces(state, pull), step + 1)
-        if step % RENEW_EVERY == RENEW_EVERY - 1:
-            state = pairs.renewed(state)
-    return state.select("idx", "y0", "y1")
-
-
-def _adam(state: DataFrame, forces: DataFrame, step: int) -> DataFrame:
-    rate = ADAM_RATE * (1 - BETA_2 ** step) ** 0.5 / (1 - BETA_1 ** step)
-    joined = state.join(forces, "idx", "left")
-    columns = {}
-    for axis in "01":
-        force = F.coalesce(F.col(f"f{axis}"), F.lit(0.0))
-        m = BETA_1 * F.col(f"m{axis}") + (1 - BETA_1) * force
-        v = BETA_2 * F.col(f"v{axis}") + (1 - BETA_2) * force * force
-        columns[f"y{axis}"] = F.col(f"y{axis}") - rate * m / (F.sqrt(v) + ADAM_EPS)
-        columns[f"m{axis}"], columns[f"v{axis}"] = m, v
-    return cut_lineage(joined.select("idx", *[columns[c].alias(c) for c in ("y0", "y1", "m0", "m1", "v0", "v1")], "splits"))
-
-
-def membership_layout(indexed: DataFrame, graph: DataFrame, n: int, n_iter: int = 200, seed: int = 42) -> DataFrame:
-    """(idx, y0, y1) from a symmetric weighted graph: edges attract by weight, and
-    every row is repelled by a few rows drawn anew in each step."""
-    edges = materialize(graph.withColumn("kind", F.lit("edge")), "edges")
-    with static_plans(indexed.sparkSession, _partitions(edges)):
-        return _descend_graph(indexed, _Pairs(edges), n, n_iter, seed)
-
-
-def _descend_graph(indexed: DataFrame, edges: _Pairs, n: int, n_iter: int, seed: int) -> DataFrame:
-    strength = edges.table.groupBy(F.col("i").alias("idx")).agg(F.sum("weight").alias("strength"))
-    state = edges.renewed(
-        edges.start(indexed, 10.0).join(strength, "idx", "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
-    )
-
-    def pull(d2: Column) -> Column:
-        curve = 1.0 + CURVE_A * F.pow(d2, F.lit(CURVE_B))
-        attract = F.when(d2 > 0, 2.0 * CURVE_A * CURVE_B * F.pow(d2, F.lit(CURVE_B - 1.0)) / curve).otherwise(0.0)
-        repel = -2.0 * CURVE_B / ((0.001 + d2) * curve)
-        return F.col("weight") * F.when(F.col("kind") == "edge", attract).otherwise(repel)
-
-    for step in range(n_iter):
-        salt = F.pmod(F.xxhash64("idx", F.col("s")), F.col("splits")).cast("int")
-        partner = F.pmod(F.xxhash64("idx", F.lit(seed), F.lit(step), F.col("s")), F.lit(n))
-        drawn = state.select("idx", "splits", "strength", F.explode(F.sequence(F.lit(1), F.lit(NEGATIVES))).alias("s")).select(
-            partner.alias("i"), F.col("idx").alias("j"), F.col("strength").alias("weight"), F.lit("random").alias("kind"),
-            *([F.lit(0).alias("salt_i"), salt.alias("salt_j")] if edges.salted else []),
-        ).where("i <> j")
-        forces = edges.forces(state, pull, drawn, CLIP)
-        rate = 1.0 - step / n_iter
-        moved = state.join(forces, "idx", "left")
-        updated = {f"y{a}": F.col(f"y{a}") - rate * F.coalesce(F.col(f"f{a}"), F.lit(0.0)) for a in "01"}
-        kept = [c for c in state.columns if c not in updated]
-        state = cut_lineage(moved.select(*[updated[c].alias(c) for c in updated], *kept))
-        if step % RENEW_EVERY == RENEW_EVERY - 1:
-            state = edges.renewed(state)
-    return state.select("idx", "y0", "y1")
+    if step < first:
+        return 2.0, 1000.0 * (1 - step / first) + 3.0 * step / first, 1.0
+    return (3.0, 3.0, 1.0) if step < second else (1.0, 0.0, 1.0)
+
+
+def _pair_steps(pairs: pa.Table, points: pa.Table, first: int, last: int, n_iter: int) -> pa.Table:
+    local = _Local(pairs, points, list(_STATE))
+    kind, y = pairs["kind"].to_numpy(), local.y
+    m = np.stack([local.state["m0"], local.state["m1"]], axis=1)
+    v = np.stack([local.state["v0"], local.state["v1"]], axis=1)
+    constant = np.array([0.0, NEAR_C, MID_C, FAR_C])[kind]
+    for step in range(first, last):
+        near, mid, far = pair_weights(step, n_iter)
+        strength = np.array([0.0, 2.0 * near * NEAR_C, 2.0 * mid * MID_C, -2.0 * far])[kind]
+        gap = y[local.a] - y[local.b]
+        reach = constant + 1.0 + (gap * gap).sum(axis=1)
+        force = local.total((strength / (reach * reach))[:, None] * gap, local.a, local.b, local.back)
+        m = BETA_1 * m + (1 - BETA_1) * force
+        v = BETA_2 * v + (1 - BETA_2) * force * force
+        rate = ADAM_RATE * (1 - BETA_2 ** (step + 1)) ** 0.5 / (1 - BETA_1 ** (step + 1))
+        y = y - rate * m / (np.sqrt(v) + ADAM_EPS)
+    for axis in (0, 1):
+        local.state |= {f"y{axis}": y[:, axis], f"m{axis}": m[:, axis], f"v{axis}": v[:, axis]}
+    return local.table()
+
+
+def membership_layout(indexed: DataFrame, graph: DataFrame, n: int, n_iter: int = 200, seed: int = 42,
+                      min_dist: float = 0.1, spread: float = 1.0, inner: int = INNER, per_block: int = PAIRS_PER_BLOCK) -> DataFrame:
+    """(idx, y0, y1) from a symmetric weighted graph: edges attract by weight, and every
+    row is repelled by a few others. Each round draws NEGATIVES rows per own row from the
+    whole table into a block, and each of its steps draws anew among those."""
+    a, b = curve_parameters(min_dist, spread)
+    with scratch(indexed.sparkSession, "edges") as tmp, scratch(indexed.sparkSession, "state") as states:
+        edges = tmp.table(graph.select("i", "j", "weight"))
+        blocks = _Blocks(edges, indexed, per_block, tmp)
+        strength = edges.groupBy(F.col("i").alias("idx")).agg(F.sum("weight").alias("strength"))
+        start = _start(indexed, 10.0).select("idx", "y0", "y1").join(strength, "idx", "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
+        state = states.table(start)
+        inner = inner if blocks.blocks > 1 else n_iter      # one block has all rows to draw from
+        for first in range(0, n_iter, max(1, inner)):
+            drawn = blocks.places.where("own").select(
+                "block", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEGATIVES)), lambda s: F.pmod(
+                    F.xxhash64("idx", F.lit(seed), F.lit(first), s), F.lit(n)))).alias("idx"), F.lit(None).cast("boolean").alias("own"))
+            work = partial(_edge_steps, first=first, last=min(n_iter, first + inner), n_iter=n_iter, seed=seed, a=a, b=b)
+            state = states.table(blocks.round(state, work, drawn))
+            states.keep_last(1)
+        return materialize(state.select("idx", "y0", "y1"), "layout")
+
+
+def _edge_steps(edges: pa.Table, points: pa.Table, first: int, last: int, n_iter: int, seed: int, a: float, b: float) -> pa.Table:
+    drawn = points.filter(pc.is_null(points["own"]))["idx"].to_numpy()
+    points = points.set_column(points.column_names.index("own"), "own", pc.fill_null(points["own"], False))
+    local = _Local(edges, points, ["y0", "y1", "strength"])
+    weight, y, strength = edges["weight"].to_numpy(), local.y, local.state["strength"]
+    others, every = np.searchsorted(local.idx, np.sort(drawn)), np.arange(len(local.idx))
+    rng = np.random.default_rng([seed, first, int(local.idx[0]) if len(local.idx) else 0])
+    for step in range(first, last):
+        gap = y[local.a] - y[local.b]
+        d2 = (gap * gap).sum(axis=1)
+        near = np.where(d2 > 0, d2, 1.0)
+        pull = np.where(d2 > 0, 2.0 * a * b * near ** (b - 1.0) / (1.0 + a * near ** b), 0.0) * weight
+        force = local.total(np.clip(pull[:, None] * gap, -CLIP, CLIP), local.a, local.b, local.back)
+        for _ in range(NEGATIVES if len(others) else 0):
+            partner = others[rng.integers(0, len(others), len(every))]
+            gap = y - y[partner]
+            d2 = (gap * gap).sum(axis=1)
+            push = np.where(partner == every, 0.0, -2.0 * b / ((0.001 + d2) * (1.0 + a * d2 ** b))) * strength
+            force += np.clip(push[:, None] * gap, -CLIP, CLIP)
+        y = y - (1.0 - step / n_iter) * force
+    local.state |= {"y0": y[:, 0], "y1": y[:, 1]}
+    return local.table()
 
 
 def _by_pca(df: DataFrame, id_column: str, vector: str, **params: Any) -> DataFrame:
@@ -203,7 +265,14 @@ SEARCHES: dict[str, Callable[..., DataFrame]] = {"approximate": knn_approx, "exa
 
 
 def _by_pacmap(df: DataFrame, id_column: str, vector: str, n_neighbors: int = 10, MN_ratio: float = 0.5,
-               FP_ratio: float = 2.0, random_state: int = 42, n_iter: int = 450, neighbours: str = "approximate") -> DataFrame:
+               FP_ratio: float = 2.0, random_state: int = 42, n_iter: int = 450, neighbours: str = "approximate",
+               apply_pca: bool = True) -> DataFrame:
+    """Vectors of more than FIRST_DIMENSIONS entries are brought down to their leading
+    principal components first, unless ``apply_pca`` is off."""
+    width = df.select(F.max(F.size(vector))).first()[0] or 0
+    if apply_pca and width > FIRST_DIMENSIONS:
+        reduced = pca_layout(df.select(id_column, vector), vector, FIRST_DIMENSIONS)
+        df, vector = reduced.select(id_column, "position"), "position"
     indexed = index_rows(df, id_column, vector, random_state)
     n = indexed.count()
     knn = SEARCHES[neighbours](indexed, n_neighbors + EXTRA_NEIGHBOURS, "idx", "vec")
@@ -212,11 +281,11 @@ def _by_pacmap(df: DataFrame, id_column: str, vector: str, n_neighbors: int = 10
 
 
 def _by_umap(df: DataFrame, id_column: str, vector: str, n_neighbors: int = 15, random_state: int = 42,
-             n_iter: int = 200, neighbours: str = "approximate") -> DataFrame:
+             n_iter: int = 200, neighbours: str = "approximate", min_dist: float = 0.1, spread: float = 1.0) -> DataFrame:
     indexed = index_rows(df, id_column, vector, random_state)
     n = indexed.count()
     graph = umap_graph(SEARCHES[neighbours](indexed, n_neighbors, "idx", "vec"))
-    return _named(membership_layout(indexed, graph, n, n_iter, random_state), indexed, id_column)
+    return _named(membership_layout(indexed, graph, n, n_iter, random_state, min_dist, spread), indexed, id_column)
 
 
 REDUCERS: dict[str, Callable[..., DataFrame]] = {"pca": _by_pca, "pacmap": _by_pacmap, "umap": _by_umap}

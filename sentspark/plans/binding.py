@@ -58,13 +58,19 @@ def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors with ten classes; the logit of a class is the product with its mean vector."""
-    rows = table(spark, folder, "embeddings")
-    # One number per class and entry.
-    entries = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = entries.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("mean")).orderBy("label").collect()
-    logits = [dot(F.col("embedding"), F.array(*[F.lit(e["m"]) for e in row["mean"]])) for row in means]
-    return rows.select("vec_id", "embedding", F.col("label").alias("class_id"), F.array(*logits).cast("array<double>").alias("logits"))
+    """Vectors with ten classes."""
+    return table(spark, folder, "embeddings").select("vec_id", "embedding", F.col("label").alias("class_id"))
+
+
+def with_logits(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with logits: that of a class is the product with its mean vector. The
+    means are part of the same plan, as one value of a number per class and entry."""
+    rows = vectors(spark, folder)
+    entries = rows.select("class_id", F.posexplode("embedding").alias("i", "x")).groupBy("class_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = entries.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("mean"))
+    every = means.agg(F.array_sort(F.collect_list(F.struct("class_id", F.col("mean.m").alias("mean")))).alias("means")).scalar()
+    logits = F.transform("means", lambda m: dot(F.col("embedding"), m["mean"]))
+    return rows.withColumn("means", every).withColumn("logits", logits.cast("array<double>")).drop("means")
 
 
 def labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:

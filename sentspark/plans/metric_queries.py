@@ -33,7 +33,7 @@ def _line_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def _vector_cells(spark: SparkSession, d: str) -> DataFrame:
     """Ten-class confusion of the vectors, predictions by argmax."""
-    rows = B.vectors(spark, d).select(F.col("class_id").alias("gold_label"), argmax_index(F.col("logits")).alias("pred_label"))
+    rows = B.with_logits(spark, d).select(F.col("class_id").alias("gold_label"), argmax_index(F.col("logits")).alias("pred_label"))
     return C.confusion(rows)
 
 
@@ -201,12 +201,12 @@ def _report_sql(source: str, swapped: bool = False) -> str:
     rows = f"r AS (SELECT {'pred AS gold, gold AS pred' if swapped else 'gold, pred'} FROM {source})"
     return ctes(*(("g", "p", "pg") if source == "pg" else (source,))) + f", {rows}, " + per_class("r") + """,
 acc AS (SELECT avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) AS a FROM r)
-SELECT category, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS "f1-score", support::DOUBLE AS support,
+SELECT category, round_even(precision, 4) AS precision, round_even(recall, 4) AS recall, round_even(f1, 4) AS "f1-score", support::DOUBLE AS support,
   support AS "count-labels", predicted AS "count-predictions" FROM scored
-UNION ALL SELECT 'accuracy', round(a, 4), round(a, 4), round(a, 4), round(a, 4), NULL, NULL FROM acc
-UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), sum(support)::DOUBLE, NULL, NULL FROM scored
-UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4), round(sum(recall * support) / sum(support), 4),
-  round(sum(f1 * support) / sum(support), 4), sum(support)::DOUBLE, NULL, NULL FROM scored"""
+UNION ALL SELECT 'accuracy', round_even(a, 4), round_even(a, 4), round_even(a, 4), round_even(a, 4), NULL, NULL FROM acc
+UNION ALL SELECT 'macro avg', round_even(avg(precision), 4), round_even(avg(recall), 4), round_even(avg(f1), 4), sum(support)::DOUBLE, NULL, NULL FROM scored
+UNION ALL SELECT 'weighted avg', round_even(sum(precision * support) / sum(support), 4), round_even(sum(recall * support) / sum(support), 4),
+  round_even(sum(f1 * support) / sum(support), 4), sum(support)::DOUBLE, NULL, NULL FROM scored"""
 
 
 @query("class_report", _report_sql("pg"))

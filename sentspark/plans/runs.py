@@ -21,19 +21,20 @@ def _path(settings: Mapping, *parts: str) -> str:
 
 def train_and_submit(spark: SparkSession, source: Mapping | str, test_has_labels: bool = True, force: bool = False,
                      embed: Callable[[DataFrame], DataFrame] | None = None, vocabulary_size: int = 30_000,
-                     metrics: Mapping[str, Callable] | None = None) -> dict[str, Any]:
+                     metrics: Mapping[str, Callable] | None = None, train_on: bool = True) -> dict[str, Any]:
     """Read three splits, profile their tokens, fit the head on frozen sentence
     vectors, score the test split and write the submission.
 
     ``embed`` adds the ``embedding`` column; without it the built-in hashed
-    encoder, fitted to the train split, is used. A head saved by an earlier run of
-    the same name is loaded, not fitted again, unless ``force`` is set.
+    encoder, fitted to the train split, is used. A head saved by an earlier run of the
+    same name is loaded and trained on, or only loaded without ``train_on``; ``force``
+    starts afresh. A run that was stopped goes on behind its last complete epoch.
     """
     settings = Z.load_settings(source)
     data, encoder, train = settings["data"], settings["encoder_model"], settings["train"]
     splits = R.read_splits(
         spark, {name: _path(settings, data[f"{name}_en"]) for name in ("train", "val", "test")},
-        unlabelled=() if test_has_labels else ("test",), multi_line=True,
+        unlabelled=() if test_has_labels else ("test",), line_breaks=True,
     )
     for name in ("train", "val", "test") if test_has_labels else ("train", "val"):
         splits[name] = encode_labels(splits[name])
@@ -41,9 +42,12 @@ def train_and_submit(spark: SparkSession, source: Mapping | str, test_has_labels
     folder = _path(settings, data["fine_tuned_model_path"], run)
 
     # One vocabulary for all splits; it leaves this run as a table of fixed size.
-    vocab = T.vocabulary(splits["train"], vocabulary_size).persist()
+    steps = T.settings_steps(encoder["r2l"])
+    vocab = T.vocabulary(splits["train"], vocabulary_size, steps=steps)
     everything = R.union_splits({name: df.select("sentence_id", "sentence") for name, df in splits.items()})
-    token_profile = T.token_stats(T.tokenize(everything, vocab, encoder["max_length"]), ("split",))
+    token_profile = T.token_stats(T.tokenize(
+        everything, vocab, encoder["max_length"], steps=steps, add_special_tokens=encoder["add_special_tokens"],
+        padding=encoder["padding"], truncation=encoder["truncation"]), ("split",))
 
     if embed is None:
         model = EM.hashed_encoder(splits["train"], encoder.get("hidden_dim", 256))
@@ -54,8 +58,8 @@ def train_and_submit(spark: SparkSession, source: Mapping | str, test_has_labels
         rows = C.effective_weights(C.class_counts(splits["train"], "label_encoded"), "label_encoded").collect()
         weights = tuple(r["weight"] for r in sorted(rows, key=lambda r: r["label_encoded"]))
     head = K.load_or_fit(
-        "mlp", f"{folder}/model", vectors["train"], vectors["val"], force,
-        {"log": W.metric_logger(spark, f"{folder}/history", run), "metrics": metrics},
+        "mlp", f"{folder}/model", vectors["train"], vectors["val"], force, train_on,
+        {"log": W.metric_logger(spark, f"{folder}/history", run), "metrics": metrics, "progress": f"{folder}/progress"},
         inputs=encoder.get("hidden_dim", 256), hidden=encoder["mlp_dim"], classes=len(TRAIN_CODES), dropout=encoder["dropout_ratio"],
         learning_rate=train["learning_rate"], eps=train["eps"], epochs=train["epochs"], patience=train["early_stopping_patience"],
         batch_size=train["batch_size"], warmup_steps=train["warmup_steps"], step_per=train["step_per"], loss=train["loss"],
@@ -80,7 +84,7 @@ def explore_embeddings(spark: SparkSession, source: Mapping | str, force: bool =
     plot needs."""
     settings = Z.load_settings(source)
     data, encoder, reducer = settings["data"], settings["encoder_model"], dict(settings["dim_red_model"])
-    train = R.read_delimited(spark, _path(settings, data["train_en"]), separator="\t", multi_line=True)
+    train = R.read_delimited(spark, _path(settings, data["train_en"]), separator="\t", line_breaks=True)
     coded = L.label_codes(train)
 
     def compute() -> DataFrame:

@@ -31,7 +31,7 @@ def scan_json(spark, d):
 def scan_tsv_quoted(spark, d):
     path = scratch_path(spark, "quoted")
     W.write_delimited(B.sentences(spark, d).select("sentence_id", "sentence", "label"), path)
-    read = R.read_delimited(spark, path, separator="\t", multi_line=True)
+    read = R.read_delimited(spark, path, separator="\t", line_breaks=True)
     return read.select("sentence_id", F.md5(F.col("sentence").cast("binary")).alias("sentence_md5"), "label")
 
 
@@ -64,7 +64,7 @@ def load_splits(spark, d):
     paths = {name: scratch_path(spark, name) for name in parts}
     for name, part in parts.items():
         W.write_delimited(part, paths[name])
-    splits = R.union_splits(R.read_splits(spark, paths, unlabelled=("test",), multi_line=True))
+    splits = R.union_splits(R.read_splits(spark, paths, unlabelled=("test",), line_breaks=True))
     return splits.select("split", "sentence_id", F.md5(F.col("sentence").cast("binary")).alias("sentence_md5"), "label")
 
 
@@ -106,7 +106,7 @@ def decode_labels(spark, d):
 @query("threshold_labels", ctes("v") + """
 SELECT vec_id, CASE WHEN logits[1] >= 0.02 THEN 'SUBJ' ELSE 'OBJ' END AS label FROM v""")
 def threshold_labels(spark, d):
-    return B.vectors(spark, d).select("vec_id", threshold_label(F.col("logits")[0], 0.02).alias("label"))
+    return B.with_logits(spark, d).select("vec_id", threshold_label(F.col("logits")[0], 0.02).alias("label"))
 
 
 @query("len_chars", "SELECT doc_id AS sentence_id, length(text)::INTEGER AS n_chars FROM documents")
@@ -293,6 +293,39 @@ pieces AS (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda x: x <> ''
 SELECT doc_id AS sentence_id, len(ps)::INTEGER AS n_pieces, md5(array_to_string(ps, '|')) AS pieces_md5 FROM pieces"""
 
 
+_R2L = _PIECES.rsplit("SELECT", 1)[0].replace("WITH ", "", 1) + f""",
+wr AS (SELECT doc_id AS sentence_id, flatten(list_transform(ps, lambda x: {_WORDS.replace("text", "x")})) AS ws FROM pieces),
+c AS (SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM wr) GROUP BY token),
+vocab AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::INTEGER AS id FROM c ORDER BY n DESC, token LIMIT 1000),
+cut AS (SELECT sentence_id, list_transform(ws[1:96], lambda x: coalesce(m[x], 1)) AS ids, len(ws) AS n_pieces
+  FROM wr, (SELECT map(list(token), list(id)) AS m FROM vocab))
+SELECT sentence_id, array_to_string(ids, ' ') AS input_ids, n_pieces::INTEGER AS n_pieces FROM cut"""
+
+
+@query("tokenize_r2l", "WITH " + _R2L)
+def tokenize_r2l(spark, d):
+    """Digits from the right, then words; no special tokens, no padding."""
+    texts, steps = B.texts(spark, d, even=True), K.settings_steps(r2l=True)
+    tokens = K.tokenize(texts, K.vocabulary(texts, 1000, steps=steps), 96, steps=steps, add_special_tokens=False, padding=False)
+    return tokens.select(
+        "sentence_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
+        F.size(K.split_by(F.col("sentence"), steps)).alias("n_pieces"))
+
+
+@query("prepared_fields", f"WITH {_VOCAB}, {_IDS}," + """
+cut AS (SELECT doc_id, ids[greatest(len(ids) - 63, 1):] AS cut FROM full_ids)
+SELECT doc_id AS sentence_id, array_to_string(cut || list_transform(range(64 - len(cut)), lambda x: 0), ' ') AS input_ids,
+  array_to_string(list_transform(range(64), lambda x: 0), ' ') AS token_type_ids,
+  array_to_string(list_transform(range(64), lambda x: CASE WHEN x < len(cut) THEN 1 ELSE 0 END), ' ') AS attention_mask,
+  CASE quality WHEN 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS target FROM cut JOIN labels USING (doc_id)""")
+def prepared_fields(spark, d):
+    """The three token fields of the labelled sentences, and 1.0 or 0.0 to be learned."""
+    texts = B.texts(spark, d, even=True)
+    fields = K.tokenize(texts, K.vocabulary(texts, 1000), 64, keep="tail", token_types=True).join(B.gold(spark, d), "sentence_id")
+    shown = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "token_type_ids", "attention_mask")]
+    return fields.select("sentence_id", *shown, F.when(F.col("label") == "SUBJ", 1.0).otherwise(0.0).alias("target"))
+
+
 @query("r2l_pieces", _PIECES)
 def r2l_pieces(spark, d):
     pieces = K.split_digits(B.texts(spark, d, even=True))

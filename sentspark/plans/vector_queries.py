@@ -29,7 +29,7 @@ def argmax_class(spark, d):
 @query("softmax", ctes("v", "soft") + """
 SELECT vec_id, round(p[1], 6) AS p_first, round(p[class_id + 1], 6) AS p_true, round(list_max(p), 6) AS p_max FROM soft""")
 def softmax_query(spark, d):
-    p = B.vectors(spark, d).withColumn("p", softmax(F.col("logits")))
+    p = B.with_logits(spark, d).withColumn("p", softmax(F.col("logits")))
     return p.select(
         "vec_id", F.round(F.col("p")[0], 6).alias("p_first"), F.round(F.get("p", F.col("class_id")), 6).alias("p_true"),
         F.round(F.array_max("p"), 6).alias("p_max"),
@@ -39,7 +39,7 @@ def softmax_query(spark, d):
 @query("loss_cross_entropy", ctes("v", "soft") + " SELECT vec_id, round(-ln(p[class_id + 1]), 6) AS loss FROM soft")
 def loss_cross_entropy(spark, d):
     p = softmax(F.col("logits"))
-    return B.vectors(spark, d).select("vec_id", F.round(losses.cross_entropy(p, F.col("class_id")), 6).alias("loss"))
+    return B.with_logits(spark, d).select("vec_id", F.round(losses.cross_entropy(p, F.col("class_id")), 6).alias("loss"))
 
 
 @query("loss_focal", ctes("v", "soft") + """,
@@ -47,7 +47,7 @@ c AS (SELECT class_id, (1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, count(*))
 n AS (SELECT class_id, w / (SELECT sum(w) FROM c) * (SELECT count(*) FROM c) AS w FROM c)
 SELECT vec_id, round(-w * pow(1 - p[class_id + 1], 2) * ln(p[class_id + 1]), 6) AS loss FROM soft JOIN n USING (class_id)""")
 def loss_focal(spark, d):
-    rows = B.vectors(spark, d)
+    rows = B.with_logits(spark, d)
     # One row per class, so the join side is as small as the class list.
     weights = C.effective_weights(C.class_counts(rows, "class_id"), "class_id").select("class_id", "weight")
     loss = losses.focal(softmax(F.col("logits")), F.col("class_id"), F.col("weight"), 2.0)
@@ -59,7 +59,7 @@ l AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS b, -ln(p[class_i
 m AS (SELECT b, avg(loss) AS m FROM l GROUP BY b) SELECT round(avg(m), 6) AS mean_loss FROM m""")
 def mean_of_batch_means(spark, d):
     loss = losses.cross_entropy(softmax(F.col("logits")), F.col("class_id"))
-    rows = B.vectors(spark, d).select("vec_id", loss.alias("loss"))
+    rows = B.with_logits(spark, d).select("vec_id", loss.alias("loss"))
     return _round(S.mean_of_batch_means(S.assign_batches(rows, 32, id_column="vec_id"), "batch_id", "loss"), "mean_loss")
 
 
@@ -163,19 +163,19 @@ def pca_2d(spark, d):
     return Y.reduce_vectors(B.labelled_vectors(spark, d), "pca")
 
 
-LAYOUT_STEPS = 30
+
 
 
 @query("layout_2d")
 def layout_2d(spark, d):
     rows = B.labelled_vectors(spark, d)
-    return Y.layout_table(rows, Y.reduce_vectors(rows, "pacmap", {"n_neighbors": 10, "MN_ratio": 0.5, "FP_ratio": 2.0, "n_iter": LAYOUT_STEPS}))
+    return Y.layout_table(rows, Y.reduce_vectors(rows, "pacmap", {"n_neighbors": 10, "MN_ratio": 0.5, "FP_ratio": 2.0}))
 
 
 @query("layout_2d_umap")
 def layout_2d_umap(spark, d):
     rows = B.labelled_vectors(spark, d)
-    params = {"n_neighbors": 15, "n_components": 2, "metric": "euclidean", "random_state": 42, "n_iter": LAYOUT_STEPS}
+    params = {"n_neighbors": 15, "n_components": 2, "metric": "euclidean", "random_state": 42}
     return Y.layout_table(rows, Y.reduce_vectors(rows, "umap", params))
 
 

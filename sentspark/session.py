@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,9 +59,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_cleaned: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/sentspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's own part of the shared folder, which is
+    removed when the application ends. Loops and operators remove what nobody reads any
+    more themselves (``sentspark.scratch``)."""
+    own = f"{shared_dir(spark)}/sentspark/{spark.sparkContext.applicationId}"
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_leave_nothing, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether ``folder`` has the marker of a finished write."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def remove_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _leave_nothing(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:      # a stopped session can't reach its files
+        remove_path(spark, folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sentspark.sources.quoted import read_quoted
+
 SENTENCES = T.StructType([
     T.StructField("sentence_id", T.StringType()),
     T.StructField("sentence", T.StringType()),
@@ -35,12 +37,13 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType = SENTENCES,
-                   separator: str = ",", multi_line: bool = False) -> DataFrame:
-    """Quoted fields, a doubled quote inside them stands for one quote. Fields with
-    line breaks need ``multi_line``, which ties each file to one task."""
-    return spark.read.schema(schema).csv(
-        path, sep=separator, header=True, quote='"', escape='"', multiLine=multi_line
-    )
+                   separator: str = ",", line_breaks: bool = False) -> DataFrame:
+    """Quoted fields, a doubled quote inside them stands for one quote. Fields that may
+    hold line breaks need ``line_breaks``, which scans the files more than once but
+    splits them all the same (see ``quoted.read_quoted``)."""
+    if line_breaks:
+        return read_quoted(spark, path, schema, separator)
+    return spark.read.schema(schema).csv(path, sep=separator, header=True, quote='"', escape='"')
 
 
 def read_unquoted(spark: SparkSession, path: str, schema: T.StructType = SENTENCES,
@@ -64,10 +67,10 @@ def union_splits(splits: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str], separator: str = "\t",
-                unlabelled: tuple[str, ...] = (), multi_line: bool = False) -> dict[str, DataFrame]:
+                unlabelled: tuple[str, ...] = (), line_breaks: bool = False) -> dict[str, DataFrame]:
     """One table per split (train, val, test)."""
     return {
         name: read_delimited(spark, path, UNLABELLED if name in unlabelled else SENTENCES,
-                             separator, multi_line)
+                             separator, line_breaks)
         for name, path in paths.items()
     }

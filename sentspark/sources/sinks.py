@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sentspark.session import is_complete
+
 # Submission file names for a test split with and without labels.
 SUBMISSION_NAMES = {True: "task1_dev_mono_english.tsv", False: "task1_test_mono_english.tsv"}
 BASELINE_PREDICTIONS_NAME = "base_pred_lan.tsv"
@@ -92,8 +94,7 @@ def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFr
     """Parquet cache. The caller puts everything the result depends on (model,
     length, input) into ``path``. Only a folder with the marker of a finished write
     counts; whatever else is there is written anew."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    if not force and marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+    if not force and is_complete(spark, path):
         return spark.read.parquet(path)
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

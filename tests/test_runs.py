@@ -35,19 +35,21 @@ def test_train_and_submit(spark, folder):
     first = runs.train_and_submit(spark, settings(folder, loss="focal"))
     assert first["submission"].endswith("task1_dev_mono_english.tsv") and 0 <= first["best_score"] <= 1
     written = R.read_delimited(spark, first["submission"], R.PREDICTIONS, "\t")
-    test = R.read_delimited(spark, f"{folder}/raw/test.tsv", separator="\t", multi_line=True)
+    test = R.read_delimited(spark, f"{folder}/raw/test.tsv", separator="\t", line_breaks=True)
     assert written.count() == test.count() == written.join(test, "sentence_id").count()
     logged = W.read_history(spark, first["history"])
     assert logged.where("epoch is null and metric = 'val/macro_f1'").first()["value"] == first["best_score"]
     assert {"val/macro_f1", "test/OBJ_class_f1"} <= {r["metric"] for r in logged.collect()}
     assert {r["split"] for r in first["token_profile"].collect()} == {"train", "val", "test"}
-    again = runs.train_and_submit(spark, settings(folder, loss="focal"), test_has_labels=False)
+    again = runs.train_and_submit(spark, settings(folder, loss="focal"), test_has_labels=False, train_on=False)
     assert again["best_score"] is None and again["submission"].endswith("task1_test_mono_english.tsv")
+    on = runs.train_and_submit(spark, settings(folder, loss="focal"))
+    assert 0 <= on["best_score"] <= 1
 
 
 def test_explore(spark, folder):
     got = runs.explore_embeddings(spark, settings(folder), bins=5)
-    n = R.read_delimited(spark, f"{folder}/raw/train.tsv", separator="\t", multi_line=True).count()
+    n = R.read_delimited(spark, f"{folder}/raw/train.tsv", separator="\t", line_breaks=True).count()
     assert got["layout"].columns == ["sentence_id", "Component 1", "Component 2", "label_encoded", "label"]
     assert got["layout"].count() == n == got["bins"].agg(F.sum("n")).first()[0]
     assert {(r[0], r[1]) for r in got["legend"].collect()} == {(0, "OBJ"), (1, "SUBJ")}

@@ -26,7 +26,7 @@ def test_quoted_round_trip(spark):
     path = scratch_path(spark, "q")
     rows = [*AWKWARD, ("7", "line\nbreak\ttab", "OBJ")]
     W.write_delimited(spark.createDataFrame(rows, R.SENTENCES), path)
-    assert sorted(map(tuple, R.read_delimited(spark, path, separator="\t", multi_line=True).collect())) == rows
+    assert sorted(map(tuple, R.read_delimited(spark, path, separator="\t", line_breaks=True).collect())) == rows
     text = "".join(r[0] for r in spark.read.text(path).collect())
     assert '""inner""' in text and '\\"' not in text.replace('\\""', "")
 

@@ -1,3 +1,5 @@
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,8 @@ from sentspark.operators import (
     classifier as K, embedding as EM, graphs as G, head as H, layout as Y, linear as L, neighbours as N, skew,
 )
 from sentspark.plans import binding as B
-from sentspark.session import scratch_path, static_plans
+from sentspark.scratch import scratch
+from sentspark.session import scratch_path
 
 
 def frame(spark, vectors):
@@ -110,31 +113,56 @@ def test_layouts_keep_neighbours_better_than_pca(spark):
     assert scores["pacmap"] > scores["pca"] and scores["umap"] > scores["pca"], scores
 
 
-def test_forces_with_a_hub(spark):
-    """A row in a third of all pairs is salted; the sums are those of a plain join."""
+def test_hubs_are_dealt_to_several_blocks(spark, monkeypatch):
+    """A row in a third of all pairs: no block holds all of its pairs, none is lost, every
+    row has a place of its own, and it gets one position."""
+    monkeypatch.setattr(Y, "HOT_SHARE", 1000)
     n = 12_000
-    ring = spark.range(n).select(F.col("id").alias("i"), ((F.col("id") + 1) % n).alias("j"), F.lit("near").alias("kind"))
-    hub = spark.range(1, n).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit("far").alias("kind"))
+    ring = spark.range(n).select(F.col("id").alias("i"), ((F.col("id") + 1) % n).alias("j"), F.lit(1).alias("kind"))
+    hub = spark.range(1, n).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(3).alias("kind"))
     pairs = ring.unionByName(hub)
     pairs = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
-    state = spark.range(n).select(
-        F.col("id").alias("idx"), F.sin(F.col("id")).alias("y0"), F.cos(F.col("id") * 3).alias("y1"), F.lit(1).alias("splits")
-    )
-
-    def pull(d2):
-        return F.when(F.col("kind") == "near", 1.0 / (1.0 + d2)).otherwise(-2.0 / (1.0 + d2))
-
-    with static_plans(spark, 8):
-        prepared = Y._Pairs(pairs)
-        assert prepared.salted and {r["idx"] for r in prepared.hot.collect()} == {0}
-        salted = state.drop("splits").join(prepared.hot, "idx", "left").na.fill(1, ["splits"])
-        got = {r["idx"]: (r["f0"], r["f1"]) for r in prepared.forces(salted, pull).collect()}
-    a, b = (state.select(F.col("idx").alias(e), F.col("y0").alias(f"{t}0"), F.col("y1").alias(f"{t}1")) for e, t in (("i", "a"), ("j", "b")))
-    met = pairs.join(a, "i").join(b, "j").withColumns({"d0": F.col("b0") - F.col("a0"), "d1": F.col("b1") - F.col("a1")})
-    factor = pull(F.col("d0") * F.col("d0") + F.col("d1") * F.col("d1"))
-    want = met.groupBy("j").agg(F.sum(factor * F.col("d0")).alias("f0"), F.sum(factor * F.col("d1")).alias("f1")).collect()
-    assert len(got) == n == len(want)
-    assert all(np.allclose(got[r["j"]], (r["f0"], r["f1"]), atol=1e-6) for r in want)
+    indexed = spark.range(n).select(F.col("id").alias("idx"), F.array(F.sin("id").cast("float"), F.cos(F.col("id") * 3).cast("float")).alias("vec"))
+    with scratch(spark, "test") as tmp:
+        blocks = Y._Blocks(pairs, indexed, 4000, tmp)
+        assert blocks.salted and {r["idx"] for r in blocks.hot.collect()} == {0}
+        assert blocks.pairs.drop("block").exceptAll(pairs).count() == 0 and blocks.pairs.count() == pairs.count()
+        at_hub = blocks.pairs.where("i = 0").groupBy("block").count().collect()
+        assert len(at_hub) > 4 and max(r["count"] for r in at_hub) < n / 4
+        assert blocks.places.where("own").select("idx").distinct().count() == n
+        state = tmp.table(Y._start(indexed, 1.0))
+        moved = blocks.round(state, partial(Y._pair_steps, first=0, last=2, n_iter=10)).collect()
+        assert len(moved) == n and np.isfinite([r["y0"] for r in moved]).all()
+
+
+def test_blocks_come_near_the_layout_of_one(spark, tables):
+    """The loss of near pairs with eight blocks against that of one."""
+    indexed = G.index_rows(B.vectors(spark, tables), "vec_id", "embedding", 42)
+    pairs = G.pacmap_pairs(indexed, N.knn_graph(indexed, 60, "idx", "vec"), indexed.count()).persist()
+    near = np.array([(r["i"], r["j"]) for r in pairs.where("kind = 'near'").collect()])
+    losses = []
+    for per_block in (10 ** 9, pairs.count() // 4):
+        at = {r["idx"]: (r["y0"], r["y1"]) for r in Y.pair_layout(indexed, pairs, 90, per_block=per_block).collect()}
+        y = np.array([at[i] for i in range(len(at))])
+        gap = ((y[near[:, 0]] - y[near[:, 1]]) ** 2).sum(axis=1) + 1
+        losses.append((gap / (10 + gap)).mean())
+    assert abs(losses[1] / losses[0] - 1) < 0.15, losses
+
+
+def test_curve_parameters():
+    assert np.allclose(Y.curve_parameters(0.1, 1.0), (1.576943, 0.895061), atol=1e-5)
+    rng = np.random.default_rng(0)
+    for low, spread in ((0.0, 1.0), (0.5, 1.0), (0.25, 2.0)):
+        a, b = Y.curve_parameters(low, spread)
+        d = np.linspace(0, 3 * spread, 300)
+        want = np.where(d < low, 1.0, np.exp(-(d - low) / spread))
+
+        def miss(a, b):
+            return ((1 / (1 + a * d ** (2 * b)) - want) ** 2).sum()
+
+        assert all(miss(a, b) <= miss(a * x, b * y) for x, y in 1 + rng.normal(size=(200, 2)) * 0.05)
+    with pytest.raises(ValueError):
+        Y.curve_parameters(2.0, 1.0)
 
 
 def test_unknown_names(spark):
@@ -159,6 +187,16 @@ def test_pca_equals_svd(spark):
     assert np.allclose(got, centred @ axes.T, atol=1e-6)
 
 
+@pytest.mark.parametrize("rows, width, far", [(2000, 1024, 3.0), (300, 64, 0.0), (50, 200, 1e4)])
+def test_axes_of_wide_vectors(spark, rows, width, far):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(rows, width)) * np.r_[9, 7, 5, np.linspace(2, 1, width - 3)] + far
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(5)
+    centre, axes = EM.principal_axes(df, 3)
+    want = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3]
+    assert np.allclose(centre, x.mean(axis=0)) and np.allclose(np.abs((axes.T * want).sum(axis=1)), 1, atol=1e-7)
+
+
 def test_embedding_hook(spark):
     class Lengths:
         def encode(self, texts):
@@ -248,6 +286,77 @@ def test_training_learns_stops_and_reloads(spark):
     assert H.predicted(H.score(df.drop("label_encoded"), again, "embedding")).where("predicted_label is null").count() == 0
 
 
+def plain_fit(rows, settings, key):
+    """The sequential fit, one mini-batch after the other in the order of the epoch."""
+    head, optimiser = H.Head.initial(settings), H.AdamW(len(H.Head.initial(settings).flat), settings.eps)
+    for epoch in range(1, settings.epochs + 1):
+        order = sorted((key[i, epoch], i) for i in rows)
+        for at in range(0, len(order), settings.batch_size):
+            ids = [i for _, i in order[at:at + settings.batch_size]]
+            x, code = np.array([rows[i][0] for i in ids]), np.array([rows[i][1] for i in ids])
+            keep = H._dropout_mask(np.array([key[i, epoch] for i in ids]), settings.inputs, settings.dropout)
+            gradient = head.gradient(x, code, keep)[0] / len(ids)
+            head = H.replace_weights(head, optimiser.update(head.flat, gradient, settings.learning_rate))
+    return head
+
+
+def clusters(spark, n=400):
+    rng = np.random.default_rng(6)
+    rows = {i: (rng.normal(i % 2, 0.8, 4).tolist(), i % 2) for i in range(n)}
+    return rows, spark.createDataFrame([(i, *r) for i, r in rows.items()], "sentence_id bigint, embedding array<double>, label_encoded int").repartition(5)
+
+
+def test_one_part_is_the_sequential_fit(spark):
+    rows, df = clusters(spark)
+    settings = H.HeadSettings(inputs=4, hidden=8, learning_rate=0.01, epochs=3, patience=9, batch_size=30, dropout=0.1, step_per="never")
+    epochs = spark.range(1, 4).withColumnRenamed("id", "e")
+    keys = df.crossJoin(epochs).select("sentence_id", "e", F.xxhash64("sentence_id", F.lit(settings.seed), F.col("e").cast("int")).alias("k")).collect()
+    want = plain_fit(rows, settings, {(r["sentence_id"], r["e"]): r["k"] for r in keys})
+    heads = []
+    H.train_head(df, df, settings, log=lambda record: None, progress=(path := scratch_path(spark, "progress")))
+    heads.append(H.load_progress(spark, path, settings).head)
+    assert np.allclose(heads[0].flat, want.flat, atol=1e-9)
+
+
+def test_parts_come_near_the_sequential_fit_in_as_many_jobs(spark):
+    """Validation loss within 0.05 with two and with eight parts, in as many jobs."""
+    _, df = clusters(spark, 1600)
+    losses, jobs = [], []
+    for values in (10 ** 9, 4 * 800, 4 * 200):
+        settings = H.HeadSettings(inputs=4, hidden=8, learning_rate=0.02, epochs=4, patience=9, batch_size=20, dropout=0.0, part_values=values)
+        group = f"fit-{values}"
+        spark.sparkContext.setJobGroup(group, group)
+        losses.append(H.train_head(df, df, settings)[2][-1]["val/loss"])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(losses) - min(losses) < 0.05 and jobs[1] == jobs[2], (losses, jobs)
+
+
+def test_an_interrupted_fit_ends_like_a_whole_one(spark):
+    _, df = clusters(spark)
+    settings = H.HeadSettings(inputs=4, hidden=8, learning_rate=0.01, epochs=5, patience=9, batch_size=50)
+    whole = H.train_head(df, df, settings)
+
+    def stop(record):
+        if record["epoch"] == 3:
+            raise KeyboardInterrupt
+
+    path = scratch_path(spark, "progress")
+    with pytest.raises(KeyboardInterrupt):
+        H.train_head(df, df, settings, log=stop, progress=path)
+    seen = []
+    resumed = H.train_head(df, df, settings, log=seen.append, progress=path)
+    assert [r["epoch"] for r in seen] == [3, 4, 5]
+    assert np.allclose(resumed[0].flat, whole[0].flat, atol=1e-9) and resumed[1] == whole[1]
+    assert [r["epoch"] for r in resumed[2]] == [1, 2, 3, 4, 5]
+    again = H.train_head(df, df, settings, log=lambda record: pytest.fail("trained"), progress=path)
+    assert np.allclose(again[0].flat, whole[0].flat, atol=1e-9)
+    with pytest.raises(ValueError):
+        H.train_head(df, df, H.HeadSettings(inputs=4, hidden=8, learning_rate=0.5, epochs=5, batch_size=50), progress=path)
+    on = H.train_head(df, df, settings, initial=whole[0])
+    assert on[2][0]["train/loss"] < whole[2][0]["train/loss"]
+
+
 @pytest.mark.parametrize("kind, params", [("lr", {"max_iter": 20}), ("mlp", {"inputs": 64, "hidden": 4, "epochs": 1})])
 def test_load_or_fit(spark, tables, kind, params):
     df, path = two_class(spark, tables), scratch_path(spark, kind)
