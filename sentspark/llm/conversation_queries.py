@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.llm.registry import query, table
-from sentspark.llm.scratch import Scratch, keep
 from sentspark.llm.turn_repair import audit_conversations, damaged, with_digests
 
 
@@ -73,8 +72,4 @@ _OP11_SQL = f"""WITH RECURSIVE
 @query("op11_turn_repair", _OP11_SQL)
 def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = damaged(table(spark, folder, "conversations"))
-    tmp = Scratch(spark, "turns")
-    audits = tmp.table(audit_conversations(rows, F.col("present")))
-    result = keep(with_digests(rows, audits, F.col("present")))
-    tmp.drop()
-    return result
+    return with_digests(rows, audit_conversations(rows, F.col("present")), F.col("present"))

@@ -22,6 +22,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from sentspark.llm.scratch import keep, scratch
 
 LETTERS = "DIKR"        # ASCII order; digit 1 to 4
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
@@ -202,24 +206,25 @@ def audit_conversations(rows: DataFrame, present: Column | None = None) -> DataF
     that keeps one byte per row, as its audit is one value of that size anyway.
     """
     base = _plain(rows, F.lit(True) if present is None else present)
-    end = F.rtrim("text", F.lit(_WHITE))
-    told = base.select("*", F.sha2("text", 256).alias("digest"), (F.col("present") & (end == "")).alias("blank"),
-                       (~F.right(end, F.lit(1)).isin(".", "!", "?")).alias("cut"))
-    seen = _seen_earlier(told.where(F.col("present") & ~F.col("blank")).select("conv_id", "turn", "role", "digest"))
-    same = F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & (F.col("role") == F.col("of_role")) & (F.col("digest") == F.col("of_digest"))
-    later = F.col("of_role").isNotNull() & F.col("turn").isNotNull() & (F.col("first").isNull() | (F.col("turn") > F.col("first")))
-    ordered = (
-        told.join(seen, same, "left").select("conv_id", "turn", "role", "text", "digest", "present", "blank", "cut", later.alias("later"))
-        .repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text").drop("text")
-    )
+    end, digest = F.rtrim("text", F.lit(_WHITE)), F.unhex(F.sha2("text", 256))
+    blank = F.col("present") & (end == "")
     kind = rows.schema["conv_id"].dataType.simpleString()
-    return _stream(ordered, _audits, f"conv_id {kind}, {', '.join(f'{c} long' for c in _COUNTS)}, audit string")
+    with scratch(rows.sparkSession, "seen") as tmp:
+        # Written first, so that its size decides how it is joined: few rows are broadcast
+        # and the texts move once.
+        seen = tmp.table(_seen_earlier(base.where("present").where(~blank).select("conv_id", "turn", "role", digest.alias("digest"))))
+        same = F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & (F.col("role") == F.col("of_role")) & (digest == F.col("of_digest"))
+        later = F.col("of_role").isNotNull() & F.col("turn").isNotNull() & (F.col("first").isNull() | (F.col("turn") > F.col("first")))
+        ordered = (
+            base.join(seen, same, "left").select("conv_id", "turn", "role", "text", "present", later.alias("later"))
+            .repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+            .select("conv_id", "turn", "role", digest.alias("digest"), "present", blank.alias("blank"), "later",
+                    (~F.right(end, F.lit(1)).isin(".", "!", "?")).alias("cut"))
+        )
+        return keep(_stream(ordered, _audits, f"conv_id {kind}, {', '.join(f'{c} long' for c in _COUNTS)}, audit string"))
 
 
 def _stream(df: DataFrame, work, schema: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return df.mapInArrow(lambda batches: work(batches, arrow), schema)
 
