@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -33,21 +34,26 @@ def _short(value: float) -> str:
     return text.ljust(5, "0") if text.startswith(".") else text
 
 
+def _short_all(values: pa.Array) -> pa.Array:
+    """Each different value of a batch is rendered once."""
+    numbers = values.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("float64")
+    different, place = np.unique(numbers, return_inverse=True)
+    return pa.array([_short(v) for v in different.tolist()], pa.string()).take(pa.array(place))
+
+
 # C-style %.4g rounds on the binary value of the double. The JVM formatter rounds
 # on its shortest decimal form and so differs on ties, hence the Arrow batches.
-@F.pandas_udf(T.StringType())
-def _short_udf(values: pd.Series) -> pd.Series:
-    return values.astype("float64").map(_short)
-
+@F.arrow_udf(T.StringType())
+def _short_udf(values: pa.Array) -> pa.Array:
+    return _short_all(values)
 
-@F.pandas_udf(T.StringType())
-def _short_list_udf(values: pd.Series) -> pd.Series:
-    def render(items):
-        if items is None:
-            return None
-        return "[" + ",".join(_short(v) for v in np.asarray(items, dtype="float64")) + "]"
 
-    return values.map(render)
+@F.arrow_udf(T.StringType())
+def _short_list_udf(lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
+    shown = pc.binary_join(pa.ListArray.from_arrays(bounds, _short_all(lists.flatten())), ",")
+    return pc.if_else(pc.is_null(lists), None, pc.binary_join_element_wise("[", shown, "]", ""))
 
 
 def short_float(value: Column) -> Column:

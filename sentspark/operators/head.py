@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sentspark.functions.labels import TRAIN_CODES, argmax_index, decode, inverse, softmax
 from sentspark.functions.losses import cross_entropy, focal
 from sentspark.operators import counts as C
+from sentspark.operators.row_metrics import RowMetric, score_rows
 from sentspark.operators.sampling import assign_batches, num_batches
 from sentspark.scratch import scratch
 from sentspark.session import is_complete
@@ -371,11 +372,12 @@ def train_head(train: DataFrame, val: DataFrame, settings: HeadSettings, vector:
                label: str = "label_encoded", metrics: Mapping[str, Callable] | None = None,
                log: Callable[[dict[str, Any]], None] | None = None,
                mapping: Mapping[str, int] = TRAIN_CODES, initial: Head | None = None,
-               progress: str | None = None) -> tuple[Head, float, list[dict[str, Any]]]:
+               progress: str | None = None, row_metrics: Mapping[str, RowMetric] | None = None) -> tuple[Head, float, list[dict[str, Any]]]:
     """Epochs until validation macro-F1 has not risen for ``patience`` epochs; gives
     back the best head, its score and the logged epochs.
 
-    ``initial`` is a head to train on from. ``progress`` names a folder for the state
+    ``row_metrics`` are logged for the validation rows besides; they see the columns
+    code, logits and p. ``initial`` is a head to train on from. ``progress`` names a folder for the state
     after each epoch: a fit with the same settings that finds one there goes on behind
     its last complete epoch and ends like an uninterrupted one.
     """
@@ -394,14 +396,15 @@ def train_head(train: DataFrame, val: DataFrame, settings: HeadSettings, vector:
         while not now.over:
             loss, cells = _epoch(train, rows, now, total)
             now.epoch += 1
-            _judge(spark, val, now, loss, cells, total, metrics, inverse(mapping), log)
+            _judge(spark, val, now, loss, cells, total, metrics, inverse(mapping), log, row_metrics or {})
             if progress:
                 save_progress(spark, now, progress)
     return now.best or now.head, now.best_score, now.logged
 
 
 def _judge(spark: SparkSession, val: DataFrame, now: Progress, loss: float, cells: Mapping, total: int,
-           metrics: Mapping[str, Callable], names: Mapping[int, str], log: Callable[[dict], None] | None) -> None:
+           metrics: Mapping[str, Callable], names: Mapping[int, str], log: Callable[[dict], None] | None,
+           row_metrics: Mapping[str, RowMetric]) -> None:
     """Scores the epoch, keeps the best head, and logs unless the fit ends here."""
     settings = now.head.settings
     val_loss, val_cells = _validate(val, now.head)
@@ -417,6 +420,9 @@ def _judge(spark: SparkSession, val: DataFrame, now: Progress, loss: float, cell
         **{f"{split}/{name}": scores.get((split, name)) for name in ("macro_f1", "accuracy") for split in ("train", "val")},
         **{f"val/{name}_class_f1": scores.get(("val", f"{name}_class_f1")) for name in names.values()},
     }
+    if row_metrics:
+        rows = score(val, now.head).select("code", "logits", softmax(F.col("logits")).alias("p"))
+        record |= {f"val/{name}": value for name, value in score_rows(rows, row_metrics).first().asDict().items()}
     now.logged.append(record)
     if log:
         log(record)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentspark.functions.labels import HOLDOUT_CODES, TRAIN_CODES, argmax_index, encode, inverse
-from sentspark.operators import counts as C, evaluation as E, history as H, linear as L
+from sentspark.functions.labels import HOLDOUT_CODES, TRAIN_CODES, argmax_index, encode, inverse, softmax
+from sentspark.operators import counts as C, evaluation as E, history as H, linear as L, row_metrics as RM
 from sentspark.plans import binding as B
 from sentspark.plans.registry import ctes, per_class, query
 
@@ -300,3 +300,29 @@ loop AS (
 SELECT run_id, epoch, score, improved, waited, status FROM loop""")
 def early_stop(spark, d):
     return H.early_stopping(B.history(spark, d), patience=2)
+
+
+# --- scores over rows -------------------------------------------------------------------------
+
+@query("row_scores", ctes("v", "soft") + """
+SELECT class_id, round(avg(-ln(p[class_id + 1])), 6) AS log_loss,
+  round(avg(list_sum(list_transform(p, lambda x, i: pow(x - CASE WHEN i = class_id + 1 THEN 1 ELSE 0 END, 2)))), 6) AS brier,
+  round(corr(p[1], p[2]), 6) AS correlation FROM soft GROUP BY 1""")
+def row_scores(spark, d):
+    rows = B.with_logits(spark, d).withColumn("p", softmax(F.col("logits")))
+    p, code = F.col("p"), F.col("class_id")
+    metrics = {"log_loss": RM.log_loss(p, code), "brier": RM.brier(p, code), "correlation": RM.correlation(p[0], p[1])}
+    return RM.score_rows(rows, metrics, ["class_id"]).select("class_id", *[F.round(c, 6).alias(c) for c in metrics])
+
+
+@query("rank_auc", ctes("li") + """,
+s AS (SELECT epoch, gold = 'SUBJ' AS positive, l_quantity AS score FROM (SELECT year(l_shipdate) AS epoch, l_quantity,
+  CASE l_returnflag WHEN 'N' THEN 'OBJ' ELSE 'SUBJ' END AS gold FROM lineitem)),
+c AS (SELECT epoch, score, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM s GROUP BY 1, 2),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY epoch ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT epoch, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives, round(sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0), 6) AS auc FROM b GROUP BY 1""")
+def rank_auc(spark, d):
+    """How well the quantity of a line tells its flag, by year."""
+    rows = B.table(spark, d, "lineitem").select(F.year("l_shipdate").alias("epoch"), "l_quantity", (F.col("l_returnflag") != "N").alias("positive"))
+    scored = RM.rank_auc(rows, F.col("l_quantity"), F.col("positive"), ["epoch"])
+    return scored.withColumn("auc", F.round("auc", 6))

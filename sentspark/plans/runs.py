@@ -12,6 +12,7 @@ from sentspark.operators import (
     classifier as K, counts as C, embedding as EM, evaluation as E, layout as Y, linear as L, profile as P, tokens as T,
 )
 from sentspark.operators.encoding import encode_labels
+from sentspark.session import list_folders, materialize
 from sentspark.sources import readers as R, settings as Z, sinks as W
 
 
@@ -52,11 +53,13 @@ def train_and_submit(spark: SparkSession, source: Mapping | str, test_has_labels
     if embed is None:
         model = EM.hashed_encoder(splits["train"], encoder.get("hidden_dim", 256))
         embed = lambda df: EM.embed_hashed(df, model)
-    vectors = {name: embed(df) for name, df in splits.items()}
+    vectors = {name: embed(df) for name, df in splits.items()}      # the fit stores them itself
     weights = None
     if train["loss"] == "focal":
         rows = C.effective_weights(C.class_counts(splits["train"], "label_encoded"), "label_encoded").collect()
         weights = tuple(r["weight"] for r in sorted(rows, key=lambda r: r["label_encoded"]))
+    if not list_folders(spark, f"{folder}/progress"):
+        W.forget_run(spark, f"{folder}/history", run)       # a stopped run goes on, any other starts anew
     head = K.load_or_fit(
         "mlp", f"{folder}/model", vectors["train"], vectors["val"], force, train_on,
         {"log": W.metric_logger(spark, f"{folder}/history", run), "metrics": metrics, "progress": f"{folder}/progress"},
@@ -110,7 +113,8 @@ def baseline(spark: SparkSession, train_path: str, test_path: str, folder: str,
     if embed is None:
         model = EM.hashed_encoder(train.where("sentence is not null"))
         embed = lambda df: EM.embed_hashed(df.na.fill("", ["sentence"]), model)
-    fitted = L.fit_logistic(embed(train))
+    # The solver reads its rows many times: they are encoded once.
+    fitted = L.fit_logistic(materialize(embed(train).drop("sentence"), "train"))
     path = f"{folder.rstrip('/')}/{W.BASELINE_PREDICTIONS_NAME}"
     W.write_delimited(W.submission(L.predict_logistic(fitted, embed(test.select("sentence_id", "sentence")))), path)
     return {"predictions": path, **evaluate_files(spark, path, test_path)}

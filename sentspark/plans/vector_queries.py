@@ -11,7 +11,7 @@ from sentspark.operators import (
 )
 from sentspark.plans import binding as B
 from sentspark.plans.registry import ctes, query
-from sentspark.session import scratch_path
+from sentspark.session import materialize, scratch_path
 from sentspark.sources import sinks as W
 
 
@@ -120,6 +120,21 @@ def embed_cached(spark, d):
     return W.load_or_compute(spark, path, compute)
 
 
+@query("cache_growth", """
+SELECT 'labelled' AS call, count(DISTINCT text) AS known FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT 'all', count(DISTINCT text) FROM documents""")
+def cache_growth(spark, d):
+    """Different texts with a vector after the labelled sentences, and after all: the
+    second call makes those of the others only."""
+    texts = B.texts(spark, d, even=True).select("sentence_id", "sentence")
+    path, encoder = scratch_path(spark, "vectors"), EM.hashed_encoder(texts)
+    rows = []
+    for call, df in (("labelled", texts.join(B.gold(spark, d).select("sentence_id"), "sentence_id")), ("all", texts)):
+        W.cached_embeddings(spark, df, path, lambda part: EM.embed_hashed(part, encoder))
+        rows.append((call, spark.read.parquet(f"{path}/*").count()))
+    return spark.createDataFrame(rows, "call string, known bigint")
+
+
 # --- neighbours, graphs and layouts ------------------------------------------------------
 
 _KNN = ctes("v") + """,
@@ -133,7 +148,12 @@ def knn_exact(spark, d):
     return _round(N.knn_graph(B.vectors(spark, d), 5), "distance")
 
 
-@query("knn_approx")
+def _knn_sql(k: int) -> str:
+    return _KNN.replace("rank <= 5", f"rank <= {k}")
+
+
+# Up to GROUP vectors are one cell, within which all are compared: then the search is exact.
+@query("knn_approx", _knn_sql(15) + "SELECT i, j, rank, round(distance, 6) AS distance FROM k")
 def knn_approx(spark, d):
     return _round(A.knn_approx(B.vectors(spark, d), 15), "distance")
 
@@ -147,9 +167,27 @@ def fuzzy_union(spark, d):
     return _round(G.fuzzy_union(knn.select("i", "j", F.exp(-F.col("distance")).alias("weight"))), "weight")
 
 
-@query("umap_graph")
+@query("umap_graph", _knn_sql(15).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+lists AS (SELECT i, list(distance ORDER BY rank) AS ds, coalesce(min(distance) FILTER (distance > 0), 0) AS rho, avg(distance) AS mean, log2(greatest(count(*), 2)) AS target
+  FROM k GROUP BY i),
+tries AS (SELECT i, ds, rho, mean, target, 0 AS t, 0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1::DOUBLE AS sigma FROM lists
+  UNION ALL SELECT i, ds, rho, mean, target, t + 1, CASE WHEN over THEN low ELSE sigma END, CASE WHEN over THEN sigma ELSE high END,
+    CASE WHEN over THEN (low + sigma) / 2 WHEN isinf(high) THEN sigma * 2 ELSE (sigma + high) / 2 END
+  FROM (SELECT *, list_sum(list_transform(ds, lambda x: exp(-greatest(x - rho, 0) / sigma))) > target AS over FROM tries WHERE t < 64)),
+w AS (SELECT k.i, k.j, exp(-greatest(distance - rho, 0) / greatest(sigma, 0.001 * mean)) AS a FROM k JOIN tries ON tries.i = k.i AND t = 64),
+u AS (SELECT coalesce(x.i, y.j) AS i, coalesce(x.j, y.i) AS j, coalesce(x.a, 0) AS a, coalesce(y.a, 0) AS b
+      FROM w x FULL JOIN w y ON x.i = y.j AND x.j = y.i)
+SELECT DISTINCT i, j, round(a + b - a * b, 6) AS weight FROM u""")
 def umap_graph(spark, d):
-    return G.umap_graph(N.knn_graph(B.vectors(spark, d), 15))
+    return _round(G.umap_graph(N.knn_graph(B.vectors(spark, d), 15)), "weight")
+
+
+@query("near_pairs", _knn_sql(15) + """,
+scales AS (SELECT i AS j, greatest(coalesce(avg(distance) FILTER (rank BETWEEN 4 AND 6), avg(distance)), 1e-10) AS scale FROM k GROUP BY i),
+placed AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY distance * distance / scale, j) AS place FROM k JOIN scales USING (j))
+SELECT i, j FROM placed WHERE place <= 5""")
+def near_pairs(spark, d):
+    return G.near_pairs(N.knn_graph(B.vectors(spark, d), 15), 5)
 
 
 @query("pacmap_pairs")
@@ -205,7 +243,8 @@ def lr_predictions(spark, d):
     texts, gold = B.texts(spark, d, even=True), B.gold(spark, d)
     labelled, rest = texts.join(gold, "sentence_id"), texts.join(gold, "sentence_id", "left_anti")
     encoder = EM.hashed_encoder(labelled)
-    train = EM.embed_hashed(labelled.select("sentence_id", "sentence", "label"), encoder)
+    # The solver reads its rows many times: they are encoded once.
+    train = materialize(EM.embed_hashed(labelled.select("sentence_id", "sentence", "label"), encoder).drop("sentence"), "train")
     model = L.fit_logistic(train)
     return W.submission(L.predict_logistic(model, EM.embed_hashed(rest.select("sentence_id", "sentence"), encoder)))
 

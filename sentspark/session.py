@@ -5,9 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -73,15 +70,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def is_there(spark: SparkSession, folder: str) -> bool:
+    files, path = _file_system(spark, folder)
+    return files.exists(path)
+
+
 def is_complete(spark: SparkSession, folder: str) -> bool:
     """Whether ``folder`` has the marker of a finished write."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return is_there(spark, f"{folder.rstrip('/')}/_SUCCESS")
+
+
+def list_folders(spark: SparkSession, folder: str) -> list[str]:
+    """The folders in ``folder``, in order of their names; none if it isn't there."""
+    files, path = _file_system(spark, folder)
+    if not files.exists(path):
+        return []
+    return sorted(status.getPath().toString() for status in files.listStatus(path) if status.isDirectory())
 
 
 def remove_path(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
 
 
 def _leave_nothing(spark: SparkSession, folder: str) -> None:
@@ -105,36 +119,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for small per-iteration state."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def forget_estimates(df: DataFrame, path: str, partitions: int, key: str) -> DataFrame:
-    """The same rows, checkpointed with the given partitioning, with a size estimate
-    taken from the file just written. A checkpoint hands on the estimate of its
-    plan, and where a loop joins its state with itself that number squares from
-    step to step, until computing it takes longer than the step."""
-    df.write.mode("overwrite").parquet(path)
-    return cut_lineage(df.sparkSession.read.schema(df.schema).parquet(path).repartition(partitions, key))
-
-
-@contextmanager
-def static_plans(spark: SparkSession, partitions: int) -> Iterator[None]:
-    """Adaptive re-planning off inside the block, with a fixed number of shuffle
-    partitions that the caller derives from the size of its data. A checkpoint made here remembers
-    how it is partitioned, so the steps of a loop can join it without a shuffle;
-    under adaptive execution that knowledge is lost. Automatic broadcasts are off
-    too, since they would go by estimates, and so is the inference of constraints:
-    a checkpoint hands its constraints on, and from step to step they multiply."""
-    fixed = {
-        "spark.sql.adaptive.enabled": "false",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.constraintPropagation.enabled": "false",
-        "spark.sql.shuffle.partitions": str(partitions),
-    }
-    before = {name: spark.conf.get(name) for name in fixed}
-    try:
-        for name, value in fixed.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)

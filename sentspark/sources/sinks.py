@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable, Iterator, Mapping
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sentspark.session import is_complete
+from sentspark.session import is_complete, list_folders, remove_path
 
 # Submission file names for a test split with and without labels.
 SUBMISSION_NAMES = {True: "task1_dev_mono_english.tsv", False: "task1_test_mono_english.tsv"}
@@ -71,13 +74,24 @@ def write_submission(df: DataFrame, folder: str, has_labels: bool) -> str:
 
 def log_metrics(spark: SparkSession, path: str, run_id: str, record: Mapping[str, float | int | None],
                 epoch: int | None = None) -> None:
-    """Append one record to the history table as (run_id, epoch, metric, value)."""
+    """Write one record to the history table as (run_id, epoch, metric, value).
+
+    A record is known by its run, its epoch and the names of its metrics and replaces an
+    earlier one with the same: a step that is made again leaves one row per metric.
+    """
     epoch = record.get("epoch", epoch)
-    rows = [
-        (run_id, epoch, name, None if value is None else float(value))
-        for name, value in record.items() if name != "epoch"
-    ]
-    spark.createDataFrame(rows, HISTORY).coalesce(1).write.mode("append").partitionBy("run_id").parquet(path)
+    names = sorted(name for name in record if name != "epoch")
+    rows = [(run_id, epoch, zlib.crc32("\n".join(names).encode()), name, None if record[name] is None else float(record[name])) for name in names]
+    keyed = T.StructType([*HISTORY.fields[:2], T.StructField("record", T.LongType()), *HISTORY.fields[2:]])
+    (spark.createDataFrame(rows, keyed).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "epoch", "record").parquet(path))
+
+
+def forget_run(spark: SparkSession, path: str, run_id: str) -> None:
+    """Removes what the history has of a run, before it starts anew."""
+    for folder in list_folders(spark, path):
+        if unquote(folder.rsplit("/", 1)[-1]) == f"run_id={run_id}":
+            remove_path(spark, folder)
 
 
 def metric_logger(spark: SparkSession, path: str, run_id: str) -> Callable[[Mapping], None]:
@@ -86,7 +100,7 @@ def metric_logger(spark: SparkSession, path: str, run_id: str) -> Callable[[Mapp
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).parquet(path)
+    return spark.read.schema(HISTORY).parquet(path).select(*HISTORY.names)
 
 
 def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
@@ -100,6 +114,32 @@ def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFr
     return spark.read.parquet(path)
 
 
+def cached_embeddings(spark: SparkSession, df: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame],
+                      text: str = "sentence", output: str = "embedding") -> DataFrame:
+    """``df`` with vectors, of which only those of texts not seen before are made.
+
+    The cache is keyed by the SHA-256 of the text. What a call adds is a folder of its
+    own, and only folders with the marker of a finished write are read, so that a call
+    that failed half-way leaves nothing behind that counts. ``embed`` adds ``output`` to
+    a table with the column ``text``; each different text is embedded once.
+    """
+    keyed = df.withColumn("_key", F.sha2(F.col(text), 256))
+    known = _cached(spark, path, output)
+    wanted = keyed.where(F.col(text).isNotNull()).groupBy("_key").agg(F.first(text).alias(text))
+    missing = wanted if known is None else wanted.join(known.select("_key"), "_key", "left_anti")
+    added = f"{path.rstrip('/')}/added-{uuid.uuid4().hex}"
+    embed(missing).select("_key", output).write.parquet(added)
+    return keyed.join(_cached(spark, path, output), "_key", "left").drop("_key")
+
+
+def _cached(spark: SparkSession, path: str, output: str) -> DataFrame | None:
+    parts = [p for p in list_folders(spark, path) if is_complete(spark, p)]
+    if not parts:
+        return None
+    # A text that two calls embedded at the same time is there twice.
+    return spark.read.parquet(*parts).groupBy("_key").agg(F.first(output).alias(output))
+
+
 def cache_path(folder: str, model: str, max_length: int, source: str) -> str:
     parts = (model, f"len{max_length}", source)
     return folder.rstrip("/") + "/" + "_".join(p.strip("/").replace("/", "-") for p in parts)

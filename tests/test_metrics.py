@@ -105,3 +105,35 @@ def test_user_metric(spark):
 def test_empty_input(spark):
     cells = C.confusion(pairs(spark, []))
     assert C.accuracy(cells).first()[0] is None and C.macro_f1(cells).first()[0] is None
+
+
+def test_rank_auc_with_ties_groups_and_gaps(spark):
+    import random
+
+    from sentspark.operators import row_metrics as RM
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), None if rng.random() < 0.05 else float(rng.randrange(40)), rng.random() < 0.3) for _ in range(3000)]
+    rows += [("only", 1.0, True), ("only", 2.0, True)]
+    df = spark.createDataFrame(rows, "g string, s double, p boolean").repartition(7)
+    got = {r["g"]: (r["positives"], r["negatives"], r["auc"]) for r in RM.rank_auc(df, F.col("s"), F.col("p"), ["g"]).collect()}
+    for g in ("a", "b", None):
+        pos, neg = ([s for h, s, p in rows if h == g and s is not None and p == want] for want in (True, False))
+        auc = sum((x > y) + 0.5 * (x == y) for x in pos for y in neg) / (len(pos) * len(neg))
+        assert got[g][:2] == (len(pos), len(neg)) and abs(got[g][2] - auc) < 1e-9
+    assert got["only"] == (2, 0, None)
+    whole = RM.rank_auc(df, F.col("s"), F.col("p")).first()
+    assert 0.4 < whole["auc"] < 0.6
+    assert RM.rank_auc(df.where("false"), F.col("s"), F.col("p")).first()["auc"] is None
+
+
+def test_one_shuffle_for_the_checks(spark):
+    """Exchanges in the plans: one for the id counts, two for the cells."""
+    pred = spark.range(50).select(F.col("id").cast("string").alias("sentence_id"), F.lit("OBJ").alias("label"))
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert shuffles(E.id_mismatch(pred, pred)) == 1
+    assert shuffles(E.validation_counts(pred, pred)) == 1
+    assert shuffles(E.matched_cells(pred, pred)) == 3       # two of rows, one of the few cells

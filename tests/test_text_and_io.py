@@ -194,3 +194,68 @@ def test_describe(spark):
     empty = {r["statistic"]: r["value"] for r in P.describe_counts(df.where("v > 9"), "v").collect()}
     assert empty["count"] == 0 and empty["null_count"] == 0 and empty["50%"] is None
     assert one(spark, "é\U0001f600", "string", F.length) == 2
+
+
+def test_history_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for _ in range(2):
+        for epoch in (1, 2):
+            W.log_metrics(spark, path, "a/b", {"epoch": epoch, "x": epoch, "y": None})
+        W.log_metrics(spark, path, "a/b", {"best": 3})
+        W.log_metrics(spark, path, "a/b", {"test": 4})
+    W.log_metrics(spark, path, "other", {"epoch": 1, "x": 9})
+    W.log_metrics(spark, path, "a/b", {"epoch": 2, "x": 7, "y": 1})
+    rows = [tuple(r) for r in W.read_history(spark, path).collect()]
+    assert sorted(rows, key=repr) == sorted([
+        ("a/b", 1, "x", 1.0), ("a/b", 1, "y", None), ("a/b", 2, "x", 7.0), ("a/b", 2, "y", 1.0), ("a/b", None, "best", 3.0),
+        ("a/b", None, "test", 4.0), ("other", 1, "x", 9.0)], key=repr)
+    W.forget_run(spark, path, "a/b")
+    assert [r["run_id"] for r in W.read_history(spark, path).collect()] == ["other"]
+
+
+def test_cache_embeds_only_new_texts(spark, tmp_path):
+    path, made = str(tmp_path / "cache"), []
+
+    def embed(df):
+        made.append(df.count())
+        return df.withColumn("embedding", F.array(F.length("sentence").cast("float")))
+
+    def run(texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "sentence_id long, sentence string")
+        return {r["sentence_id"]: r["embedding"] for r in W.cached_embeddings(spark, df, path, embed).collect()}
+
+    texts = ["a" * i for i in range(1, 101)]
+    assert run([*texts, "a", None]) == {**{i: [i + 1.0] for i in range(100)}, 100: [1.0], 101: None}
+    assert run([*texts[5:], *["b" * i for i in range(200, 205)]])[99] == [204.0]
+    broken = tmp_path / "cache" / "added-broken"
+    spark.createDataFrame([("x", [1.0])], "_key string, embedding array<float>").write.parquet(str(broken))
+    (broken / "_SUCCESS").unlink()
+    assert run(texts)[0] == [1.0]
+    assert made == [100, 5, 0]
+
+
+def test_settings_of_the_tokenizer(spark):
+    df = spark.createDataFrame([(1, "I paid 1234567 now, OK"), (2, ""), (3, None), (4, "12 1000 x9999y")], "sentence_id long, sentence string")
+    steps = K.settings_steps(True)
+    vocab = K.vocabulary(df, 50, steps=steps)
+    words = {r["id"]: r["token"] for r in vocab.collect()}
+    got = {r["sentence_id"]: r for r in K.tokenize(df, vocab, 6, steps=steps, add_special_tokens=False, padding=False, truncation=False).collect()}
+    assert [words[i] for i in got[1]["input_ids"]] == ["i", "paid", "1", "234", "567", "now", ",", "ok"] and got[1]["attention_mask"] == [1] * 8
+    assert got[2]["input_ids"] == []
+    longest = K.tokenize(df, vocab, 6, steps=steps, padding="longest", truncation=False).collect()
+    assert {len(r["input_ids"]) for r in longest if r["sentence"] is not None} == {10}
+    cut = K.tokenize(df, vocab, 6, steps=steps).where("sentence_id = 1").first()
+    assert cut["input_ids"][0] == 2 and cut["input_ids"][-1] == 3 and len(cut["input_ids"]) == 6
+    with pytest.raises(ValueError):
+        K.tokenize(df, vocab, 6, padding="some")
+    for r in df.select("sentence", K.split_by(F.lower("sentence"), steps).alias("pieces"), K.piece_offsets(F.col("sentence"), steps).alias("at")).where("sentence IS NOT NULL").collect():
+        assert len(r["at"]) == len(r["pieces"]) and all(r["sentence"].lower()[a:a + len(p)] == p for a, p in zip(r["at"], r["pieces"])) and r["at"] == sorted(r["at"])
+
+
+def test_vocabulary_cut_among_ties(spark):
+    rows = [(" ".join(["top"] * 5 + ["mid"] * 3),)] + [(w,) for w in "f e d c b a".split()]
+    df = spark.createDataFrame(rows, "sentence string").repartition(4)
+    for size in range(9):
+        got = [(r["token"], r["id"], r["n"]) for r in K.vocabulary(df, size).orderBy("id").collect()]
+        want = [("top", 5), ("mid", 3), *[(w, 1) for w in "abcdef"]][:size]
+        assert got == [(w, i + 4, n) for i, (w, n) in enumerate(want)]
