@@ -6,7 +6,12 @@ run of empty lines. A line's weight is its text outside links. Weights are summe
 sliding windows of WINDOW lines: text begins at a surge (a window sum above SURGE, or
 above SHARE of the page's largest sum if that is less, whose first line has text) and
 ends at the dive point, where the sum has fallen to nothing. The text between surge and
-dive points is kept. A line directly in an article element needs no surge.
+dive points is kept. Lines in an article or main element need no surge.
+
+What is kept tells where the article is: the least container that holds all of it. Its
+other lines (headlines and short lines with a container of their own) are kept as well,
+if they are the smaller part of it. A run of lines with a container of its own whose
+words are those of a notice is left out everywhere.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 WINDOW = 3
 SURGE = 120             # a window sum above this starts a text
 SHARE = 0.5             # on pages of short lines, one above this share of the page's largest does
+REST = 0.5              # other lines of the article are at most this share of what surges
 LINK_SHARE = 0.6        # a line with a larger share of link text has no weight
 
 # Elements and names of parts that aren't the article.
@@ -46,6 +52,7 @@ NAMES = {
     "cookie-notice", "login-form", "main-menu", "main-nav", "nav-bar", "nav-menu", "page-footer", "page-header",
     "related-articles", "related-posts", "share-buttons", "site-footer", "site-header", "social-links",
 }
+NAME_PARTS = {"comment", "comments", "cookie", "cookies"}     # of a class or id, wherever in it
 ROLES = {"banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "alert"}
 
 # Parts that aren't the article however much text they hold, unless an article or main is in them.
@@ -62,7 +69,7 @@ IMPLIED = {
 ENDS_P = STRUCTURE - {"body", "button", "canvas", "caption", "head", "html", "input", "object", "option", "select", "tbody", "td", "tfoot", "th", "thead", "tr"}
 P_BOUNDS = {"button", "caption", "object", "table", "td", "th"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -77,7 +84,7 @@ def _unwanted(tag: str, attributes: str) -> bool:
         if kind.lower() == "role":
             if value.strip() in ROLES:
                 return True
-        elif NAMES.intersection(value.split()):
+        elif NAMES.intersection(value.split()) or NAME_PARTS.intersection(re.split(r"[\s_-]+", value)):
             return True
     return bool(_HIDDEN.search(attributes))
 
@@ -216,14 +223,27 @@ def _removed(pieces: list[tuple]) -> dict[int, int]:
     return out
 
 
-def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
-    """(text, weight, stands directly in an article element) of each line; a removed part
-    or the bound of a container gives ``window`` empty lines."""
-    lines: list[tuple[str, float, bool]] = []
+# Words of notices: any of them in a short run, or both of the second kind in any run of few lines.
+_NOTICE = re.compile(r"\b(?:cookies?|copyright|all rights reserved|subscribe|newsletter|sign up|log ?in|advertisement|sponsored)\b|©|\(c\) ?\d{4}", re.I)
+_COOKIES, _CONSENT = re.compile(r"\bcookies?\b", re.I), re.compile(r"\b(?:accept|consent|agree|privacy|browser|website)\b", re.I)
+
+
+class Line:
+    """A line of a page; ``path`` are the containers around it, the page's first, and
+    ``run`` numbers the stretches between the bounds of containers and removed parts."""
+
+    __slots__ = ("text", "weight", "told", "path", "run")
+
+    def __init__(self, text: str, weight: float, told: bool, path: tuple[int, ...], run: int) -> None:
+        self.text, self.weight, self.told, self.path, self.run = text, weight, told, path, run
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines with text, in page order, removed parts left out."""
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = 0
-    links = 0
-    inside: list[str] = []      # open containers
+    linked = links = run = opened = 0
+    inside: list[tuple[str, int]] = []      # open containers
 
     def flush():
         nonlocal linked
@@ -231,13 +251,14 @@ def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
         parts.clear()
         if text:
             weight = 0.0 if linked > LINK_SHARE * len(text) else float(len(text))
-            lines.append((text, weight, bool(inside) and inside[-1] == "article"))
+            told = any(tag in ("article", "main") for tag, _ in inside)
+            lines.append(Line(text, weight, told, tuple(number for _, number in inside), run))
         linked = 0
 
     def cut():
+        nonlocal run
         flush()
-        if lines and lines[-1][0]:
-            lines.extend([("", 0.0, False)] * window)
+        run += 1
 
     pieces = _pieces(page)
     removed = _removed(pieces)
@@ -262,9 +283,10 @@ def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
         elif tag in CONTAINERS:
             cut()
             if not closing:
-                inside.append(tag)
-            elif tag in inside:
-                while inside.pop() != tag:
+                opened += 1
+                inside.append((tag, opened))
+            elif any(tag == t for t, _ in inside):
+                while inside.pop()[0] != tag:
                     pass
         elif tag in STRUCTURE:
             flush()
@@ -272,24 +294,57 @@ def lines_of(page: str, window: int = WINDOW) -> list[tuple[str, float, bool]]:
     return lines
 
 
-def main_text(page: str, window: int = WINDOW, surge: float = SURGE) -> str:
-    """The kept lines, joined by blank lines; empty if there is none."""
-    lines = lines_of(page, window)
-    weights = [w for _, w, _ in lines]
-    sums, total = [0.0] * len(lines), 0.0
-    for i in range(len(lines) - 1, -1, -1):     # sum over lines i .. i + window - 1
-        total += weights[i] - (weights[i + window] if i + window < len(lines) else 0.0)
-        sums[i] = total
+def _notices(lines: list[Line]) -> set[int]:
+    """Runs whose words are those of a notice."""
+    runs: dict[int, list[str]] = {}
+    for line in lines:
+        runs.setdefault(line.run, []).append(line.text)
+    found = set()
+    for run, texts in runs.items():
+        text = " ".join(texts)
+        if (len(text) <= SURGE and _NOTICE.search(text)) or (len(texts) <= WINDOW and _COOKIES.search(text) and _CONSENT.search(text)):
+            found.add(run)
+    return found
+
+
+def _surging(lines: list[Line], window: int, surge: float) -> list[bool]:
+    """Which lines lie between a surge and a dive point. Windows don't reach over the
+    end of a run."""
+    sums = [0.0] * len(lines)
+    for i, line in enumerate(lines):
+        for later in lines[i:i + window]:
+            if later.run == line.run:
+                sums[i] += later.weight
     surge = min(surge, SHARE * max(sums, default=0.0))
     kept, inside = [], False
-    for i, (text, weight, told) in enumerate(lines):
-        if not inside and weight > 0 and (told or sums[i] > surge):
+    for i, line in enumerate(lines):
+        if i and line.run != lines[i - 1].run:
+            inside = False
+        if not inside and line.weight > 0 and (line.told or sums[i] > surge):
             inside = True
         elif inside and sums[i] <= 0:
             inside = False
-        if inside and text:
-            kept.append(text)
-    return "\n\n".join(kept)
+        kept.append(inside)
+    return kept
+
+
+def main_text(page: str, window: int = WINDOW, surge: float = SURGE) -> str:
+    """The kept lines, joined by blank lines; empty if there is none."""
+    lines = lines_of(page)
+    kept, notices = _surging(lines, window, surge), _notices(lines)
+    if any(k and line.run not in notices for k, line in zip(kept, lines)):
+        kept = [k and line.run not in notices for k, line in zip(kept, lines)]
+        path = None     # of the least container around all that is kept
+        for k, line in zip(kept, lines):
+            if k:
+                same = [a == b for a, b in zip(path, line.path)] if path is not None else []
+                path = line.path if path is None else path[:same.index(False) if False in same else len(same)]
+        if path:
+            around = [line.path[:len(path)] == path and line.run not in notices and line.weight > 0 for line in lines]
+            text = sum(len(line.text) for k, line in zip(kept, lines) if k)
+            if sum(len(line.text) for a, k, line in zip(around, kept, lines) if a and not k) <= REST * text:
+                kept = [k or a for k, a in zip(kept, around)]
+    return "\n\n".join(line.text for k, line in zip(kept, lines) if k)
 
 
 def _extract(batches, window: int, surge: float):
@@ -303,7 +358,8 @@ def _extract(batches, window: int, surge: float):
 def extract_pages(pages: DataFrame, window: int = WINDOW, surge: float = SURGE) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html).
 
-    No shuffle. NULL or empty html, or a page without text: empty text, n_chars 0.
+    No shuffle, and no rows in, no rows out. Pages are read whole, however long. NULL or
+    empty html, or a page without text: empty text, n_chars 0.
     NULL page_id or url are handed on; repeated rows come out as often as they went
     in. Broken markup is read as far as it goes: a removed part that is never closed ends
     at the next block.
