@@ -5,9 +5,10 @@ features; neighbouring lines are tied by transition weights. Viterbi decoding fi
 the most probable labelling of the whole text, and the share of words in content
 lines decides whether it is kept.
 
-The field is trained here, on a bounded sample of documents labelled for quality:
-lines of good documents count as content, lines of bad ones and lines with a license
-notice as boilerplate.
+The field is trained here, on a bounded sample of documents labelled for quality. Lines
+are labelled on their own: content are the lines of good documents but for notices,
+lines of symbols and copies of an earlier line, which are boilerplate in good documents
+as well; the lines of bad documents are boilerplate.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 from sentspark.llm.kernels import LOWER, mix, slices, span_hashes, windows, word_bounds
 
 SAMPLE_DOCS = 2000      # labelled documents for training, half of each kind
-SAMPLE_LINES = 400      # lines of one of them that training reads
+SAMPLE_LINES = 400      # lines in a row of one of them that training reads, from anywhere in it
 STEPS = 150
 RIDGE = 1.0
 CONTENT_SHARE = 0.5
 FEATURES = 24
 
 _U = np.uint64
+_BOILERPLATE = np.uint32(1 << 2 | 1 << 12 | 1 << 13)    # features: symbols, copy, notice
 _NOTICE = ("rights reserved", "copyright", "licensed under", "license", "cookies", "terms of use", "privacy policy")
 
 
@@ -236,12 +238,20 @@ def train(line_row: np.ndarray, bits: np.ndarray, labels: np.ndarray, steps: int
     return split(weights)
 
 
+def _some_lines(bits: np.ndarray, doc: int) -> np.ndarray:
+    """SAMPLE_LINES lines in a row, from a place that a hash of the document tells."""
+    places = max(1, len(bits) - SAMPLE_LINES + 1)
+    at = int(mix(np.array([doc], np.int64).view(np.uint64))[0] % _U(places))
+    return bits[at:at + SAMPLE_LINES].astype(np.int64)
+
+
 def _line_features(batches):
     for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
         good = batch.column("good").to_numpy(zero_copy_only=False)
         for first, last, data, offsets in slices(batch.column("text")):
             found = measure(data, offsets)
-            lines = [found.bits[found.line_row == r][:SAMPLE_LINES].astype(np.int64) for r in range(last - first)]
+            lines = [_some_lines(found.bits[found.line_row == r], ids[first + r]) for r in range(last - first)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")[first:last], pa.array(good[first:last]), pa.array(lines, pa.list_(pa.int64()))],
                 names=["doc_id", "good", "bits"])
@@ -251,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
     """Trains on at most ``sample_docs`` labelled documents: of each quality the
     ``sample_docs / 2`` that come first by a hash of doc_id. ``labels`` has doc_id and
     quality (1 good, 0 bad). Line features of the sample go to the driver, one integer
-    a line and at most SAMPLE_LINES lines a document."""
+    a line and at most SAMPLE_LINES lines a document, whose place in the document a hash
+    tells. Of rows that repeat a doc_id one counts."""
     known = labels.where("quality IN (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good"))
     chosen = None
     for good in (True, False):
@@ -259,14 +270,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
-        .mapInArrow(_line_features, "doc_id long, good boolean, bits array<long>").orderBy("doc_id").toPandas()
+        .mapInArrow(_line_features, "doc_id long, good boolean, bits array<long>")
+        .groupBy("doc_id", "good").agg(F.min("bits").alias("bits")).orderBy("doc_id").toPandas()
     )
     rows = rows[rows["bits"].map(len) > 0]
     if len(rows) == 0:
         return train(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool))
     sizes = rows["bits"].map(len).to_numpy()
     bits = np.concatenate(rows["bits"].tolist()).astype(np.uint32)
-    content = np.repeat(rows["good"].to_numpy().astype(bool), sizes) & ((bits >> np.uint32(13)) & 1 == 0)
+    content = np.repeat(rows["good"].to_numpy().astype(bool), sizes) & (bits & _BOILERPLATE == 0)
     return train(np.repeat(np.arange(len(rows)), sizes), bits, content)
 
 
