@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sentspark.llm.scratch import keep, scratch
 
 SAMPLE_DOCS = 6000      # labelled documents the classifier is fitted on, at most
-FEATURES = 4000         # features kept, those with the strongest evidence first
-LEAST_DOCS = 5          # documents of the sample a feature must be in
-EVIDENCE = 10.0         # root of the likelihood ratio that a feature must show to count
+FEATURES = 1000         # features kept, those with the strongest evidence first
+LEAST_DOCS = 3          # documents of the sample a feature must be in
+CHANCE = 3.0            # times the logarithm of the features tried: evidence that chance doesn't give one of them
 LIMIT = 6.0             # bound of one feature's log odds
 STEPS = 40
 TOLERANCE = 1e-3        # largest residual, as a share of all target tokens
@@ -94,14 +94,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> C
             both = F.col("n0") + F.col(f"n{i}")
             ratios.append(2 * (part(F.col("n0"), both * (sizes[0] / (sizes[0] + sizes[i]))) + part(F.col(f"n{i}"), both * (sizes[i] / (sizes[0] + sizes[i])))))
         strong = F.array_max(F.array(*ratios))
+        seen = tmp.table(seen.where(F.col("n") >= LEAST_DOCS))
+        evidence = CHANCE * np.log(1 + seen.count())
         kept = (
-            seen.where(F.col("n") >= LEAST_DOCS).withColumn("ratios", F.array(*ratios)).where(strong > EVIDENCE ** 2)
+            seen.withColumn("ratios", F.array(*ratios)).where(strong > F.lit(float(evidence)))
             .orderBy(strong.desc(), "feature").limit(FEATURES).collect()
         )
         weights = []
         for i in range(len(domains)):
             odds = [np.log((r[f"n{i}"] + 0.5) / (sizes[i] + 0.5 * max(sizes)) * (sizes[0] + 0.5 * max(sizes)) / (r["n0"] + 0.5)) for r in kept]
-            weights.append([round(float(np.clip(o, -LIMIT, LIMIT)), 4) if r["ratios"][i] > EVIDENCE ** 2 else 0.0 for o, r in zip(odds, kept)])
+            weights.append([round(float(np.clip(o, -LIMIT, LIMIT)), 4) if r["ratios"][i] > evidence else 0.0 for o, r in zip(odds, kept)])
         features = [r["feature"] for r in kept]
         amounts = [float(t["docs"]) for t in totals]
         none = [_missing(F.col("features"), features, w).cast("double") for w in weights]
@@ -216,6 +218,15 @@ def _draw(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "id", "body"), F.lit(1 << 30)) / float(1 << 30)
 
 
+def reached_shares(mixed: DataFrame, model: Classifier) -> dict[str, float]:
+    """Share of each domain in the expected tokens of rows (tokens, p, rate): what the
+    rates reach, to be held against the targets. Empty without tokens."""
+    sums = mixed.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.element_at("p", i + 1)).alias(f"d{i}") for i in range(len(model.domains))]).first() \
+        if model.domains else ()
+    total = sum(x or 0.0 for x in sums)
+    return {d: (x or 0.0) / total for d, x in zip(model.domains, sums)} if total else {}
+
+
 def document_rates(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, tokens, p, rate and copies of each row of ``docs`` (doc_id, text), as
     ``mix_documents`` gives them, from one pass over the texts."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentspark.llm.feistel import ROUNDS, SEED, shard_rows
 from sentspark.llm.registry import query, table
-from sentspark.llm.soft_mixing import document_rates, fit
+from sentspark.llm.soft_mixing import document_rates, fit, reached_shares
 from sentspark.llm.surrogates import replace_entities
 from sentspark.llm.url_reputation import LIMIT, LONG_SUFFIXES, RULES, STRENGTH, Z, judge_urls
 
@@ -136,4 +136,6 @@ def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     model = fit(docs, label_domains(spark, folder))
     mixed = document_rates(docs, model, MIX, anchor="clean")
     shares = [F.round(F.element_at("p", i + 1), 9).alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return mixed.select("doc_id", "tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
+    # What the rates reach of the targets, the same on every row.
+    reached = [F.lit(round(x, 6)).alias(f"reached_{d}") for d, x in reached_shares(mixed, model).items()]
+    return mixed.select("doc_id", "tokens", *shares, F.round("rate", 9).alias("rate"), "copies", *reached)
