@@ -2,8 +2,9 @@
 
 A known word scores by its log frequency in each language. An unseen word falls back
 to its character n-grams (word edges included), the longest first: the first length
-with any known n-gram decides, by the mean over its known ones. Scores are summed
-over the words of the whole text; the posterior of the best language is the score.
+with any known n-gram decides, by the mean over its known ones. Scores are summed over
+the words of the whole text and decide the language; its posterior by the evidence of
+EVIDENCE average words, however long the text is, is the score.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sentspark.llm.kernels import mix
+from sentspark.llm.scratch import scratch
 
-SAMPLE_ROWS = 6000      # labelled documents the tables are counted on
-KEPT_WORDS = 40_000     # most frequent words
-KEPT_GRAMS = {5: 40_000, 4: 30_000, 3: 15_000, 2: 4_000, 1: 500}
+SAMPLE_ROWS = 1500      # labelled documents of each language the tables are counted on
+KEPT_WORDS = 10_000     # most frequent words of each language
+KEPT_GRAMS = {5: 10_000, 4: 8_000, 3: 4_000, 2: 1_000, 1: 150}     # and n-grams
 SMOOTHING = 0.5
-SLICE_CHARS = 1 << 19
+EVIDENCE = 8            # words whose evidence makes a posterior
+SLICE_CHARS = 1 << 17
+ROWS_AT_ONCE = 512      # rows scored at a time
 UNDECIDED = "und"
 
 _U = np.uint64
@@ -122,21 +127,27 @@ def _count(batches):
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Word and n-gram tables from ``rows`` (doc_id, text, lang; NULL text or lang is
-    passed over): counted on the ``sample_rows`` rows that come first by a hash of
-    doc_id, or on all if there are fewer, and cut to the most frequent entries. Those
-    bounds fix the size of the model, which goes to every task."""
+    passed over): counted on those ``sample_rows`` rows of each language that come first
+    by a hash of doc_id, or on all if there are fewer, and cut to the most frequent
+    entries of each language. Those bounds, per language, fix the size of the model,
+    which goes to every task; a language is learned from its own rows, however few of
+    all they are."""
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # Spark keeps the first of each language before the shuffle as well.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_rows)
     counts = (
-        rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text", "lang")
+        rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
         .mapInArrow(_count, "kind int, hash long, lang string, n long").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
     )
-    per_key = counts.groupBy("kind", "hash").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    kept = None
-    for kind, most in {0: KEPT_WORDS, **KEPT_GRAMS}.items():
-        part = per_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "hash").limit(most)
-        kept = part if kept is None else kept.unionByName(part)
-    entries = kept.select("kind", "hash", F.explode("by_lang").alias("x")).select("kind", "hash", "x.lang", "x.n").toPandas()
+    limit = F.lit(KEPT_WORDS)
+    for kind, most in KEPT_GRAMS.items():
+        limit = F.when(F.col("kind") == kind, most).otherwise(limit)
+    most_frequent = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "hash")
+    with scratch(rows.sparkSession, "languages") as tmp:
+        counts = tmp.table(counts)
+        kept = counts.withColumn("place", F.row_number().over(most_frequent)).where(F.col("place") <= limit).select("kind", "hash").distinct()
+        entries = counts.join(F.broadcast(kept), ["kind", "hash"], "left_semi").toPandas()
     languages = sorted(entries["lang"].unique().tolist())
     keys, scores = {}, {}
     for kind in (0, *KEPT_GRAMS):
@@ -152,7 +163,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and posterior of each text; ``und`` and 0 where it has no letter."""
     total = np.zeros((len(texts), len(model.languages)))
-    seen = np.zeros(len(texts), bool)
+    count = np.zeros(len(texts), np.int64)
     for first, codes, starts, ends, rows in _texts(texts):
         words = _word_hash(codes, starts, ends)
         _, place, back = np.unique(words, return_index=True, return_inverse=True)
@@ -176,19 +187,22 @@ def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
             left = left[hits == 0]
         for k in range(len(model.languages)):
             total[:, k] += np.bincount(first + rows, value[back, k], minlength=len(texts))
-        seen |= np.bincount(first + rows, minlength=len(texts)) > 0
+        count += np.bincount(first + rows, minlength=len(texts))
     if not model.languages:
         return [UNDECIDED] * len(texts), np.zeros(len(texts))
     best = total.argmax(axis=1)
-    share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    return [model.languages[b] if ok else UNDECIDED for b, ok in zip(best, seen)], np.where(seen, share, 0.0)
+    tempered = total * np.minimum(1.0, EVIDENCE / np.maximum(count, 1))[:, None]
+    share = 1 / np.exp(tempered - tempered.max(axis=1, keepdims=True)).sum(axis=1)
+    return [model.languages[b] if ok else UNDECIDED for b, ok in zip(best, count > 0)], np.where(count > 0, share, 0.0)
 
 
 def _predict(batches, model: Model):
     for batch in batches:
-        langs, scores = score_texts([t or "" for t in batch.column("text").to_pylist()], model)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                         names=["doc_id", "lang_pred", "score"])
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            langs, scores = score_texts([t or "" for t in part.column("text").to_pylist()], model)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             names=["doc_id", "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,7 +210,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     NULL, empty or letterless text: ``und``, 0. Ties go to the language first by name.
     Without any language learned all are ``und``. NULL doc_id is handed on; repeated
-    rows come out as often as they went in. Texts are read whole, nothing is shuffled;
+    rows come out as often as they went in; no rows in, no rows out. Texts are read
+    whole, however long, nothing is shuffled;
     other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,11 +222,14 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` as struct ``row`` beside lang_pred and score, in one pass."""
     def each(batches):
         for batch in batches:
-            langs, scores = score_texts([t or "" for t in batch.column("body").to_pylist()], model)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=["row", "lang_pred", "score"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("body"))
+            row = batch.column("row")
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = row.slice(at, ROWS_AT_ONCE)
+                langs, scores = score_texts([str(t) if t is not None else "" for t in pc.struct_field(part, "text").to_pylist()], model)
+                yield pa.RecordBatch.from_arrays([part, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                                 names=["row", "lang_pred", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(each, f"row {kind}, lang_pred string, score double")
 
