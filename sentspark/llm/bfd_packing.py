@@ -17,11 +17,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sentspark.llm.kernels import small_batches
 from sentspark.llm.scratch import keep, scratch
 
 LENGTH = 2048
 GROUP_ITEMS = 8192      # expected items per group; more groups lose a little room each
-CACHED_WORDS = 700_000  # words whose ids a worker remembers; it starts afresh beyond
+CACHED_WORDS = 150_000  # words whose ids a worker remembers; it starts afresh beyond
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -95,7 +96,7 @@ def _pieces(batches, path: str, end_id: int, length: int):
     """The pieces of each document: full windows, then the rest."""
     ending = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-    for batch in batches:
+    for batch in small_batches(batches):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for at in range(0, len(texts), 256):
             out = []
