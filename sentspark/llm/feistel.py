@@ -50,7 +50,9 @@ def permuted(number: Column, n: int, seed: int = SEED) -> Column:
     once = _network(number, a, b, seed)
     walk = F.aggregate(
         F.sequence(F.lit(1), F.lit(WALKS)), once,
-        lambda acc, _: F.when(acc < n, acc).otherwise(_network(acc, a, b, seed)))
+        lambda acc, _: F.when(acc < n, acc).otherwise(_network(acc, a, b, seed)),
+        # About one walk in (n ** 0.5) ** WALKS is longer; none may end outside.
+        lambda acc: F.when(acc < n, acc).otherwise(F.raise_error(F.lit("a walk of the permutation is too long")).cast("long")))
     # The walk is rare: the array is only made where the first image lies outside.
     held = F.transform(F.array(once), lambda x: F.when(x < n, x).otherwise(walk))
     return held[0]
@@ -62,7 +64,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFrame
     and slots of a shard run from 0 without gaps; grown_shard is NULL.
 
     Numbers follow doc_id (NULL first), then size and checksum; rows equal in all
-    three are interchangeable. NULL text: size 16, checksum 0. The text itself is
+    three are interchangeable. NULL text: size 16, checksum 0. No rows in, no rows out.
+    The text itself, however long, is
     reduced to size and checksum where it is read; what is sorted are short rows, once,
     in ranges whose sizes give each its offset. No window spans the table.
     """

@@ -115,6 +115,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float
     back is one Spark can split. NULL url or one without ``://``: empty host and path;
     such pages share one reputation. NULL bad: not an outcome. NULL page_id meets no
     outcome. Repeated pages are judged each, and their outcomes count each time.
+    No pages, no rows; without outcomes all follow the weakest prior. Urls are read whole.
     Other columns are ignored.
     """
     host, path = url_parts(F.col("url").cast("string"))

@@ -149,7 +149,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
 
     NULL text counts as empty; NULL doc_id comes first; rows with one id are ordered by
     text; identical rows follow each other. A single row is its own successor. Empty
-    against empty is 1 alike. Other columns are ignored.
+    against empty is 1 alike. No rows in, no rows out. Texts are read whole, however
+    long. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
