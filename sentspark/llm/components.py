@@ -9,16 +9,18 @@ from sentspark.llm.scratch import Scratch
 
 def _towards_least(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a, b), a < b. Large: every greater neighbour of a node
-    is tied to the least of its neighbourhood; small: the node and its lesser ones."""
+    is tied to the least of its neighbourhood; small: the node and its lesser ones. Both
+    sides of the joins are dealt by the node already, so nothing is broadcast: over many
+    steps that would pile up on the executors."""
     seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     back = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     if large:
         ties = seen.unionByName(back)
         least = ties.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        new = ties.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        new = ties.join(least.hint("merge"), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         least = back.groupBy("u").agg(F.min("v").alias("m"))
-        new = back.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(
+        new = back.join(least.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(
             least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return new.where("a < b").distinct()
 

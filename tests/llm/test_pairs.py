@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from sentspark.llm import parity_join as P
 from sentspark.llm.kernels import shingle_sets
 from sentspark.llm.parity_join import Geometry, _check_sketch, _fold, _keys, parity_join
 
@@ -67,28 +68,85 @@ def test_chains_of_near_copies(spark):
         assert Counter(tuple(r) for r in parity_join(df, k, num, 100).collect()) == brute(rows, k, num, 100)
 
 
+def all_keys(geometry, tokens):
+    return np.concatenate(_keys(geometry, tokens))
+
+
 def test_linked_sets_share_a_key_and_sketches_bound_differences():
     rng = np.random.default_rng(1)
     for num in (80, 90):
         geometry = Geometry(num, 100)
         for n in [*range(geometry.least, geometry.least + 40), 77, 150, 333, 1000, 5000]:
-            whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            for _ in range(4):
+            for _ in range(6):
+                whole = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
                 # As different as the threshold allows: tokens exchanged on either side.
                 drop = int(rng.integers(0, n * (100 - num) // (100 + num) + 1))
                 add = (n - drop) * 100 // num - n
                 add = int(rng.integers(0, max(0, add) + 1))
-                other = np.unique(np.r_[rng.choice(whole, n - drop, replace=False), rng.integers(0, 1 << 63, add, dtype=np.uint64)])
+                other = np.unique(np.r_[rng.choice(whole, n - drop, replace=False), rng.integers(0, 1 << 64, add, dtype=np.uint64)])
                 shared = len(np.intersect1d(whole, other))
                 if 100 * shared < num * (len(whole) + len(other) - shared) or len(np.setxor1d(whole, other)) == 0:
                     continue
-                assert len(np.intersect1d(_keys(geometry, whole), _keys(geometry, other))) > 0
+                assert len(np.intersect1d(all_keys(geometry, whole), all_keys(geometry, other))) > 0
                 a, b = _check_sketch(geometry, whole), _check_sketch(geometry, other)
                 size = min(len(a), len(b))
                 a, b = (np.frombuffer(_fold(x, size), np.uint8) for x in (a, b))
                 assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(whole, other))
 
 
+def test_poor_and_bare_sets_share_a_key():
+    """Shingles crowded into few blocks: the look-up that random sets never need."""
+    rng = np.random.default_rng(2)
+    for num in (80, 90):
+        geometry = Geometry(num, 100)
+        for _ in range(400):
+            n = int(rng.integers(geometry.least, 60))
+            spots = rng.integers(0, 1 << 32, int(rng.integers(1, 4)), dtype=np.uint64) << np.uint64(32)
+            pool = np.unique(spots[rng.integers(0, len(spots), 2 * n)] | rng.integers(0, 1 << 32, 2 * n, dtype=np.uint64))[:n + 9]
+            pool = rng.permutation(pool)
+            drop = n * (100 - num) // (100 + num)
+            a, b = np.sort(pool[:n]), np.sort(pool[drop:n + drop])
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= num * (len(a) + len(b) - shared):
+                assert len(np.intersect1d(all_keys(geometry, a), all_keys(geometry, b))) > 0
+
+
+def test_unrelated_sets_share_no_key():
+    """Empty blocks aren't keys, so what unrelated sets share doesn't grow with the table."""
+    rng, seen = np.random.default_rng(3), Counter()
+    geometry = Geometry(80, 100)
+    for _ in range(1500):
+        seen.update(np.unique(all_keys(geometry, np.unique(rng.integers(0, 1 << 64, int(rng.integers(100, 400)), dtype=np.uint64)))).tolist())
+    assert max(seen.values()) == 1
+
+
+def test_keys_are_few():
+    rng, geometry = np.random.default_rng(4), Geometry(80, 100)
+    for n in (130, 200, 300, 1000):
+        counts = [len(all_keys(geometry, np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)))) for _ in range(100)]
+        bands = len(list(geometry.bands(n)))
+        assert np.mean(counts) <= bands * (1.2 * geometry.most(n) + 4)
+
+
+@pytest.mark.parametrize("block,compared", [(1 << 14, 1 << 19), (8, 64)])
+def test_large_groups_in_chunks(spark, monkeypatch, block, compared):
+    """A passage that most documents share, near-identical ones and chains, compared in
+    chunks of few members."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "COMPARED", compared)
+    rng = random.Random(block)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(90):
+        if i % 3 == 0:
+            own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 15, 40]))]
+        words = own + passage
+        if i % 3 == 2:
+            words[rng.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in parity_join(df, 5, 80, 100).collect()) == brute(rows, 5, 80, 100)
+
+
 def test_shingle_hashes_are_those_of_the_words():
     texts = ["A b  c\td", "a b c d", "", None, "c d", "a b c", "x\x1cy é", "a"]
     sets = list(shingle_sets(pa.array(texts, pa.string()), 3))

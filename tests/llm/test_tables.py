@@ -134,6 +134,40 @@ def test_surrogates_stay_distinct(spark):
     assert len(keys) == len(new) == len(set(new)) and not keys & set(new)
 
 
+def test_surrogates_find_room(spark):
+    """More entities than their form leaves room for."""
+    few = [("email", f"{chr(97 + i)}@x.com") for i in range(26)] + [("email", "a@y.com")]
+    pairs = [("email", f"{chr(97 + i // 26)}{chr(97 + i % 26)}@x{i // 600}.com") for i in range(676)] + [("email", f"{chr(97 + i)}a@z.com") for i in range(24)]
+    digits = [("password", f"{i:03d}") for i in range(1000)]
+    for entities in (few, pairs, digits):
+        with scratch(spark, "test") as tmp:
+            drawn = P.draw_surrogates(spark.createDataFrame(entities, "type string, key string"), tmp).collect()
+        keys, new = {r["key"] for r in drawn}, [r["surrogate"] for r in drawn]
+        assert len(new) == len(set(new)) == len(entities) and not keys & set(new)
+
+
+def test_later_mentions_of_a_name(spark):
+    rows = [(1, "Mrs. Anna Smith came. Anna said hello to Smith; SMITH and Annabel, Smith-Jones."), (2, "Anna and Smith are at home.")]
+    got = {r["doc_id"]: r["text"] for r in P.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. (\w+) said hello to (\w+); SMITH and Annabel, Smith-Jones\.", got[1])
+    assert told[1] == told[3] != "Anna" and told[2] == told[4] != "Smith" and got[2] == rows[1][1]
+
+
+def test_more_numbers(spark):
+    rows = ["1-800-555-1234", "555 123 4567", "(555) 123 4567", "0044 20 7946 0958", "fe80:0:0:0:1:2:3:4", "2a00:1450::200e", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    df = spark.createDataFrame([(i, f"Is it {x}? Yes.") for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in P.replace_entities(df).collect()}
+    for i, x in enumerate(rows):
+        new = re.fullmatch(r"Is it (.*)\? Yes\.", got[i])[1]
+        assert new != x
+        if i < 4:
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", x)
+        elif i > 5:
+            plain = new.replace(" ", "")
+            assert plain[:2] == x[:2] and len(new) == len(x) and [c == " " for c in new] == [c == " " for c in x]
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def test_surrogates_of_hard_rows(hard, hard_texts):
     got = P.replace_entities(hard)
     assert got.columns == hard.columns
@@ -160,6 +194,8 @@ def test_mix(spark):
     same = M.document_rates(docs, model, {"clean": 0.9, "junk": 0.1}, anchor="clean").collect()
     assert {(r["doc_id"], r["rate"], r["copies"]) for r in same} == {(r["doc_id"], r["rate"], r["copies"]) for r in rows}
     got = (tokens * rate) @ p
+    told = M.reached_shares(M.document_rates(docs, model, {"clean": 0.9, "junk": 0.1}, anchor="clean"), model)
+    assert abs(told["clean"] - got[0] / got.sum()) < 1e-9
     assert abs(got[0] / got.sum() - 0.9) < 0.01 and abs(got[0] / (tokens @ p)[0] - 1) < 0.01
 
 
@@ -176,6 +212,27 @@ def test_solver_reaches_the_least_squares(spark):
     assert np.abs((tokens * rate) @ p - target).max() <= 2e-3 * target.sum()
 
 
+def test_posteriors_by_definition(spark):
+    """Word by word, with the tables of the fitted model."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" if x < 20 else f"c{x}" for x in rng.integers(0, 60, 40)), ("x", "y")[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = M.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows[:200]], "doc_id long, domain string"))
+    assert len(model.features) > 20
+    hashed = docs.select("doc_id", F.array_distinct(M._features(F.col("text"), M.words_of(F.col("text")))).alias("f"))
+    features = {r["doc_id"]: r["f"] for r in hashed.collect()}
+    got = {r["doc_id"]: r["p"] for r in M.with_posterior(docs.withColumnRenamed("text", "body"), model).collect()}
+    tables = [dict(zip(model.features, w)) for w in model.weights]
+    for doc, found in features.items():
+        scores = [prior + sum(t.get(f, 0.0) for f in found) for prior, t in zip(model.prior, tables)]
+        for odds, table in zip(model.absent, tables):
+            speaking = {f for f, w in table.items() if w > 0}
+            if speaking and not speaking & set(found):
+                scores = [s + o for s, o in zip(scores, odds)]
+        e = np.exp(np.array(scores) - max(scores))
+        assert np.allclose(got[doc], e / e.sum(), atol=1e-9)
+
+
 def test_mix_of_hard_rows(spark, hard, none):
     labels = spark.createDataFrame([(1, "x"), (10, "x"), (12, "y"), (13, "y"), (None, "x"), (2, None)], "doc_id long, domain string")
     model = M.fit(hard, labels)
@@ -213,14 +270,27 @@ def test_pipeline(spark, tables):
     assert kept.columns == docs.columns and kept.count() < docs.count()
     rows = corpus_pipeline.run(spark, tables).collect()
     assert rows and {r["doc_id"] for r in rows} <= {r[0] for r in docs.select("doc_id").collect()}
+    # Every copy of a kept text is packed whole, each token once.
+    for doc in {r["doc_id"] for r in rows}:
+        mine = [r for r in rows if r["doc_id"] == doc]
+        copies = sum(r["start"] == 0 for r in mine)
+        assert copies and sum(r["length"] for r in mine) == copies * mine[0]["doc_tokens"]
+        assert {n for n in Counter((r["start"], r["length"]) for r in mine).values()} == {copies}
+
+
+def test_pipeline_without_documents(spark, tables, tmp_path):
+    spark.read.parquet(f"{tables}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{tables}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["language", "near_duplicates", "personal_data", "mixing"])
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "personal_data", "mixing", "packing"])
 def test_steps_take_hard_rows(spark, tables, hard_texts, name):
     step = dict(corpus_pipeline.STAGES)[name]
     rows = [(d, t, None, None, None, 1) for d, t in hard_texts]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int")
-    assert step(spark, docs, tables).columns == docs.columns
+    out = step(spark, docs, tables)
+    assert out.columns == docs.columns if name != "packing" else out.where("start = 0").count() == len(rows)
     assert step(spark, docs.where("false"), tables).count() == 0
 
 

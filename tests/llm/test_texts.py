@@ -149,6 +149,15 @@ def test_viterbi_is_the_best_labelling():
         assert got[at].astype(int).tolist() == list(best)
 
 
+def test_training_reads_any_part_of_a_text():
+    bits, seen = np.arange(5000, dtype=np.uint32), set()
+    for doc in range(300):
+        lines = C._some_lines(bits, doc)
+        assert len(lines) == C.SAMPLE_LINES and (np.diff(lines) == 1).all()
+        seen.add(int(lines[0]) // 500)
+    assert len(seen) >= 9 and len(C._some_lines(bits[:3], 1)) == 3
+
+
 def test_training_separates_and_gradient_is_right():
     rng = np.random.default_rng(6)
     rows = np.repeat(np.arange(60), 5)
@@ -196,6 +205,52 @@ def test_unseen_words_fall_back():
     assert langs == ["x", "x"] and abs(scores[0] - 1 / (1 + np.exp(-2))) < 1e-12 and scores[1] == 0.5
 
 
+def plain_scores(text, model):
+    """Word by word, by definition: {language: sum}, and the number of words."""
+    total, count = [0.0] * len(model.languages), 0
+    for word in ("".join(c if c.isalpha() else " " for c in text.lower())).split():
+        count += 1
+        codes = np.array([ord(c) for c in f" {word} "], np.uint32)
+        entries = {k: {int(h): v for h, v in zip(model.keys[k].tolist(), model.scores[k])} for k in model.keys}
+        own = int(L._word_hash(codes, np.array([1]), np.array([len(codes) - 1]))[0])
+        found = [entries[0][own]] if own in entries[0] else []
+        for n in sorted(L.KEPT_GRAMS, reverse=True):
+            if not found:
+                found = [entries[n][int(h)] for h in L._gram_hash(codes, n) if int(h) in entries[n]]
+        if found:
+            total = [t + v for t, v in zip(total, np.mean(found, axis=0))]
+    return total, count
+
+
+def test_scores_are_those_of_the_definition(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    model = L.fit(docs.where("doc_id < 40"), sample_rows=5)
+    model = L.Model(model.languages, {k: v[::7] for k, v in model.keys.items()}, {k: v[::7] for k, v in model.scores.items()})
+    texts = [r["text"][:300] for r in docs.where("doc_id between 50 and 70 and text is not null").collect()] + ["zzz qq", "12 34", "Ünïted états"]
+    langs, scores = L.score_texts(texts, model)
+    for text, lang, score in zip(texts, langs, scores):
+        total, count = plain_scores(text, model)
+        if not count:
+            assert (lang, score) == (L.UNDECIDED, 0.0)
+            continue
+        total = np.array(total)
+        assert total[model.languages.index(lang)] >= total.max() - 1e-9
+        z = total * min(1, L.EVIDENCE / count)
+        assert abs(score - 1 / np.exp(z - z.max()).sum()) < 1e-9
+
+
+def test_rare_language_is_learned(spark):
+    """Five documents of 50,000: one in ten thousand."""
+    rng = np.random.default_rng(1)
+    common = ["the", "and", "of", "house", "tree", "water", "over", "under"]
+    rare = ["ja", "ei", "talo", "puu", "vesi", "yli", "alla", "kissa"]
+    rows = [(i, " ".join(rng.choice(common, 8)), "en") for i in range(49_995)] + [(50_000 + i, " ".join(rng.choice(rare, 30)), "fi") for i in range(5)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert model.languages == ["en", "fi"]
+    langs, scores = L.score_texts(["talo ja puu ei vesi", "the house and the tree", "the talo"], model)
+    assert langs[:2] == ["fi", "en"] and (scores[:2] > 0.9).all() and scores[2] < scores[0]
+
+
 # --- pages --------------------------------------------------------------------------------
 
 
@@ -242,6 +297,43 @@ def test_removed_parts_leave_the_article(start, end):
     assert B.main_text(comment) == para.strip()
 
 
+LONG = "A sentence of the article that is long enough to be a line of text on its own account. " * 2
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p title=it's>{LONG}</p><p>Next.</p></article>", [LONG.strip(), "Next."]),
+    (f"<article><div><h1>Head</h1></div><div><p>{LONG}</p></div><div><p>One short closing line.</p></div></article>",
+     ["Head", LONG.strip(), "One short closing line."]),
+    (f"<body><div class=x><div><h1>Head</h1></div><div>{LONG}</div><div>Short.</div><div>{LONG}</div><div>End.</div></div><div>Shop now</div></body>",
+     ["Head", LONG.strip(), "Short.", LONG.strip(), "End."]),
+    (f"<article><p>{LONG}</p></article><div class='user-comments'><p>{LONG}</p></div>", [LONG.strip()]),
+    (f"<div><p>We use cookies and similar technologies to give you the best experience on our website, to measure visits and to show you offers. Accept all "
+     f"or change your settings.</p></div><article><p>{LONG}</p></article>", [LONG.strip()]),
+    (f'<p title="a>b">{LONG}</p><p title=\'c">\'>{LONG}</p>', [LONG.strip()] * 2),
+    (f'<p title="never closed>{LONG}</p><p>{LONG}</p>', [LONG.strip()] * 2),
+])
+def test_lines_of_the_article_stay(page, want):
+    assert B.main_text(page) == "\n\n".join(want)
+
+
+def test_surge_and_dive_by_definition():
+    """The windows against sums made anew for every line."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        lines, run = [], 0
+        for _ in range(int(rng.integers(1, 30))):
+            run += int(rng.random() < 0.2)
+            size = int(rng.choice([0, 5, 60, 130]))
+            lines.append(B.Line("x" * max(1, size), float(size), bool(rng.random() < 0.1), (), run))
+        sums = [sum(x.weight for x in lines[i:i + 3] if x.run == lines[i].run) for i in range(len(lines))]
+        edge, want, on = min(120, 0.5 * max(sums)), [], False
+        for i, line in enumerate(lines):
+            on = on and lines[i - 1].run == line.run
+            on = (on and sums[i] > 0) or (line.weight > 0 and (line.told or sums[i] > edge))
+            want.append(on)
+        assert B._surging(lines, 3, 120) == want
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, 2), (2, "v", "", 3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
