@@ -1,6 +1,7 @@
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,61 @@ def test_knn_ties_and_few_rows(spark):
     assert found(N.knn_graph(frame(spark, grid[:3]), 10)) == brute_force(grid[:3], 10)
 
 
+@pytest.mark.parametrize("region, parts", [(400, 3), (1 << 23, 5)])
+def test_knn_of_vectors_without_clusters_is_exact_in_regions(spark, monkeypatch, region, parts):
+    monkeypatch.setattr(N, "REGION", region)        # 100 rows of 4 entries
+    monkeypatch.setattr(N, "PARTS", parts)
+    monkeypatch.setattr(N, "LEAST_VISITORS", 1)
+    points = np.random.default_rng(4).normal(size=(350, 4))
+    assert found(N.knn_graph(frame(spark, points), 6, pivots=9)) == brute_force(points, 6)
+
+
+def test_cells_that_lie_together_are_one_region():
+    """Rows move once a region: cells of 1,000 rows are not regions of their own."""
+    centres = np.random.default_rng(5).normal(size=(100, 64))
+    order = N._together(centres, np.arange(100))
+    assert sorted(order) == list(range(100))
+    assert {region for _, region, _ in N._regions(order, dict.fromkeys(order, 1000), N.REGION // 64)} == {0}
+    plan = N._regions([0, 1, 2, 3], {0: 30, 1: 250, 2: 60, 3: 50}, 100)
+    assert plan == [(0, 0, 1), (1, 1, 3), (2, 4, 1), (3, 5, 1)]
+
+
+@pytest.mark.parametrize("kind", ["apart", "far from zero", "equal gaps", "huge"])
+def test_products_of_single_precision_lose_no_neighbour(monkeypatch, kind):
+    monkeypatch.setattr(N, "STRETCH", 64)
+    monkeypatch.setattr(N, "PENDING", 500)
+    rng = np.random.default_rng(6)
+    points = {
+        "apart": np.concatenate([c + rng.normal(size=(150, 5)) * 1e-4 for c in (0, 50, 1000)]),
+        "far from zero": 1e4 + rng.normal(size=(400, 8)) * 1e-2,
+        "equal gaps": np.unique(rng.integers(0, 8, size=(400, 3)), axis=0),
+        "huge": rng.normal(size=(80, 4)) * 1e20,
+    }[kind].astype("float32")
+    table = pa.table({"id": pa.array(range(len(points))), "vec": pa.array(list(points), pa.list_(pa.float32()))})
+    got = N._block_nearest(table, table, 5).to_pylist()
+    rank = {i: 0 for i in range(len(points))}
+    places = {}
+    for r in got:
+        rank[r["i"]] += 1
+        places[r["i"], rank[r["i"]]] = r["j"]
+    assert places == brute_force(points, 5)
+
+
+def test_near_pairs_search_once(spark):
+    """The neighbours are read three times; they are not searched again each time."""
+    searched = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            searched.add(batch.num_rows)
+            yield batch
+
+    points = np.random.default_rng(7).normal(size=(40, 3))
+    knn = N.knn_graph(frame(spark, points), 5)
+    assert G.near_pairs(knn.mapInArrow(count, knn.schema), 3).count() == 120
+    assert searched.value == 200
+
+
 def test_no_rows_and_pairs_of_few_rows(spark):
     assert N.knn_graph(frame(spark, [(0.0, 1.0)]).where("vec_id < 0"), 3).count() == 0
     few = G.index_rows(frame(spark, np.eye(6)), "vec_id", "embedding", 1)
