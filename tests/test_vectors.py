@@ -191,6 +191,21 @@ def test_hubs_are_dealt_to_several_blocks(spark, monkeypatch):
         assert len(moved) == n and np.isfinite([r["y0"] for r in moved]).all()
 
 
+def test_pairs_of_blocks_stay_where_they_are(spark):
+    """A round moves the rows, packed by block, and not the pairs."""
+    n = 200
+    indexed = spark.range(n).select(F.col("id").alias("idx"), F.array(F.sin("id").cast("float"), F.cos(F.col("id") * 3).cast("float")).alias("vec"))
+    ring = spark.range(n).select(F.col("id").alias("i"), ((F.col("id") + 1) % n).alias("j"), F.lit(1).alias("kind"))
+    with scratch(spark, "test") as tmp:
+        blocks = Y._Blocks(ring, indexed, 60, tmp)
+        state = indexed.select("idx", *[F.sin(F.col("idx") * k).alias(c) for k, c in enumerate(Y._STATE, 1)])
+        same = blocks.round(state, lambda pairs, points: Y._Local(pairs, points, list(Y._STATE)).table())
+        plan = same._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(block") == 1, plan
+        assert sorted(map(tuple, same.collect())) == sorted(map(tuple, state.collect()))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+
+
 def test_blocks_come_near_the_layout_of_one(spark, tables):
     """The loss of near pairs with eight blocks against that of one."""
     indexed = G.index_rows(B.vectors(spark, tables), "vec_id", "embedding", 42)
