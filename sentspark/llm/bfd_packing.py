@@ -8,6 +8,9 @@ dealt to groups of bounded size by a hash, so no task sees more than one group.
 
 from __future__ import annotations
 
+import codecs
+import itertools
+import os
 import re
 import zlib
 from functools import partial
@@ -15,14 +18,15 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sentspark.llm.kernels import small_batches
+from sentspark.llm.kernels import slices, small_batches
 from sentspark.llm.scratch import keep, scratch
 
 LENGTH = 2048
 GROUP_ITEMS = 8192      # expected items per group; more groups lose a little room each
-CACHED_WORDS = 150_000  # words whose ids a worker remembers; it starts afresh beyond
+CACHED_WORDS = 300_000  # words and units of a generation; a worker remembers two
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -44,49 +48,92 @@ class WordEncoder:
     """Token ids of whole texts, for a tokenizer that lower-cases, drops white space and
     never looks across it: texts are cut at ASCII white space and the ids of words are
     remembered. Latin-1 words are cut into letters, digits and signs as the tokenizer
-    does it and go to its model directly; all others go through the whole tokenizer."""
+    does it and go to its model directly; all others go through the whole tokenizer.
+    The new words of several texts are learned together, their units in one call of the
+    model. Memory has two generations: what isn't used while one fills is forgotten."""
 
     _cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-z²³¹¼½¾ªµºß-öø-ÿ]+")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)    # the model alone, on units between spaces
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)     # tokens that end a unit
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}     # ids of words and units
+        self.older: dict[bytes, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        self.signs = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-    def _unit(self, unit: str) -> bytes:
-        ids = self.units.get(unit)
-        if ids is None:
-            found = self.tokenizer.model.tokenize("".join(map(self.signs.__getitem__, unit.encode())))
-            ids = self.units[unit] = np.array([t.id for t in found], "<u4").tobytes()
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        if _plain(word):
-            return b"".join(map(self._unit, self._cut.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        signs = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.signs = "".join(signs[b] if b != 32 else " " for b in range(256))      # no unit holds a space
+
+    def _units(self, units: list[bytes]) -> list[bytes]:
+        """The model's ids of each unit."""
+        if not units:
+            return []
+        text = codecs.charmap_decode(b" ".join(units), "strict", self.signs)[0]
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(units):     # a model that doesn't mark where a unit ends
+            return [np.array([t.id for t in self.tokenizer.model.tokenize(u)], "<u4").tobytes() for u in text.split(" ")]
+        data, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
+        return [data[i:j] for i, j in itertools.pairwise(bounds)]
+
+    def _recall(self, keys: set[bytes]) -> list[bytes]:
+        """Those of the keys that neither generation holds; the others are in this one then."""
+        lost = keys.difference(self.words)
+        for key in lost:
+            if key in self.older:
+                self.words[key] = self.older[key]
+        return list(lost.difference(self.older))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remembers words that neither generation holds."""
+        text = b" ".join(words).decode()
+        if not _plain(text):
+            for word in (w for w in words if not _plain(w.decode())):
+                self.words[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            words = [w for w in words if _plain(w.decode())]
+            text = b" ".join(words).decode()
+        if words:
+            lower = text.lower()
+            alone = lower == text       # a word of small letters is a unit itself
+            units, cuts = set(), {}
+            for word, low in zip(words, lower.split(" ")):
+                if alone and low.isalpha():
+                    units.add(word)
+                else:
+                    cuts[word] = [u.encode() for u in self._cut.findall(low)]
+            units.update(self._recall(set(itertools.chain.from_iterable(cuts.values()))))
+            units = list(units)
+            self.words.update(zip(units, self._units(units)))
+            for word, cut in cuts.items():
+                self.words[word] = b"".join(map(self.words.__getitem__, cut))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        split = pc.ascii_split_whitespace(pa.array([text.lower() if _plain(text) else text for text in texts], pa.string()))
+        found = split.values.dictionary_encode()    # Python sees each different word once
+        words = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.words.get, words))
+        if None in known:
+            self._learn(self._recall({w for w, ids in zip(words, known) if ids is None}))
+            known = [self.words[w] if ids is None else ids for w, ids in zip(words, known)]
+        ids = pa.array(known, pa.large_binary()).take(found.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(split.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.units) > CACHED_WORDS:
-            self.units.clear()
-        words = (text.lower() if _plain(text) else text).encode().split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.words[words[i]] = self._word(words[i].decode())
-        return b"".join(found)
+        return self.encode_all([text])[0]
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per worker process."""
+    """One per worker process, whose task has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -97,11 +144,11 @@ def _pieces(batches, path: str, end_id: int, length: int):
     ending = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     for batch in small_batches(batches):
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for at in range(0, len(texts), 256):
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+        for first, last, _, _ in slices(texts):
             out = []
-            for doc, text in zip(ids[at:at + 256], texts[at:at + 256]):
-                tokens = encoder(path).encode(text or "") + ending
+            for doc, tokens in zip(ids[first:last], encoder(path).encode_all(texts[first:last].to_pylist())):
+                tokens += ending
                 total = len(tokens) // 4
                 for start in range(0, total, length):
                     piece = tokens[4 * start:4 * (start + length)]

@@ -68,6 +68,35 @@ def test_words_are_encoded_as_whole_texts():
             assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_frequent_words_are_learned_once(monkeypatch):
+    """Memory that turns over keeps what is in use, and asks the model for many units at a time."""
+    monkeypatch.setattr("sentspark.llm.bfd_packing.CACHED_WORDS", 50)
+    encoder, tokenizer, asked = WordEncoder(TOKENS), Tokenizer.from_file(TOKENS), []
+    units = encoder._units
+    encoder._units = lambda new: asked.append(list(new)) or units(new)
+    for i in range(40):
+        texts = [f"the word{'abcdefgh'[i % 8] * j} is, {chr(97 + i % 26) * (j + 1)}{i}; it's" for j in range(10)]
+        assert encoder.encode_all(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(encoder.words) + len(encoder.older) < 50 * 2 + 2 * 60
+    assert sum(b"the" in new for new in asked) == 1 and sum(b"," in new for new in asked) == 1
+    assert len(asked) <= 40 < sum(map(len, asked))
+
+
+def test_texts_are_encoded_together_as_alone():
+    encoder, tokenizer = WordEncoder(TOKENS), Tokenizer.from_file(TOKENS)
+    texts = [f"A{chr(a)}b'{chr(a)}s {chr(a)}{chr(b)} Ä{chr(b)}9" for a in range(256) for b in (a, 39, 60, 124, 233)]
+    texts = ["", " \t\n\x0b\x0c\r ", *texts, "İ Hello hello, HELLO", "e\u0301 É", "<|endoftext|>", "’quoted’ words, “and” more", ""]
+    assert encoder.encode_all(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode_all([]) == [] and encoder.encode_all([""]) == [b""]
+
+
+def test_models_without_a_mark_at_the_end_of_words():
+    encoder = WordEncoder(TOKENS)
+    marked = encoder._units([b"this", b"&&&", "é".encode()])
+    encoder.ends[:] = False
+    assert encoder._units([b"this", b"&&&", "é".encode()]) == marked
+
+
 # --- winnowing ----------------------------------------------------------------------------
 
 
