@@ -26,7 +26,8 @@ from sentspark.llm.scratch import keep, scratch
 
 LENGTH = 2048
 GROUP_ITEMS = 8192      # expected items per group; more groups lose a little room each
-CACHED_WORDS = 300_000  # words and units of a generation; a worker remembers two
+CACHED_WORDS = 150_000  # words and units of a generation; a worker remembers two
+CALL_UNITS = 2048       # units that a call of the tokenizer's model takes
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -49,8 +50,8 @@ class WordEncoder:
     never looks across it: texts are cut at ASCII white space and the ids of words are
     remembered. Latin-1 words are cut into letters, digits and signs as the tokenizer
     does it and go to its model directly; all others go through the whole tokenizer.
-    The new words of several texts are learned together, their units in one call of the
-    model. Memory has two generations: what isn't used while one fills is forgotten."""
+    The new words of several texts are learned together, many units a call of the model.
+    Memory has two generations: what isn't used while one fills is forgotten."""
 
     _cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-z²³¹¼½¾ªµºß-öø-ÿ]+")
 
@@ -72,8 +73,6 @@ class WordEncoder:
 
     def _units(self, units: list[bytes]) -> list[bytes]:
         """The model's ids of each unit."""
-        if not units:
-            return []
         text = codecs.charmap_decode(b" ".join(units), "strict", self.signs)[0]
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
@@ -108,8 +107,8 @@ class WordEncoder:
                 else:
                     cuts[word] = [u.encode() for u in self._cut.findall(low)]
             units.update(self._recall(set(itertools.chain.from_iterable(cuts.values()))))
-            units = list(units)
-            self.words.update(zip(units, self._units(units)))
+            for some in itertools.batched(units, CALL_UNITS):
+                self.words.update(zip(some, self._units(some)))
             for word, cut in cuts.items():
                 self.words[word] = b"".join(map(self.words.__getitem__, cut))
 
