@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20   # text handled at a time; one longer document is handled alone
+SHINGLE_BYTES = 1 << 17 # the same for shingles, which take some 50 bytes for each of text
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -29,7 +30,7 @@ def powers(base: int, count: int, name: str) -> np.ndarray:
     """base**i modulo 2**64 for i below ``count``."""
     have = _powers.get(name)
     if have is None or len(have) < count:
-        size = max(count, 2 * SLICE_BYTES)
+        size = max(2 * SHINGLE_BYTES, 1 << (count - 1).bit_length())
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[name] = np.multiply.accumulate(steps)
@@ -114,7 +115,7 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each row; words are lower-cased A-Z."""
-    for _, _, data, offsets in slices(texts):
+    for _, _, data, offsets in slices(texts, SHINGLE_BYTES):
         starts, ends, counts = word_bounds(data, offsets)
         hashes = span_hashes(data, starts, ends, LOWER)
         at = 0

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sentspark.llm.components import connected_components
-from sentspark.llm.kernels import mix, shingle_sets
-from sentspark.llm.scratch import Scratch, keep, scratch
+from sentspark.llm.kernels import mix, shingle_sets, small_batches
+from sentspark.llm.scratch import Scratch, keep, scratch, small_arrow_batches
 
 CHECK_BITS = (128, 1 << 16)     # bounds of the second sketch's width: 16 bits per allowed difference
 LEAD = 8                # keys of a band that go first
@@ -136,8 +136,9 @@ def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
 
 
 def _describe(batches, shingle: int, geometry: Geometry):
-    """doc_id, set size, 128-bit set digest, keys and check sketch of each document."""
-    for batch in batches:
+    """doc_id, set size, 128-bit set digest, keys and check sketch of each document, few
+    at a time: a worker keeps the room it once took, and later stages use it again."""
+    for batch in small_batches(batches):
         sizes, first, second, lead, rest, sketches = [], [], [], [], [], []
         for tokens in shingle_sets(batch.column("text"), shingle):
             sizes.append(len(tokens))
@@ -382,7 +383,7 @@ def parity_join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
     """
     spark, geometry = docs.sparkSession, Geometry(num, den)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with scratch(spark, "parity") as tmp:
+    with scratch(spark, "parity") as tmp, small_arrow_batches(spark):
         whole = tmp.table(texts.mapInArrow(
             partial(_describe, shingle=shingle, geometry=geometry),
             "doc_id long, n_shingles long, d1 long, d2 long, lead array<long>, rest array<long>, sketch binary"))

@@ -1,14 +1,16 @@
 """Parity-sketch join and components against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from sentspark.llm import parity_join as P
+from sentspark.llm import kernels, parity_join as P
 from sentspark.llm.kernels import shingle_sets
-from sentspark.llm.parity_join import Geometry, _check_sketch, _fold, _keys, parity_join
+from sentspark.llm.parity_join import Geometry, _check_sketch, _describe, _fold, _keys, parity_join
+from sentspark.llm.scratch import ARROW_BYTES, ARROW_CONF, small_arrow_batches
 
 import pyarrow as pa
 import re
@@ -156,3 +158,43 @@ def test_shingle_hashes_are_those_of_the_words():
     for s, t in zip(sets, texts):
         by_hash[tuple(s.tolist())].add(t)
     assert len(by_hash) == 6
+
+
+def test_describing_a_large_batch_takes_little_memory(monkeypatch):
+    rng = random.Random(8)
+    words = [rng.choice("abcdefghij") + str(i) for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=150)) if i % 50 else None for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    monkeypatch.setattr(kernels, "_powers", {})
+    tracemalloc.start()
+    rows, most = [], 0
+    for out in _describe([batch], 5, Geometry(80, 100)):
+        most = max(most, out.num_rows)
+        if len(rows) < 60:
+            rows += out.slice(0, 60).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 1024 and peak < 24 << 20      # the texts are 4 MB
+    alone = [r for i in range(60) for out in _describe([batch.slice(i, 1)], 5, Geometry(80, 100)) for r in out.to_pylist()]
+    assert rows[:60] == alone
+
+
+def test_long_texts_come_in_small_arrow_batches(spark, monkeypatch):
+    before, seen = spark.conf.get(ARROW_CONF, None), []
+    star = P.connected_components
+
+    def spied(links, tmp):
+        seen.append(spark.conf.get(ARROW_CONF, None))
+        return star(links, tmp)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    monkeypatch.setattr(P, "connected_components", spied)
+    parity_join(spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k")], "doc_id long, text string")).collect()
+    assert seen and set(seen) == {str(ARROW_BYTES)}
+    long = spark.range(0, 4000, 1, 1).selectExpr("repeat(concat('word', id, ' '), 500) AS text")
+    with small_arrow_batches(spark):
+        assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < ARROW_BYTES + (1 << 16)
+    assert spark.conf.get(ARROW_CONF, None) == before
