@@ -206,6 +206,36 @@ def test_pairs_of_blocks_stay_where_they_are(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
 
 
+@pytest.mark.parametrize("hub", [False, True])
+def test_letters_bring_what_rows_would(spark, hub):
+    """Rounds by letters between blocks against rounds that send rows by their places: the
+    same positions, one exchange a round and no join; each block is a task of its own."""
+    n = 12_000
+    ring = spark.range(n).select(F.col("id").alias("i"), ((F.col("id") + 1) % n).alias("j"), F.lit(1).alias("kind"))
+    far = spark.range(1, n).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("j") if hub else ((F.col("id") * 7 + 5) % n).alias("j"), F.lit(3).alias("kind"))
+    pairs = ring.unionByName(far).where("i <> j")
+    pairs = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "kind"))
+    indexed = spark.range(n).select(F.col("id").alias("idx"), F.array(F.sin("id").cast("float"), F.cos(F.col("id") * 3).cast("float")).alias("vec"))
+    with scratch(spark, "test") as tmp:
+        blocks = Y._Blocks(pairs, indexed, 4000, tmp)
+        assert blocks.salted is hub and blocks.buckets == blocks.blocks > 8
+        names = blocks.places.select("block").distinct()
+        assert names.select(F.pmod(F.hash("block"), F.lit(blocks.buckets))).distinct().count() == names.count()
+        post = Y._Letters(blocks)
+        state = tmp.table(Y._start(indexed, 1.0))
+        letters = tmp.table(post.first(state))
+        for first in (0, 3):
+            state = tmp.table(blocks.round(state, partial(Y._pair_steps, first=first, last=first + 3, n_iter=10)))
+            moved = post.round(letters, partial(Y._descend, first=first, last=first + 3, n_iter=10))
+            plan = moved._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(block") == 1 and "Join" not in plan, plan
+            letters = tmp.table(moved)
+        want = {r["idx"]: (r["y0"], r["y1"]) for r in state.collect()}
+        got = {r["idx"]: (r["y0"], r["y1"]) for r in post.positions(letters).collect()}
+    assert len(got) == n and got.keys() == want.keys()
+    assert np.allclose([got[i] for i in range(n)], [want[i] for i in range(n)], atol=1e-4)
+
+
 def test_blocks_come_near_the_layout_of_one(spark, tables):
     """The loss of near pairs with eight blocks against that of one."""
     indexed = G.index_rows(B.vectors(spark, tables), "vec_id", "embedding", 42)
