@@ -144,6 +144,30 @@ def test_pair_sets(spark, tables):
     assert clash.count() == 0
 
 
+@pytest.mark.parametrize("n, stretch", [(3, 4096), (50, 16), (200, 16), (200, 64)])
+def test_drawn_pairs_are_those_of_the_runs(spark, monkeypatch, n, stretch):
+    """Mid and far pairs against the same draws in plain Python, with runs over the ends of
+    stretches and of the index; vectors are not joined to draws."""
+    monkeypatch.setattr(G, "STRETCH", stretch)
+    x = np.random.default_rng(n).integers(0, 3, (n, 4)).astype(float)      # with equal vectors and distances
+    indexed = G.index_rows(frame(spark, x), "vec_id", "embedding", 5).persist()
+    vec = {r["idx"]: np.array(r["vec"]) for r in indexed.collect()}
+    near = indexed.select(F.col("idx").alias("i"), ((F.col("idx") + 1) % n).cast("bigint").alias("j"))
+    start = {p: {r[0]: r[1] for r in indexed.select("idx", F.pmod(F.xxhash64("idx", F.lit(5), F.lit(p)), F.lit(n))).collect()} for p in ("mid-near", "far")}
+    mid, far = set(), set()
+    for i in range(n):
+        run = [(start["mid-near"][i] + s) % n for s in range(min(14, n))]
+        for pick in (run[:7], run[7:]):
+            drawn = sorted([j for j in pick if j != i][:6], key=lambda j: (((vec[i] - vec[j]) ** 2).sum(), j))
+            mid |= {(i, j) for j in drawn[:2][-1:]}
+        run = [(start["far"][i] + s) % n for s in range(min(3 + 1 + 1, n))]
+        far |= {(i, j) for j in [j for j in run if j not in (i, (i + 1) % n)][:3]}
+    got = G.mid_near_pairs(indexed, n, 2, 5)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(mid)
+    assert sorted(map(tuple, G.far_pairs(indexed, near, n, 1, 3, 5).collect())) == sorted(far)
+
+
 def kept_neighbours(rows, positions, k=10):
     ids = sorted(positions)
     x, y = np.array([rows[i] for i in ids], dtype="float64"), np.array([positions[i] for i in ids])
